@@ -212,7 +212,8 @@ def summarise(
     """Line count, quantity and amount of every document, 0 for one without lines.
 
     Lines are added up before the join, so the join has one row per document on
-    either side and a large document costs no more than a small one.
+    either side and a large document costs no more than a small one. The total that
+    a document itself states, ``totalAmount``, becomes ``statedAmount``.
     """
     quantity = F.col("quantity") if quantity is None else quantity
     amount = F.col("totalPrice") if amount is None else amount
@@ -221,7 +222,8 @@ def summarise(
         F.sum(quantity).alias("totalQuantity"),
         F.sum(amount).alias("totalAmount"),
     )
-    return documents.join(totals, list(keys), "left").withColumns(
+    stated = documents.withColumnRenamed("totalAmount", "statedAmount")
+    return stated.join(totals, list(keys), "left").withColumns(
         {
             "totalItems": F.coalesce("totalItems", F.lit(0)),
             "totalQuantity": F.coalesce("totalQuantity", F.lit(0)),
@@ -232,7 +234,7 @@ def summarise(
 
 
 def reconcile(
-    summaries: DataFrame, stated: str, tolerance: str = "0.00", within: str = "10"
+    summaries: DataFrame, stated: str = "statedAmount", tolerance: str = "0.00", within: str = "10"
 ) -> DataFrame:
     """Compare the sum of the lines with the stated total.
 

@@ -115,7 +115,7 @@ def value_report(spark: SparkSession, folder: str) -> DataFrame:
     "F10 F26",
     """select doc_id, len(string_split(text, ' ')) as n_split,
       len(regexp_extract_all(text, '[^ ]*[^\\s][^ ]*')) as n_arguments,
-      upper(array_to_string(string_split(text, ' '), '|')) as shouted
+      replace(replace(upper(replace(text, ' ', '|')), 'ß', 'SS'), 'ẞ', 'SS') as shouted
     from documents""",
 )
 def argument_split(spark: SparkSession, folder: str) -> DataFrame:

@@ -527,11 +527,11 @@ def json_documents(spark: SparkSession, folder: str) -> DataFrame:
 @query(
     "V4",
     """select l_orderkey, l_linenumber, l_partkey, l_suppkey from lineitem
-    where not exists (select 1 from part where p_partkey = l_partkey and p_retailprice >= 1000)""",
+    where not exists (select 1 from part where p_partkey = l_partkey and p_retailprice >= 950)""",
 )
 def unknown_material(spark: SparkSession, folder: str) -> DataFrame:
-    """Lines whose part is not on the material list (parts from a price of 1000 up)."""
-    known = table(spark, folder, "part").where("p_retailprice >= 1000").select(
+    """Lines whose part is not on the material list (parts from a price of 950 up)."""
+    known = table(spark, folder, "part").where("p_retailprice >= 950").select(
         F.col("p_partkey").alias("l_partkey")
     )
     rows = table(spark, folder, "lineitem").select(

@@ -53,7 +53,7 @@ def compare(spark, con, query, folder: str) -> tuple[bool, str]:
         return False, f"columns {sorted(df.columns)} against {sorted(names)}"
     if got != want:
         first = next((p for p in zip(got, want) if p[0] != p[1]), None)
-        return False, f"{len(got)} rows against {len(want)}; first difference {first}"
+        return False, f"{len(got)} rows against {len(want)}; first difference {str(first)[:500]}"
     return True, f"{len(got)} rows, {seconds:.1f}s"
 
 
