@@ -145,7 +145,7 @@ def split_arguments(args: Column | str, drop_blank: bool = False) -> Column:
     args = _col(args)
     parts = F.split(args, " ")
     if drop_blank:
-        parts = F.filter(parts, lambda x: strip(x) != "")
+        parts = F.filter(parts, lambda x: x.rlike(r"(?U)\S"))
     return F.when(F.coalesce(F.length(args), F.lit(0)) == 0, F.array().cast("array<string>")).otherwise(parts)
 
 

@@ -141,10 +141,19 @@ def map_header(
 # --- lines -----------------------------------------------------------------
 
 def explode_items(
-    df: DataFrame, keys: Sequence[str] = ("documentNumber",), items: str = "items"
+    df: DataFrame,
+    keys: Sequence[str] = ("documentNumber",),
+    items: str = "items",
+    keep_empty: bool = False,
 ) -> DataFrame:
-    """One row per item, numbered from 1 in list order. No items, no rows."""
-    return df.select(*keys, F.posexplode(items).alias("_pos", "_item")).select(
+    """One row per item, numbered from 1 in list order.
+
+    A document without items gives no row, or with ``keep_empty`` one without
+    ``lineNumber``: then document columns in ``keys`` and line totals come from one
+    pass, with no join back to the documents.
+    """
+    explode = F.posexplode_outer if keep_empty else F.posexplode
+    return df.select(*keys, explode(items).alias("_pos", "_item")).select(
         *keys, (F.col("_pos") + 1).alias("lineNumber"), "_item.*"
     )
 

@@ -261,11 +261,9 @@ def write_back(
         out = attach(sheet, table, keys, "left")
     else:
         keys = [requisition, line]
-        # Suppliers per line first: the join to outcomes then has one row per
-        # (requisition, line, supplier), however often the sheet repeats it.
-        lines = with_keys(sheet, [requisition, line, supplier]).groupBy(
-            requisition, line, supplier
-        ).agg(F.lit(True).alias("hit"))
+        lines = with_keys(sheet, [requisition, line, supplier]).select(
+            requisition, line, supplier, F.lit(True).alias("hit")
+        )
         table = (
             attach(lines, outcomes.select(requisition, supplier, outcome),
                    [requisition, supplier], "inner")

@@ -185,7 +185,8 @@ def collect_parts(
 
     ``position`` numbers the rows of a key from 1. A key with more rows than
     ``max_items`` gives several output rows, numbered by ``part`` from 0, so that
-    no array grows with the data and no row is left out.
+    no array grows with the data and no row is left out. The result asks to be
+    merged, never broadcast, in a join: size estimates do not see inside arrays.
     """
     part = F.floor((F.col(position) - 1) / max_items).cast("long")
     entry = F.struct(position, *[f for f in fields if f != position])
@@ -193,4 +194,5 @@ def collect_parts(
         df.withColumn("part", part)
         .groupBy(*keys, "part")
         .agg(F.array_sort(F.collect_list(entry)).alias(items))
+        .hint("merge")
     )

@@ -99,15 +99,16 @@ def form_fields(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(
     "A5 F10",
-    """select p_brand, 0 as part, count(*) as total_items,
+    """with placed as (
+      select *, row_number() over (partition by p_brand order by p_partkey) as n,
+        count(*) over (partition by p_brand) as total_items from part)
+    select p_brand, (n - 1) // 10000 as part, total_items,
       string_agg(upper(p_name), ',' order by p_partkey) as processed_data, 'completed' as status
-    from part group by 1""",
+    from placed group by 1, 2, 3""",
 )
 def value_report(spark: SparkSession, folder: str) -> DataFrame:
     rows = table(spark, folder, "part").select("p_brand", "p_partkey", "p_name")
-    report = inventory.value_report(
-        rows, ["p_brand"], "p_name", ["p_partkey"], max_items=1_000_000
-    )
+    report = inventory.value_report(rows, ["p_brand"], "p_name", ["p_partkey"])
     return report.withColumn("processed_data", F.array_join("processed_data", ","))
 
 

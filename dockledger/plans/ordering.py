@@ -365,7 +365,8 @@ def workbook_sheet(spark: SparkSession, folder: str) -> DataFrame:
             F.col("o_custkey").alias("supplier_name"),
             F.col("o_totalprice").cast(MONEY).alias("price_incl_tax"),
             F.col("o_orderpriority").alias("project_type"),
-        )
+        ),
+        spark.sparkContext.defaultParallelism,
     )
     schema = T.StructType.fromDDL(
         "requisition_no string, supplier_name string, price_incl_tax decimal(18,2), "

@@ -376,8 +376,9 @@ def line_rules(spark: SparkSession, folder: str) -> DataFrame:
 def doc_nested(spark: SparkSession, folder: str) -> DataFrame:
     """Nested documents, shown flat: items as text, a header and a summary field."""
     summaries = _stated_summary(spark, folder).withColumnRenamed("document", "documentNumber")
-    headers = summaries.select(
-        "documentNumber", F.date_format("o_orderdate", "yyyy-MM-dd").alias("transactionDate")
+    headers = table(spark, folder, "orders").select(
+        F.col("o_orderkey").alias("documentNumber"),
+        F.date_format("o_orderdate", "yyyy-MM-dd").alias("transactionDate"),
     )
     lines = docs.place_lines(docs.type_items(_lines(spark, folder)), F.col("l_shipdate"))
     nested = docs.nested_documents(
@@ -439,28 +440,27 @@ def receiving_report(spark: SparkSession, folder: str) -> DataFrame:
         ).alias("document"),
     )
     parsed = docs.accepted(docs.required_fields(tables.parse_documents(text, "document")))
+    header = docs.map_header(
+        parsed, docs.FULL_HEADER, F.col("o_orderdate"),
+        keep=["part", "o_orderdate", "totalAmount", "items"],
+    )
+    document = ["documentNumber", "supplierCode", "totalAmount"]
     lines = docs.place_lines(
-        docs.type_items(docs.explode_items(parsed, ["documentNumber", "part", "o_orderdate"]))
-        .withColumn("lineNumber", F.col("lineNumber") + F.col("part") * MAX_ITEMS),
+        docs.type_items(
+            docs.explode_items(header, [*document, "part", "o_orderdate"], keep_empty=True)
+        ).withColumn("lineNumber", F.col("lineNumber") + F.col("part") * MAX_ITEMS),
         F.col("o_orderdate"),
     ).withColumn("unit", docs.normalise_unit("unit"))
-    totals = lines.groupBy("documentNumber").agg(
-        F.count(F.lit(1)).alias("totalItems"),
-        F.sum("quantity").alias("totalQuantity"),
-        F.sum(docs.line_amount()).alias("totalAmount"),
-        F.count_if(F.col("unit") == "PCS").alias("n_pcs"),
+    totals = lines.withColumnRenamed("totalAmount", "statedAmount").groupBy(
+        "documentNumber", "supplierCode", "statedAmount"
+    ).agg(
+        F.count("lineNumber").alias("totalItems"),
+        F.coalesce(F.sum("quantity"), F.lit(0)).alias("totalQuantity"),
+        F.coalesce(F.sum(docs.line_amount()), F.lit(0)).alias("totalAmount"),
+        F.count_if(F.col("lineNumber").isNotNull() & (F.col("unit") == "PCS")).alias("n_pcs"),
         F.max("materialCode").alias("last_material"),
     )
-    heads = parsed.where("part = 0")
-    stated = heads.select(
-        "documentNumber", "o_orderdate", F.col("totalAmount").alias("stated"),
-    )
-    header = docs.map_header(heads, docs.FULL_HEADER, F.col("o_orderdate"))
-    summary = docs.reconcile(
-        header.select("documentNumber", "supplierCode").join(stated, "documentNumber")
-        .join(totals, "documentNumber").withColumn("currency", F.lit(docs.CURRENCY)),
-        "stated",
-    )
+    summary = docs.reconcile(totals)
     return summary.select(
         F.col("documentNumber").cast("long").alias("document"),
         F.col("supplierCode").alias("supplier_code"),

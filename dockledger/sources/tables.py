@@ -58,11 +58,13 @@ def read_documents(
 def parse_documents(
     df: DataFrame, text: str, schema: T.StructType = schemas.RAW_DOCUMENT
 ) -> DataFrame:
-    """Document columns from a column of JSON text; other columns are kept."""
-    return (
-        df.withColumn("_document", F.from_json(text, schema))
-        .select(*[c for c in df.columns if c != text], "_document.*")
-    )
+    """Document columns from a column of JSON text; other columns are kept.
+
+    Parsed by a generator, so that a later filter on several document columns does
+    not copy the parsing into itself once per column.
+    """
+    kept = [c for c in df.columns if c != text]
+    return df.select(*kept, F.inline(F.array(F.from_json(text, schema))))
 
 
 def scanned_documents(batches: DataFrame) -> DataFrame:
