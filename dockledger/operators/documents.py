@@ -68,7 +68,7 @@ def date_is_valid(text: Column | str) -> Column:
     """ISO calendar date of exactly yyyy-MM-dd."""
     text = F.col(text) if isinstance(text, str) else text
     parsed = F.try_to_date(text, "yyyy-MM-dd")
-    return F.coalesce(parsed.isNotNull() & text.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.lit(False))
+    return F.coalesce(text.rlike(r"^\d{4}-\d{2}-\d{2}$") & parsed.isNotNull(), F.lit(False))
 
 
 def in_range(value: Column, low, high) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from dockledger.operators.documents import broken_rules
-from dockledger.operators.skew import MAX_GROUP_ROWS, positions
+from dockledger.operators.skew import positions
 
 
 def clean_documents(
@@ -34,7 +34,7 @@ def per_group(
     fn: Callable[[pd.DataFrame], pd.DataFrame],
     schema: T.StructType | str,
     chunk_rows: int = 100_000,
-    limit: int = MAX_GROUP_ROWS,
+    limit: int | None = None,
 ) -> DataFrame:
     """Call pandas code once per group, in row order.
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from dockledger.functions.text import (
     contains_ignoring_case, elapsed_ms, log_level, redact, step_prefix,
 )
-from dockledger.operators.skew import MAX_GROUP_ROWS, attach, positions
+from dockledger.operators.skew import attach, positions
 
 
 def log_entries(output: DataFrame) -> DataFrame:
@@ -56,7 +56,7 @@ def append_logs(*logs: DataFrame) -> DataFrame:
 
 
 def step_progress(
-    events: DataFrame, run: str, order: Sequence[str], limit: int = MAX_GROUP_ROWS
+    events: DataFrame, run: str, order: Sequence[str], limit: int | None = None
 ) -> DataFrame:
     """Position of each event in its run, and that position as a percentage."""
     numbered = positions(events, [run], order, "position", "n_steps", limit)
@@ -103,7 +103,7 @@ def step_outcomes(
     enabled: Column,
     failed: Column,
     stops: Column,
-    limit: int = MAX_GROUP_ROWS,
+    limit: int | None = None,
 ) -> DataFrame:
     """Status each step of a run ends with.
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dockledger.functions.text import first_number, outcome_rule, strip, whole_number_text
-from dockledger.operators.skew import MAX_GROUP_ROWS, attach, hot_keys, lookup
+from dockledger.operators.skew import attach, hot_keys, lookup, repeat_rows
 
 # The project type priced with tax, and both tax settings.
 TAXED_PRICE_TYPE = "新住配完善"
@@ -68,7 +68,7 @@ def group_first(
     order: Sequence[str],
     first: Sequence[str],
     prefix: str = "group_",
-    limit: int = MAX_GROUP_ROWS,
+    limit: int | None = None,
 ) -> DataFrame:
     """Each row with the ``first`` columns of the earliest row of its group.
 
@@ -148,9 +148,16 @@ def first_candidate(
 def missing_lines(required: DataFrame, available: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Required lines left over when each available line covers one of them.
 
-    Equal lines on both sides are added up map-side, so copies cost no shuffle.
+    The same rows as EXCEPT ALL. Equal lines are added up map-side and written out
+    again in chunks: exceptAll would build all copies of a line in one array.
     """
-    return required.select(*keys).exceptAll(available.select(*keys))
+    short = (
+        required.select(*keys, F.lit(1).alias("_short"))
+        .unionByName(available.select(*keys, F.lit(-1).alias("_short")))
+        .groupBy(*keys)
+        .agg(F.sum("_short").alias("_short"))
+    )
+    return repeat_rows(short, "_short")
 
 
 def line_completeness(

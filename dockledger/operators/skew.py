@@ -19,17 +19,24 @@ from pyspark.sql import types as T
 
 from dockledger.session import shared_folder
 
-# Rows of one key that a single task may sort or join on its own.
+# Rows of one key that a single task may sort or join on its own; a session may set
+# spark.dockledger.maxGroupRows.
 MAX_GROUP_ROWS = 5_000_000
+# Rows a table may have to be broadcast; spark.dockledger.maxBroadcastRows.
+MAX_BROADCAST_ROWS = 200_000
 # More keys than this cannot each be a large share of the data.
 MAX_HOT_KEYS = 1_000
-# Rows a table may have to be broadcast.
-MAX_BROADCAST_ROWS = 200_000
 # Tasks that share the rows of one hot key in a join.
 SALTS = 64
 
 
-def hot_keys(df: DataFrame, keys: Sequence[str], limit: int = MAX_GROUP_ROWS) -> list[int]:
+def _setting(df: DataFrame, name: str, given: int | None, default: int) -> int:
+    if given is not None:
+        return given
+    return int(df.sparkSession.conf.get(f"spark.dockledger.{name}", str(default)))
+
+
+def hot_keys(df: DataFrame, keys: Sequence[str], limit: int | None = None) -> list[int]:
     """Hashes of the keys that hold more than about ``limit`` rows.
 
     Reads the key columns only and shuffles about 200 sampled rows per ``limit``
@@ -37,6 +44,7 @@ def hot_keys(df: DataFrame, keys: Sequence[str], limit: int = MAX_GROUP_ROWS) ->
     is reported from 100 on. At most MAX_HOT_KEYS come back to the driver; the
     others just stay on the plain way.
     """
+    limit = _setting(df, "maxGroupRows", limit, MAX_GROUP_ROWS)
     fraction = min(1.0, 200.0 / limit)
     rows = df.select(F.xxhash64(*keys).alias("key"))
     if fraction < 1.0:
@@ -61,7 +69,7 @@ def positions(
     order: Sequence[str],
     position: str = "position",
     total: str | None = None,
-    limit: int = MAX_GROUP_ROWS,
+    limit: int | None = None,
     hot: list[int] | None = None,
 ) -> DataFrame:
     """Number the rows of each key from 1 in ``order``; optionally add the group size.
@@ -130,7 +138,7 @@ def attach(
     table: DataFrame,
     keys: Sequence[str],
     how: str = "left",
-    limit: int = MAX_GROUP_ROWS,
+    limit: int | None = None,
     hot: list[int] | None = None,
 ) -> DataFrame:
     """Join rows to a table that has at most one row per key.
@@ -164,15 +172,40 @@ def lookup(
     table: DataFrame,
     keys: Sequence[str],
     how: str = "left",
-    max_rows: int = MAX_BROADCAST_ROWS,
-    limit: int = MAX_GROUP_ROWS,
+    max_rows: int | None = None,
+    limit: int | None = None,
 ) -> DataFrame:
     """:func:`attach` that broadcasts the table after counting that it is small."""
+    max_rows = _setting(rows, "maxBroadcastRows", max_rows, MAX_BROADCAST_ROWS)
     if table.limit(max_rows + 1).count() <= max_rows:
         return rows.join(F.broadcast(table), list(keys), how)
     return attach(rows, table, keys, how, limit)
 
 
+def repeat_rows(df: DataFrame, times: str, chunk: int = 10_000) -> DataFrame:
+    """Each row ``times`` times (a column, which is dropped; rows below 1 go).
+
+    A row repeated more than ``chunk`` times is first cut into chunks that are spread
+    over tasks, so that neither an array nor one task grows with the number.
+    """
+    count = F.col(times)
+    # A fixed number of partitions: by their size in bytes, AQE would merge chunks
+    # that are small now and large once written out.
+    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    few = df.where(count.between(1, chunk))
+    many = (
+        df.where(count > chunk)
+        .withColumn("_chunk", F.explode(F.sequence(F.lit(0), F.floor((count - 1) / chunk))))
+        .withColumn(times, F.least(count - F.col("_chunk") * chunk, F.lit(chunk)))
+        .repartition(partitions, "_chunk")
+        .drop("_chunk")
+    )
+    out = few.unionByName(many)
+    return out.withColumn("_n", F.explode(F.sequence(F.lit(1), F.col(times).cast("int")))).drop(
+        "_n", times
+    )
+
+
 def collect_parts(
     df: DataFrame,
     keys: Sequence[str],

@@ -16,6 +16,8 @@ from dockledger.sources import sinks, tables
 from dockledger.sources.workbooks import sheet_columns, to_workbooks, workbook_rows
 
 ROW_ID = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
+# Sheet rows of one order and material, in a total order of their prices.
+SHEET_ORDER = ["l_linenumber", "l_suppkey", "l_extendedprice"]
 TAXED_TYPE = "PROMO"
 
 
@@ -165,7 +167,7 @@ def order_completeness(spark: SparkSession, folder: str) -> DataFrame:
 _PRICE_SQL = """with sheet as (select * from lineitem where l_returnflag <> 'R'),
     priced as (
       select l_orderkey, l_partkey,
-        arg_max(l_extendedprice, {'a': l_linenumber, 'b': l_suppkey}) as price
+        arg_max(l_extendedprice, {'a': l_linenumber, 'b': l_suppkey, 'c': l_extendedprice}) as price
       from sheet group by 1, 2),
     sizes as (select l_orderkey, count(*) as n from sheet group by 1),
     erp as (
@@ -189,7 +191,7 @@ def price_apply(spark: SparkSession, folder: str) -> DataFrame:
     """All lines take the last price the sheet (lines not returned) has for their part."""
     erp, sheet = _price_tables(spark, folder)
     return orders.apply_prices(
-        erp, sheet, "l_orderkey", "l_partkey", ["l_linenumber", "l_suppkey"], "l_extendedprice"
+        erp, sheet, "l_orderkey", "l_partkey", SHEET_ORDER, "l_extendedprice"
     )
 
 
@@ -207,8 +209,7 @@ def price_apply_first_n(spark: SparkSession, folder: str) -> DataFrame:
         erp, ["l_orderkey"], ["l_linenumber", "l_partkey", "l_suppkey"], "ordinal"
     ).withColumn("ordinal", F.col("ordinal") - 1)
     return orders.apply_prices(
-        numbered, sheet, "l_orderkey", "l_partkey", ["l_linenumber", "l_suppkey"],
-        "l_extendedprice", "ordinal",
+        numbered, sheet, "l_orderkey", "l_partkey", SHEET_ORDER, "l_extendedprice", "ordinal",
     ).drop("ordinal")
 
 

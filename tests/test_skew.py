@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from dockledger.operators import hooks, logs, orders
-from dockledger.operators.skew import attach, collect_parts, hot_keys, lookup, positions
+from dockledger.operators.skew import attach, collect_parts, hot_keys, lookup, positions, repeat_rows
 
 LIMIT = 50
 
@@ -113,3 +113,17 @@ def test_group_step_never_sees_more_than_its_chunk(rows):
     )
     assert out.count() == 900
     assert out.where("group_part <> floor((group_row - 1) / 40)").count() == 0
+
+
+def test_repeated_rows(spark):
+    df = spark.createDataFrame([("a", 0), ("b", 1), ("c", 25), ("d", -4), (None, 7)], "k string, n long")
+    got = repeat_rows(df, "n", chunk=7).groupBy("k").count().collect()
+    assert {r["k"]: r["count"] for r in got} == {"b": 1, "c": 25, None: 7}
+    assert repeat_rows(df, "n").columns == ["k"]
+
+
+def test_missing_copies_equal_except_all(spark):
+    need = spark.range(30_000).select((F.col("id") % 2).alias("order"), F.lit(None).cast("int").alias("line"))
+    have = spark.range(2_000).select(F.lit(1).cast("long").alias("order"), F.lit(None).cast("int").alias("line"))
+    got = orders.missing_lines(need, have, ["order", "line"]).groupBy("order").count().collect()
+    assert {r["order"]: r["count"] for r in got} == {0: 15_000, 1: 13_000}
