@@ -63,7 +63,7 @@ def file_totals(spark: SparkSession, folder: str) -> DataFrame:
     "N4",
     f"""with {_FILES_SQL},
     counted as (select source, extension, count(*) as n from files group by 1, 2)
-    select source, 0 as part, count(*) as n_types,
+    select source, cast(0 as bigint) as part, count(*) as n_types,
       string_agg(concat(extension, '=', n), ',' order by extension) as file_types
     from counted group by 1""",
 )
@@ -197,9 +197,11 @@ def _graded(spark: SparkSession, folder: str) -> DataFrame:
     return inventory.grade_runtimes(texts)
 
 
-@query("F24 F25", f"with {_HOSTS_SQL} select host, name, major, status from graded")
+@query("F24 F25", f"with {_HOSTS_SQL} select host, name, cast(major as varchar) as major, status from graded")
 def version_grades(spark: SparkSession, folder: str) -> DataFrame:
-    return _graded(spark, folder).select("host", "name", "major", "status")
+    return _graded(spark, folder).select(
+        "host", "name", F.col("major").cast("string").alias("major"), "status"
+    )
 
 
 @query(
@@ -209,8 +211,8 @@ def version_grades(spark: SparkSession, folder: str) -> DataFrame:
       select w.host, w.name, w.required, coalesce(g.status, 'error') as status
       from (select host, unnest(['Node.js', 'Python', 'Java']) as name, true as required from raw) w
       left join graded g on g.host = w.host and g.name = w.name)
-    select host, count_if(status = 'error') as critical_issues,
-      count_if(status = 'warning') as warnings, count_if(status = 'error') = 0 as all_ready,
+    select host, count(*) filter (where status = 'error') as critical_issues,
+      count(*) filter (where status = 'warning') as warnings, count(*) filter (where status = 'error') = 0 as all_ready,
       case when bool_or(required and status = 'error') then 'error'
         when bool_or(status = 'warning') then 'warning' else 'success' end as overall_status
     from report group by 1""",

@@ -115,7 +115,7 @@ def supplier_code(spark: SparkSession, folder: str) -> DataFrame:
     """with candidates as (
       select p_brand, min(p_partkey) as ordinal, arg_min(p_name, p_partkey) as candidate
       from part where p_size > 10 group by 1)
-    select p_partkey, ordinal, candidate from part left join candidates using (p_brand)""",
+    select p_partkey, cast(ordinal as varchar) as ordinal, candidate from part left join candidates using (p_brand)""",
 )
 def first_candidate(spark: SparkSession, folder: str) -> DataFrame:
     """First list entry (a part of size over 10) whose label is the brand asked for."""
@@ -127,7 +127,10 @@ def first_candidate(spark: SparkSession, folder: str) -> DataFrame:
         F.col("p_name").alias("candidate_id"),
     )
     found = orders.first_candidate(names, candidates)
-    return found.select("p_partkey", "ordinal", F.col("candidate_id").alias("candidate"))
+    return found.select(
+        "p_partkey", F.col("ordinal").cast("string").alias("ordinal"),
+        F.col("candidate_id").alias("candidate"),
+    )
 
 
 @query(
@@ -147,7 +150,7 @@ def lines_incomplete(spark: SparkSession, folder: str) -> DataFrame:
     "J3 F11",
     """with lines as (
       select l_orderkey, l_linenumber, count(*) as required,
-        count_if(l_linestatus = 'F') * 2 as available
+        count(*) filter (where l_linestatus = 'F') * 2 as available
       from lineitem group by 1, 2)
     select l_orderkey, cast(sum(required) as bigint) as n_required,
       cast(sum(greatest(required - available, 0)) as bigint) as n_missing,
@@ -269,7 +272,7 @@ def write_back_by_supplier(spark: SparkSession, folder: str) -> DataFrame:
           else '没有编号' end as status
       from events)
     select event_id, case when popup is null
-        then try_cast(nullif(regexp_extract(status, '\\d+'), '') as bigint) end as order_no,
+        then nullif(regexp_extract(status, '\\d+'), '') end as order_no,
       case when contains(popup, '超出预算') then 'OVER_BUDGET'
         when contains(popup, '凭证仍有错') then 'VOUCHER_ERROR'
         when contains(popup, '没有满足选择标准的数据存在') then 'NO_DATA'
@@ -295,7 +298,9 @@ def outcome_class(spark: SparkSession, folder: str) -> DataFrame:
     ).otherwise(F.lit("没有编号"))
     return table(spark, folder, "events").select(
         "event_id", orders.classify_outcome(popup, status).alias("o")
-    ).select("event_id", "o.*")
+    ).select(
+        "event_id", F.col("o.order_no").cast("string").alias("order_no"), "o.outcome_code", "o.message"
+    )
 
 
 @query(

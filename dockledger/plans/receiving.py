@@ -121,7 +121,7 @@ def doc_lines(spark: SparkSession, folder: str) -> DataFrame:
       select l_orderkey, l_tax = 0 as bad, cast(l_quantity as decimal(18,2)) as q,
         case when l_discount = 0 then 0 else cast(l_extendedprice as decimal(18,2)) end as p
       from lineitem)
-    select l_orderkey as document, count_if(not bad) as accepted, count_if(bad) as rejected,
+    select l_orderkey as document, count(*) filter (where not bad) as accepted, count(*) filter (where bad) as rejected,
       cast(coalesce(sum(q * p) filter (where not bad), 0) as double) as amount
     from typed group by 1""",
 )
@@ -418,7 +418,7 @@ def _raw_documents(spark: SparkSession, folder: str) -> DataFrame:
     totals as (
       select l_orderkey, count(*) as n, sum(cast(l_quantity as decimal(18,2))) as q,
         sum(cast(l_quantity as decimal(18,2)) * cast(l_extendedprice as decimal(18,2))) as a,
-        count_if({_UNIT_SQL} = 'PCS') as n_pcs, max(printf('MAT%04d', n)) as last_material
+        count(*) filter (where {_UNIT_SQL} = 'PCS') as n_pcs, max(printf('MAT%04d', n)) as last_material
       from numbered group by 1)
     select document, coalesce(supplier_code, 'UNKNOWN') as supplier_code,
       n as items_processed, cast(q as double) as total_quantity, cast(a as double) as total_amount,
@@ -611,7 +611,7 @@ def unit_lookup(spark: SparkSession, folder: str) -> DataFrame:
 @query(
     "X1",
     """select l_orderkey as document, count(*) as n_lines,
-      count_if(l_quantity >= 10) as n_large from lineitem group by 1""",
+      count(*) filter (where l_quantity >= 10) as n_large from lineitem group by 1""",
 )
 def clean_hook(spark: SparkSession, folder: str) -> DataFrame:
     """The caller's cleaning step as pandas code over Arrow batches."""

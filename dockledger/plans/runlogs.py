@@ -80,7 +80,7 @@ def log_export(spark: SparkSession, folder: str) -> DataFrame:
     "F16 A6",
     f"""with {_LOG_SQL}
     select run_id, level, count(*) as total,
-      count_if(contains(lower(message), lower('{TERM}'))) as matching
+      count(*) filter (where contains(lower(message), lower('{TERM}'))) as matching
     from logs group by 1, 2""",
 )
 def log_counts(spark: SparkSession, folder: str) -> DataFrame:
@@ -109,7 +109,7 @@ def log_search_literal(spark: SparkSession, folder: str) -> DataFrame:
 @query(
     "A6 F16",
     """select role as level, count(*) as total,
-      count_if(contains(lower(text), lower('The'))) as matching
+      count(*) filter (where contains(lower(text), lower('The'))) as matching
     from conversations group by 1""",
 )
 def conversation_counts(spark: SparkSession, folder: str) -> DataFrame:
@@ -182,7 +182,7 @@ _STATES_SQL = """states as (
       select user_id as run_id, json_extract(props, '$.k')::int as step,
         arg_max(case event_type when 'purchase' then 'completed' when 'error' then 'error'
           else 'running' end, {'a': ts, 'b': event_id}) as status,
-        max(ts) as changed_at, count_if(event_type = 'error') as errors
+        max(ts) as changed_at, count(*) filter (where event_type = 'error') as errors
       from events group by 1, 2)"""
 
 
@@ -341,7 +341,7 @@ def decode_output(spark: SparkSession, folder: str) -> DataFrame:
     "T1 T2 S6",
     f"""with {_LOG_SQL}
     select run_id, level, count(*) as total,
-      count_if(contains(lower(message), lower('{TERM}'))) as matching
+      count(*) filter (where contains(lower(message), lower('{TERM}'))) as matching
     from logs group by 1, 2""",
 )
 def log_counts_stream(spark: SparkSession, folder: str) -> DataFrame:
