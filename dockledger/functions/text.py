@@ -7,7 +7,9 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# Totals have cents; quantities and unit prices may be finer.
 MONEY = "decimal(18,2)"
+NUMBER = "decimal(18,6)"
 
 
 def _col(c: Column | str) -> Column:
@@ -25,7 +27,9 @@ def date_stamp(prefix: str, as_of: Column, suffix: str = "") -> Column:
 
 
 def iso_timestamp(at: Column) -> Column:
-    return F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss")
+    """ISO text without zone; microseconds only when there are any."""
+    text = F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+    return F.regexp_replace(text, r"\.000000$", "")
 
 
 def money_text(amount: Column | str, sign: str = "¥") -> Column:
@@ -50,10 +54,14 @@ def whole_number_text(value: Column | str) -> Column:
 
 
 def first_number(text: Column | str) -> Column:
-    """First run of decimal digits (any script) as bigint; null when there is none."""
+    """First run of decimal digits as bigint, full-width and Arabic ones included.
+
+    Null when there is none or it does not fit.
+    """
     digits = F.regexp_extract(_col(text), r"(?U)(\d+)", 1)
-    # Map full-width digits to ASCII, so that the cast reads them too.
-    ascii_digits = F.translate(digits, "０１２３４５６７８９", "0123456789")
+    ascii_digits = F.translate(
+        digits, "０１２３４５６７８９٠١٢٣٤٥٦٧٨٩۰۱۲۳۴۵۶۷۸۹", "0123456789" * 3
+    )
     return ascii_digits.try_cast("bigint")
 
 

@@ -38,6 +38,15 @@ def minor_version(name: Column, raw: Column) -> Column:
     )
 
 
+def version_text(name: Column, raw: Column) -> Column:
+    """Version as shown: the trimmed text; for Java its name and quoted version."""
+    java = F.regexp_extract(raw, JAVA_PATTERN, 1)
+    shown = F.when(
+        name == "Java", F.concat(F.lit("Java "), F.when(java != "", java).otherwise("(未知版本)"))
+    ).otherwise(F.trim(raw))
+    return F.when(raw.isNotNull() & (F.trim(raw) != ""), shown)
+
+
 def version_grade(name: Column, raw: Column) -> Column:
     """success, warning (too old or not readable) or error (not there)."""
     major, minor = major_version(name, raw), minor_version(name, raw)

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dockledger.functions.text import MONEY, date_stamp, iso_timestamp, money_text, padded_code
+from dockledger.functions.text import MONEY, NUMBER, date_stamp, iso_timestamp, money_text, padded_code
 from dockledger.operators.skew import attach, collect_parts, lookup
 
 # Required fields, in the order they are checked.
@@ -163,8 +163,8 @@ def type_items(lines: DataFrame, price: str = "price") -> DataFrame:
 
     ``item_error`` names the first field whose text is not a number.
     """
-    quantity = F.col("quantity").cast("string").try_cast(MONEY)
-    amount = F.coalesce(F.col(price).cast("string"), F.lit("0")).try_cast(MONEY)
+    quantity = F.col("quantity").cast("string").try_cast(NUMBER)
+    amount = F.coalesce(F.col(price).cast("string"), F.lit("0")).try_cast(NUMBER)
     return lines.withColumns(
         {
             "item_error": F.when(quantity.isNull(), "quantity").when(amount.isNull(), price),
@@ -179,7 +179,7 @@ def line_amount(mode: str = "recompute", stated: str = "totalPrice") -> Column:
     if mode == "recompute":
         return F.col("quantity") * F.col("unitPrice")
     if mode == "stated":
-        return F.col(stated).cast("string").try_cast(MONEY)
+        return F.col(stated).cast("string").try_cast(NUMBER)
     raise ValueError("mode is 'recompute' or 'stated'")
 
 
@@ -243,19 +243,19 @@ def summarise(
 
 
 def reconcile(
-    summaries: DataFrame, stated: str = "statedAmount", tolerance: str = "0.00", within: str = "10"
+    summaries: DataFrame, stated: str = "statedAmount", tolerance: str = "0.005", within: str = "10"
 ) -> DataFrame:
     """Compare the sum of the lines with the stated total.
 
-    ``reconciles``: they differ by at most ``tolerance``; ``amount_ok``: by less
-    than ``within``. Both null when nothing is stated.
+    ``reconciles``: they differ by at most ``tolerance``, by default half a cent;
+    ``amount_ok``: by less than ``within``. Both null when nothing is stated.
     """
     diff = F.col("totalAmount") - F.col(stated).cast(MONEY)
     return summaries.withColumns(
         {
             "amount_diff": diff,
-            "reconciles": F.abs(diff) <= F.lit(tolerance).cast(MONEY),
-            "amount_ok": F.abs(diff) < F.lit(within).cast(MONEY),
+            "reconciles": F.abs(diff) <= F.lit(tolerance).cast(NUMBER),
+            "amount_ok": F.abs(diff) < F.lit(within).cast(NUMBER),
         }
     )
 

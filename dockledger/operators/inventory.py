@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dockledger.functions.text import file_extension, upper_all
-from dockledger.functions.versions import major_version, version_grade
+from dockledger.functions.versions import major_version, version_grade, version_text
 from dockledger.operators.skew import collect_parts, hot_keys, positions
 
 # Runtimes every host is checked for, and whether it must have them.
@@ -16,10 +16,14 @@ RUNTIMES = (("Node.js", True), ("Python", True), ("Java", True))
 
 
 def grade_runtimes(inventory: DataFrame) -> DataFrame:
-    """Inventory rows with their major version and grade."""
+    """Inventory rows with their version as shown, major version and grade."""
     name, raw = F.col("name"), F.col("raw")
     return inventory.withColumns(
-        {"major": major_version(name, raw), "status": version_grade(name, raw)}
+        {
+            "version": version_text(name, raw),
+            "major": major_version(name, raw),
+            "status": version_grade(name, raw),
+        }
     )
 
 

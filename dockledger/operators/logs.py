@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dockledger.functions.text import (
-    contains_ignoring_case, elapsed_ms, log_level, redact, step_prefix,
+    contains_ignoring_case, elapsed_ms, log_level, redact, step_prefix, strip,
 )
 from dockledger.operators.skew import attach, positions
 
@@ -22,7 +22,7 @@ def log_entries(output: DataFrame) -> DataFrame:
     return output.select(
         "run_id", "seq",
         log_level("channel", "exit_code").alias("level"),
-        redact(step_prefix("label", F.trim("text"))).alias("message"),
+        redact(step_prefix("label", strip("text"))).alias("message"),
         "ts",
     )
 

@@ -7,6 +7,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from dockledger.functions.text import first_number, outcome_rule, strip, whole_number_text
 from dockledger.operators.skew import attach, hot_keys, lookup, repeat_rows
@@ -161,24 +162,29 @@ def missing_lines(required: DataFrame, available: DataFrame, keys: Sequence[str]
 
 
 def line_completeness(
-    required: DataFrame, available: DataFrame, order: str, line: str
+    required: DataFrame, available: DataFrame, keys: Sequence[str], line: str
 ) -> DataFrame:
-    """Every order with its count of missing lines.
+    """Every order (``keys``) that requires lines: lines required, on offer and missing.
 
-    Line numbers are compared as whole-number text. The counts per (order, line) are
-    subtracted, then added up per order: the bag difference without its rows.
+    Line numbers are compared as whole-number text. The counts per key and line are
+    subtracted, then added up per key: the bag difference without its rows.
     """
     def counted(df: DataFrame, sign: int) -> DataFrame:
-        return df.select(order, whole_number_text(line).alias("_line"), F.lit(sign).alias("_n"))
+        whole = isinstance(df.schema[line].dataType, T.IntegralType)
+        number = F.col(line).cast("string") if whole else whole_number_text(line)
+        return df.select(*keys, number.alias("_line"), F.lit(sign).alias("_n"))
 
     side = counted(required, 1).unionByName(counted(available, -1))
-    per_line = side.groupBy(order, "_line").agg(
-        F.sum("_n").alias("_short"), F.count_if(F.col("_n") > 0).alias("_required")
+    per_line = side.groupBy(*keys, "_line").agg(
+        F.sum("_n").alias("_short"),
+        F.count_if(F.col("_n") > 0).alias("_required"),
+        F.count_if(F.col("_n") < 0).alias("_available"),
     )
     return (
-        per_line.groupBy(order)
+        per_line.groupBy(*keys)
         .agg(
             F.sum("_required").alias("n_required"),
+            F.sum("_available").alias("n_available"),
             F.sum(F.greatest("_short", F.lit(0))).alias("n_missing"),
         )
         .where(F.col("n_required") > 0)
@@ -244,6 +250,22 @@ def classify_outcome(popup: Column | str, status: Column | str) -> Column:
     )
 
 
+def attempt_outcome(
+    n_available: Column, n_missing: Column, supplier_known: Column, popup: Column, status: Column
+) -> Column:
+    """Struct as of :func:`classify_outcome` for a whole attempt, checks in their order.
+
+    No line at all on offer, lines missing, supplier not known; then what the ERP
+    system answered.
+    """
+    early = (
+        F.when(n_available == 0, F.lit("没有满足选择标准的数据存在"))
+        .when(n_missing > 0, F.lit("行号信息不完整"))
+        .when(~supplier_known, F.lit("公司信息不正确"))
+    )
+    return classify_outcome(F.coalesce(early, popup), status)
+
+
 def write_back(
     sheet: DataFrame,
     outcomes: DataFrame,

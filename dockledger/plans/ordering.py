@@ -164,7 +164,8 @@ def order_completeness(spark: SparkSession, folder: str) -> DataFrame:
     erp = rows.where("l_linestatus = 'F'").select(
         "l_orderkey", F.col("l_linenumber").alias("line")
     )
-    return orders.line_completeness(sheet, erp.unionByName(erp), "l_orderkey", "line")
+    checked = orders.line_completeness(sheet, erp.unionByName(erp), ["l_orderkey"], "line")
+    return checked.select("l_orderkey", "n_required", "n_missing", "complete")
 
 
 _PRICE_SQL = """with sheet as (select * from lineitem where l_returnflag <> 'R'),
@@ -260,6 +261,60 @@ def write_back_by_supplier(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query(
+    "A2 A3 J2 J3 F11 F12 F19 F20 J1",
+    f"""with offered as (
+      select l_orderkey, l_suppkey, l_linenumber, count(*) as need,
+        count(*) filter (where l_returnflag <> 'R') as have
+      from lineitem group by 1, 2, 3),
+    groups as (
+      select l_orderkey, l_suppkey, sum(greatest(need - have, 0)) as n_missing, sum(have) as n_have
+      from offered group by 1, 2),
+    firsts as (
+      select l_orderkey, l_suppkey,
+        arg_min(p_type, {{'a': l_linenumber, 'b': l_partkey}}) as group_type
+      from lineitem join part on l_partkey = p_partkey group by 1, 2),
+    outcomes as (
+      select l_orderkey, l_suppkey, case when n_have = 0 then '没有满足选择标准的数据存在'
+          when n_missing > 0 then '行号信息不完整'
+          when s_acctbal < 0 then '公司信息不正确'
+          when group_type = '{TAXED_TYPE}' then '超预算'
+          else cast(4500000000 + l_orderkey as varchar) end as outcome
+      from groups join firsts using (l_orderkey, l_suppkey) join supplier on l_suppkey = s_suppkey),
+    winners as (
+      select l_orderkey, l_linenumber, arg_max(outcome, l_suppkey) as outcome
+      from lineitem join outcomes using (l_orderkey, l_suppkey) group by 1, 2)
+    select l_orderkey, l_linenumber, l_partkey, l_suppkey, outcome as info
+    from lineitem join winners using (l_orderkey, l_linenumber)""",
+)
+def purchase_orders(spark: SparkSession, folder: str) -> DataFrame:
+    """Whole order flow: group, check lines and supplier, submit, classify, write back.
+
+    Returned lines are not on offer; orders of the taxed type exceed their budget.
+    """
+    group = ["l_orderkey", "l_suppkey"]
+    rows = table(spark, folder, "lineitem").select(*ROW_ID, "l_returnflag")
+    offered = rows.where("l_returnflag <> 'R'")
+    lines = orders.line_completeness(rows, offered, group, "l_linenumber")
+    firsts = orders.order_groups(
+        _sheet(spark, folder), group, ["l_linenumber", "l_partkey"], ["p_type"]
+    )
+    suppliers = table(spark, folder, "supplier").select(
+        F.col("s_suppkey").alias("l_suppkey"), (F.col("s_acctbal") >= 0).alias("known")
+    )
+    attempts = lookup(
+        firsts.join(lines, group), suppliers, ["l_suppkey"], "inner"
+    )
+    popup = F.when(F.col("p_type") == TAXED_TYPE, F.lit("项目超出预算"))
+    status = F.concat(F.lit("订单 "), (F.col("l_orderkey") + 4500000000).cast("string"))
+    outcome = orders.attempt_outcome(
+        F.col("n_available"), F.col("n_missing"), F.col("known"), popup, status
+    )
+    outcomes = attempts.select(*group, outcome["message"].alias("outcome"))
+    sheet = rows.select(*ROW_ID, F.lit(None).cast("string").alias("info"))
+    return orders.write_back(sheet, outcomes, "l_orderkey", "l_linenumber", "l_suppkey")
+
+
 @query(
     "F12 F19",
     """with raw as (

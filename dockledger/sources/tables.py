@@ -36,6 +36,30 @@ def read_table(spark: SparkSession, path: str, schema: T.StructType | None = Non
     raise UnsupportedFormat(f"cannot read '{suffix}' files: use csv, json, parquet or xlsx")
 
 
+# Columns that give the rows of a sheet the order they have in their file.
+SHEET_ORDER = ("src_file", "src_block", "src_row")
+
+
+def read_sheet(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """A sheet with its row order, as SHEET_ORDER.
+
+    Spark reads blocks of a file in parallel and in any order; file, block and row
+    number inside the block put the rows back in line without a sort or a shuffle.
+    """
+    df = read_table(spark, path, schema)
+    if "src_row" in df.columns:  # workbooks number their rows themselves
+        return df.select(
+            F.col("path").alias("src_file"), F.lit(0).cast("long").alias("src_block"),
+            "src_row", *schema.names,
+        )
+    return df.select(
+        F.col("_metadata.file_path").alias("src_file"),
+        F.col("_metadata.file_block_start").alias("src_block"),
+        F.monotonically_increasing_id().alias("src_row"),
+        *schema.names,
+    )
+
+
 def read_documents(
     spark: SparkSession,
     path: str,

@@ -123,6 +123,11 @@ def test_bad_numbers_are_named(spark):
     assert got[3].unitPrice == 0
 
 
+def test_fine_quantities_are_not_rounded(spark):
+    df = spark.createDataFrame([("0.125", "0.0333")], "quantity string, price string")
+    assert docs.type_items(df).select(docs.line_amount()).first()[0] == Decimal("0.0041625")
+
+
 def test_units_from_a_table(spark):
     df = spark.createDataFrame([("套",), ("个",), ("kg",), (None,)], "unit string")
     units = spark.createDataFrame([("套", "SET"), ("kg", "KGM")], "unit string, standard_unit string")

@@ -86,8 +86,9 @@ def test_completeness_counts_copies(spark):
         [("a", "1.0"), ("a", "1.0"), ("a", "2.0"), ("b", "1.0"), ("c", "5.0")], "order string, line string")
     have = spark.createDataFrame(
         [("a", "1"), ("a", "2"), ("a", "2"), ("b", "1"), ("b", "1"), ("d", "1")], "order string, line string")
-    got = orders.line_completeness(need, have, "order", "line").orderBy("order").collect()
-    assert [tuple(r) for r in got] == [("a", 3, 1, False), ("b", 1, 0, True), ("c", 1, 1, False)]
+    got = orders.line_completeness(need, have, ["order"], "line").orderBy("order").collect()
+    assert [tuple(r) for r in got] == [
+        ("a", 3, 3, 1, False), ("b", 1, 2, 0, True), ("c", 1, 0, 1, False)]
     left = orders.missing_lines(need, need.limit(0), ["order", "line"])
     assert left.count() == 5
 

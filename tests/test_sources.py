@@ -25,6 +25,22 @@ def test_tables_by_suffix(spark):
         assert sorted(got.collect()) == sorted(df.collect())
 
 
+def test_sheet_keeps_its_row_order(spark):
+    """A file read in many blocks, by tasks in any order."""
+    path = scratch_path(spark, "sheet") + ".csv"
+    rows = spark.range(3000).select(
+        F.col("id").cast("string").alias("requisition_line"), F.lit("x" * 50).alias("info"))
+    rows.coalesce(1).write.option("header", True).csv(path)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8000")
+    try:
+        got = tables.read_sheet(spark, path, rows.schema)
+        assert got.rdd.getNumPartitions() > 4
+        order = [int(r.requisition_line) for r in got.orderBy(*tables.SHEET_ORDER).collect()]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert order == list(range(3000))
+
+
 def test_unsupported_and_missing_tables(spark):
     with pytest.raises(tables.UnsupportedFormat, match="doc"):
         tables.read_table(spark, "x/y.doc")
@@ -69,6 +85,9 @@ def test_workbooks(spark, tmp_path):
         (1, "1000314270.0", "吉唯达（上海）"), (2, "2", " <&> "), (3, "3", None)]
     assert [None if r.price_incl_tax is None else float(r.price_incl_tax) for r in got] == [12.5, None, 0.1]
     assert got[0].info is None
+    sheet = tables.read_sheet(spark, f"{tmp_path}/*.xlsx", schema)
+    assert [r.requisition_no for r in sheet.orderBy(*tables.SHEET_ORDER).collect()] == [
+        "1000314270.0", "2", "3"]
 
 
 def test_workbook_with_shared_strings(spark):

@@ -23,8 +23,8 @@ def test_whole_numbers(spark):
 
 
 def test_first_number(spark):
-    got = values(spark, text.first_number, ["dafdsafdsa1000314270采购申请号9", "没有", "编号１２３x", None])
-    assert got == [1000314270, None, 123, None]
+    got = values(spark, text.first_number, ["dafdsafdsa1000314270采购申请号9", "没有", "编号１２３x", "٤٢", None])
+    assert got == [1000314270, None, 123, 42, None]
 
 
 def test_strip_all_white_space(spark):
@@ -62,6 +62,20 @@ def test_prefix_and_line(spark):
     assert df.select(text.log_line("ts", "level", "message")).first()[0] == "[2024-10-21 14:30:00.500] INFO: m"
 
 
+def test_iso_time(spark):
+    df = spark.sql("select timestamp'2024-10-21 14:30:00' a, timestamp'2024-10-21 14:30:00.5' b")
+    assert df.select(text.iso_timestamp(F.col("a")), text.iso_timestamp(F.col("b"))).first()[:] == (
+        "2024-10-21T14:30:00", "2024-10-21T14:30:00.500000")
+
+
+def test_version_texts(spark):
+    df = spark.createDataFrame(
+        [("Java", 'openjdk version "17.0.1" x'), ("Java", "jdk"), ("Python", "Python 3.7.0 "), ("Java", None)],
+        "name string, raw string")
+    assert [r[0] for r in df.select(versions.version_text(F.col("name"), F.col("raw"))).collect()] == [
+        "Java 17.0.1", "Java (未知版本)", "Python 3.7.0", None]
+
+
 def test_redaction(spark):
     got = values(spark, text.redact, ["run --user u --password abc end", "token=xyz x", "password: q, ok", "plain"])
     assert got == ["run --user u --password *** end", "token=*** x", "password: *** ok", "plain"]
