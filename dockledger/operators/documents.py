@@ -313,17 +313,17 @@ def nested_documents(
 
 def unknown_values(rows: DataFrame, known: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Rows whose key is not in ``known`` (materials, units, ...)."""
-    return lookup(rows, known.select(*keys).distinct(), keys, "left_anti")
+    return lookup(rows, known, keys, "left_anti")
 
 
 def qualified(rows: DataFrame, suppliers: DataFrame, keys: Sequence[str], valid: Column) -> DataFrame:
     """Rows whose supplier is on the list with a valid qualification."""
-    return lookup(rows, suppliers.where(valid).select(*keys).distinct(), keys, "left_semi")
+    return lookup(rows, suppliers.where(valid), keys, "left_semi")
 
 
 def unqualified(rows: DataFrame, suppliers: DataFrame, keys: Sequence[str], valid: Column) -> DataFrame:
     """Rows whose supplier is absent from the list or without a valid qualification."""
-    return lookup(rows, suppliers.where(valid).select(*keys).distinct(), keys, "left_anti")
+    return lookup(rows, suppliers.where(valid), keys, "left_anti")
 
 
 def over_capacity(

@@ -126,7 +126,7 @@ def supplier_code(rows: DataFrame, codes: DataFrame, name: str = "supplier_name"
         F.max("supplier_code").alias("_code")
     )
     return (
-        lookup(rows.withColumn("_name", strip(name)), table, ["_name"], "left")
+        lookup(rows.withColumn("_name", strip(name)), table, ["_name"], "left", counted=codes)
         .withColumn("supplier_code", F.coalesce("_code", "_name"))
         .drop("_name", "_code")
     )
@@ -143,7 +143,8 @@ def first_candidate(
         F.min_by("candidate_id", "ordinal").alias("candidate_id"),
         F.min("ordinal").alias("ordinal"),
     )
-    return lookup(names.withColumn("_label", strip(name)), table, ["_label"], "left").drop("_label")
+    named = names.withColumn("_label", strip(name))
+    return lookup(named, table, ["_label"], "left", counted=candidates).drop("_label")
 
 
 def missing_lines(required: DataFrame, available: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -174,12 +174,21 @@ def lookup(
     how: str = "left",
     max_rows: int | None = None,
     limit: int | None = None,
+    counted: DataFrame | None = None,
 ) -> DataFrame:
-    """:func:`attach` that broadcasts the table after counting that it is small."""
+    """:func:`attach` that broadcasts the table after counting that it is small.
+
+    ``counted`` is the table to count instead: one with at least as many rows that
+    needs no work to read. The count stops after ``max_rows``. A semi or anti join
+    takes a table with repeated keys.
+    """
     max_rows = _setting(rows, "maxBroadcastRows", max_rows, MAX_BROADCAST_ROWS)
-    if table.limit(max_rows + 1).count() <= max_rows:
+    only_keys = how in ("left_semi", "left_anti")
+    if only_keys:
+        table = table.select(*keys)
+    if (table if counted is None else counted).limit(max_rows + 1).count() <= max_rows:
         return rows.join(F.broadcast(table), list(keys), how)
-    return attach(rows, table, keys, how, limit)
+    return attach(rows, table.distinct() if only_keys else table, keys, how, limit)
 
 
 def repeat_rows(df: DataFrame, times: str, chunk: int = 10_000) -> DataFrame:

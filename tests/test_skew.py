@@ -79,6 +79,14 @@ def test_lookup_small_and_large(rows):
     assert "BroadcastHashJoin" in small._jdf.queryExecution().executedPlan().toString()
 
 
+@pytest.mark.parametrize("how", ["left_semi", "left_anti"])
+def test_lookup_of_repeated_keys(rows, how):
+    table = rows.where("key < 28").select("key", "day")
+    small = lookup(rows, table, ["key"], how)
+    large = lookup(rows, table, ["key"], how, max_rows=3, limit=LIMIT)
+    assert _sorted(small) == _sorted(large) and 0 < small.count() < rows.count()
+
+
 def test_parts_keep_all_items(rows):
     numbered = positions(rows.where("id < 10000"), ["key"], ["day", "id"], "n")
     parts = collect_parts(numbered, ["key"], "n", ["id"], max_items=25)

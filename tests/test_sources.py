@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from dockledger import schemas
+from dockledger.operators import documents as docs
 from dockledger.operators import hooks
+from dockledger.operators.skew import positions
 from dockledger.session import scratch_path
 from dockledger.sources import sinks, tables
 from dockledger.sources.workbooks import read_workbooks, sheet_columns, to_workbooks, workbook_rows
@@ -127,6 +129,31 @@ def test_versions_of_a_table(spark):
     assert sinks.read_version(spark, path, 1).columns == ["id"]
 
 
+def test_bucketed_tables_meet_without_a_shuffle(spark):
+    documents = spark.range(100).select(F.col("id").alias("documentNumber"))
+    lines = spark.range(1000).select(
+        (F.col("id") % 90).alias("documentNumber"), F.col("id").alias("line"),
+        F.lit(2).alias("quantity"), F.lit(3).alias("totalPrice"))
+    path = scratch_path(spark, "bucketed")
+    saved = [
+        sinks.write_bucketed(df, name, ["documentNumber"], 4, f"{path}/{name}")
+        for df, name in ((documents, "bucketed_documents"), (lines, "bucketed_lines"))
+    ]
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        summary = docs.summarise(*saved)
+        numbered = positions(saved[1], ["documentNumber"], ["line"])
+        assert "Exchange" in docs.summarise(documents, lines)._jdf.queryExecution().executedPlan().toString()
+        for df in (summary, numbered):
+            assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
+        assert summary.agg(F.sum("totalItems"), F.count("*")).first()[:] == (1000, 100)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+        spark.sql("drop table bucketed_documents")
+        spark.sql("drop table bucketed_lines")
+
+
 def test_caller_hooks(spark):
     df = spark.range(4)
     assert hooks.clean_documents(df, lambda d: d.where("id > 1")).count() == 2
