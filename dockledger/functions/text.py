@@ -65,9 +65,17 @@ def first_number(text: Column | str) -> Column:
     return ascii_digits.try_cast("bigint")
 
 
+# The Unicode white space characters and the ASCII separators.
+WHITE_SPACE = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
+    "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
+)
+
+
 def strip(text: Column | str) -> Column:
     """Remove white space of any script at both ends, ideographic space included."""
-    return F.regexp_replace(_col(text), r"(?U)^\s+|(?U)\s+$", "")
+    return F.btrim(_col(text), F.lit(WHITE_SPACE))
 
 
 def parse_amount(text: Column | str) -> Column:

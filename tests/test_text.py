@@ -29,6 +29,8 @@ def test_first_number(spark):
 
 def test_strip_all_white_space(spark):
     assert values(spark, text.strip, ["　\t 上海 电力 　\n", "a", ""]) == ["上海 电力", "a", ""]
+    inputs = [f"{chr(c)}é{chr(c)}" for c in range(1, 0x3100) if not 0xD800 <= c < 0xE000]
+    assert values(spark, text.strip, inputs) == [i.strip() for i in inputs]
 
 
 def test_amounts(spark):
