@@ -265,6 +265,7 @@ def execution_report(
     as_of: Column,
     key: str = "documentNumber",
     receipt_suffix: Column | None = None,
+    operator: str = "System",
 ) -> DataFrame:
     """One report row per document. The id comes from the document, not from the clock."""
     document = F.col(key).cast("string")
@@ -279,7 +280,7 @@ def execution_report(
         money_text("totalAmount").alias("amountText"),
         "currency",
         F.lit("SUCCESS").alias("status"),
-        F.lit("RPA_AUTO_SYSTEM").alias("operator"),
+        F.lit(operator).alias("operator"),
     )
 
 
