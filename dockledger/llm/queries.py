@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from dockledger.llm import packing, sharding
+from dockledger.llm import packing, quality, rules, sharding
 from dockledger.plans.registry import Build, table
 
 QUERIES: dict[str, Build] = {}
@@ -31,3 +31,43 @@ def op1_sharding(spark: SparkSession, folder: str) -> DataFrame:
 def op2_packing(spark: SparkSession, folder: str) -> DataFrame:
     tokenizer = public_tokenizers.path("word_bpe_49k.json")
     return packing.pack_documents(table(spark, folder, "documents"), str(tokenizer))
+
+
+@query()
+def op3_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.quality_scores(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@query(r"""
+with split as (
+    select doc_id, coalesce(text, '') as t,
+        regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w,
+        list_filter(string_split(coalesce(text, ''), chr(10)),
+                    lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as l
+    from documents
+), windows as (
+    select doc_id, i, array_to_string(w[i:i + 7], ' ') as k
+    from (select doc_id, w, unnest(range(1, greatest(len(w) - 6, 1))) as i from split)
+), twice as (
+    select doc_id, i from windows
+    qualify count(*) over (partition by doc_id, k) > 1
+), repeats as (
+    select doc_id, count(distinct i + o) as n from twice, range(8) as r(o) group by doc_id
+), counts as (
+    select doc_id, len(w)::bigint as n_words,
+        coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::bigint as word_chars,
+        length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::bigint as n_symbols,
+        len(l)::bigint as n_lines,
+        (len(l) - len(list_distinct(l)))::bigint as n_dup_lines,
+        coalesce(n, 0)::bigint as n_repeat_words
+    from split left join repeats using (doc_id)
+), judged as (
+    select *, n_words < 20 or 100 * n_repeat_words > 30 * n_words as base_failed from counts
+)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+    not (base_failed or 10 * n_symbols > n_words or 100 * n_dup_lines > 30 * n_lines
+         or word_chars < 2 * n_words or word_chars > 15 * n_words) as kept
+from judged
+""")
+def op4_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    return rules.judged(table(spark, folder, "documents"))
