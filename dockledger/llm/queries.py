@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from dockledger.llm import packing, quality, rules, sharding
+from dockledger.llm import packing, pii, quality, rules, sharding
 from dockledger.plans.registry import Build, table
 
 QUERIES: dict[str, Build] = {}
@@ -71,3 +71,60 @@ from judged
 """)
 def op4_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return rules.judged(table(spark, folder, "documents"))
+
+
+@query(r"""
+with t as (
+    select doc_id, coalesce(text, '') as t, row_number() over () as r from documents
+), kinds(kind, n, p) as (values
+    ('email', 0, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+'),
+    ('ip', 1, '[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)'),
+    ('card', 2, '[0-9](?:[\x20-]?[0-9])+'),
+    ('phone', 3, '\+[0-9][\x20().0-9-]+[0-9]'),
+    ('iban', 4, '\b[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?\b'),
+    ('ssn', 5, '\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b'),
+    ('secret', 6, '\b[0-9A-Fa-f]{32,64}\b')
+), found as (
+    select r, kind, n, regexp_extract_all(t, p) as m, string_split_regex(t, p) as s from t, kinds
+), each as (
+    select r, kind, n, s, unnest(m) as m, unnest(range(1, len(m) + 1)) as i, m as ms from found where len(m) > 0
+), placed as (
+    select r, kind, n, m, regexp_replace(m, '[^0-9]', '', 'g') as d,
+        list_sum(list_transform(s[1:i], lambda x: length(x)))
+            + coalesce(list_sum(list_transform(ms[1:i - 1], lambda x: length(x))), 0) as start,
+        right(s[i], 40) as before, left(s[i + 1], 20) as after
+    from each
+), sums as (
+    select *, list_sum(list_transform(range(0, length(d)), lambda i:
+            case when i % 2 = 0 then substr(reverse(d), i + 1, 1)::int
+                 else (2 * substr(reverse(d), i + 1, 1)::int) % 10
+                      + (2 * substr(reverse(d), i + 1, 1)::int) // 10 end)) as luhn
+    from placed
+), kept as (
+    select r, kind, n, start::bigint as a, (start + length(m))::bigint as b from sums
+    where case kind
+        when 'email' then true
+        when 'ip' then len(list_filter(string_split(m, '.'), lambda x: try_cast(x as hugeint) <= 255)) = 4
+        when 'card' then length(d) between 14 and 19 and luhn % 10 = 0
+        when 'phone' then length(d) between 10 and 15
+        when 'ssn' then not regexp_matches(m, '^(000|666|9)|-00-|-0000$')
+            and (regexp_matches(before, '(?i)\bssn\b|social security')
+                 or regexp_matches(after, '(?i)\bssn\b|social security'))
+        when 'secret' then regexp_matches(m, '[0-9]') and regexp_matches(m, '[A-Fa-f]')
+            and (regexp_matches(before, '(?i)token|secret|passw|api.?key')
+                 or regexp_matches(after, '(?i)token|secret|passw|api.?key'))
+        else false end
+), joined as (
+    select r, count(*) filter (kind = 'email') as n_email, count(*) filter (kind = 'ip') as n_ip,
+        count(*) filter (kind = 'card') as n_card, count(*) filter (kind = 'phone') as n_phone,
+        string_agg(kind || ':' || a || ':' || b, ',' order by a, n) filter (n < 4) as base,
+        string_agg(kind || ':' || a || ':' || b, ',' order by a, n) as spans
+    from kept group by r
+)
+select doc_id, coalesce(n_email, 0)::bigint as n_email, coalesce(n_ip, 0)::bigint as n_ip,
+    coalesce(n_card, 0)::bigint as n_card, coalesce(n_phone, 0)::bigint as n_phone,
+    sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans
+from t left join joined using (r)
+""")
+def op7_personal_data(spark: SparkSession, folder: str) -> DataFrame:
+    return pii.personal_data(table(spark, folder, "documents"))
