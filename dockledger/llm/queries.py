@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from dockledger.llm import packing, pii, quality, rules, sharding
+from dockledger.llm import lines, packing, pii, quality, rules, sharding
 from dockledger.plans.registry import Build, table
 
 QUERIES: dict[str, Build] = {}
@@ -128,3 +128,23 @@ from t left join joined using (r)
 """)
 def op7_personal_data(spark: SparkSession, folder: str) -> DataFrame:
     return pii.personal_data(table(spark, folder, "documents"))
+
+
+@query(r"""
+with split as (
+    select doc_id, coalesce(text, '') as t, unnest(string_split(coalesce(text, ''), chr(10))) as line,
+        generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) as i
+    from documents
+), keyed as (
+    select *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+        'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as k
+    from split
+), owned as (
+    select *, length(k) >= 10 and doc_id > min(doc_id) over (partition by k) as gone from keyed
+)
+select doc_id, count(*) as n_lines, count(*) filter (gone) as n_dropped,
+    sha256(coalesce(string_agg(line, chr(10) order by i) filter (not gone), '')) as kept_sha256
+from owned group by doc_id
+""")
+def op8_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return lines.line_report(table(spark, folder, "documents"))
