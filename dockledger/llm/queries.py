@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from dockledger.llm import lines, packing, pii, quality, rules, sharding
+from dockledger.llm import lines, packing, pii, quality, rules, sharding, simhash
 from dockledger.plans.registry import Build, table
 
 QUERIES: dict[str, Build] = {}
@@ -148,3 +148,8 @@ from owned group by doc_id
 """)
 def op8_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return lines.line_report(table(spark, folder, "documents"))
+
+
+@query()
+def op6_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    return simhash.near_documents(table(spark, folder, "documents"), shingle=3, radius=2)
