@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from dockledger.llm import lines, packing, pii, quality, rules, sharding, simhash
+from dockledger.llm import lines, packing, pii, quality, rules, sharding, simhash, suffixes
 from dockledger.plans.registry import Build, table
 
 QUERIES: dict[str, Build] = {}
@@ -153,3 +153,8 @@ def op8_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
 @query()
 def op6_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_documents(table(spark, folder, "documents"), shingle=3, radius=2)
+
+
+@query()
+def op5_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return suffixes.repeat_report(table(spark, folder, "documents"), length=100)
