@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from dockledger.llm import lines, packing, pii, quality, rules, sharding, simhash, suffixes
+from dockledger.llm import decontaminate, lines, packing, pii, quality, rules, sharding, simhash, suffixes
 from dockledger.plans.registry import Build, table
 
 QUERIES: dict[str, Build] = {}
@@ -158,3 +158,8 @@ def op6_simhash(spark: SparkSession, folder: str) -> DataFrame:
 @query()
 def op5_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return suffixes.repeat_report(table(spark, folder, "documents"), length=100)
+
+
+@query()
+def op9_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
