@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from dockledger.llm import decontaminate, lines, packing, pii, quality, rules, sharding, simhash, suffixes
+from dockledger.llm import decontaminate, lines, lm, packing, pii, quality, rules, sharding, simhash, suffixes
 from dockledger.plans.registry import Build, table
 
 QUERIES: dict[str, Build] = {}
@@ -163,3 +163,8 @@ def op5_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
 @query()
 def op9_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+@query()
+def op10_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
+    return lm.lm_scores(table(spark, folder, "documents"), table(spark, folder, "labels"))
