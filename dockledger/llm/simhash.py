@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from dockledger.llm.components import connected
-from dockledger.llm.ranges import saved, slices
+from dockledger.llm.ranges import fresh, saved, slices
 from dockledger.operators.skew import attach
 
 SEED = 42
@@ -24,6 +24,8 @@ LEAF = 2_000
 LEAVES = 65_536
 SAMPLE = 16
 _BLOCK = 65_536
+# Ids that are broadcast; more are joined by a shuffle.
+BROADCAST_IDS = 1_000_000
 
 
 def shingle_hashes(text: str, size: int) -> np.ndarray:
@@ -131,6 +133,19 @@ def route(tree: Node, points: np.ndarray, radius: int) -> Iterator[tuple[int, np
         stack.extend(side for side in sides if len(side[1]) or len(side[2]))
 
 
+def _visit(tree: Node, points: np.ndarray, radius: int) -> Iterator[tuple[int, np.ndarray, bool]]:
+    """The leaves of points that are visitors everywhere."""
+    stack = [(tree, np.arange(len(points)))]
+    while stack:
+        node, visit = stack.pop()
+        if node.leaf >= 0:
+            if len(visit):
+                yield node.leaf, visit, False
+            continue
+        far = np.bitwise_count(points[visit] ^ node.vantage).astype(np.int16)
+        stack += [(node.left, visit[far - radius <= node.cut]), (node.right, visit[far + radius > node.cut])]
+
+
 def close_links(homes: np.ndarray, visits: np.ndarray, radius: int) -> list[tuple[int, int]]:
     """Links among homes, and between homes and visitors, that join all close pairs of a leaf.
 
@@ -173,6 +188,151 @@ def close_links(homes: np.ndarray, visits: np.ndarray, radius: int) -> list[tupl
     return links
 
 
+# Prints of the similarity stage: four of 64 bits each. A pair at the threshold differs in
+# about 10 bits of each; FIRST is three deviations more. The estimate of the similarity errs
+# by about 0.05 at 0.8, so SLACK is allowed below the threshold.
+PRINTS = 4
+FIRST = 18
+SLACK = 0.03
+BAND_LEAF = 20_000
+
+
+def similarity(distance: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Jaccard similarity that so many different bits of all prints, and the numbers of shingles, speak for."""
+    shared = np.cos(np.pi * distance / (64 * PRINTS)) * np.sqrt(a * b)
+    return shared / np.maximum(a + b - shared, 1e-9)
+
+
+def similar_links(prints: np.ndarray, sizes: np.ndarray, homes: int, threshold: float) -> list[tuple[int, int]]:
+    """Links of a spanning forest over the pairs of at least ``threshold``, one of each at home."""
+    parent = list(range(len(prints)))
+
+    def root(i: int) -> int:
+        while parent[i] != i:
+            parent[i] = parent[parent[i]]
+            i = parent[i]
+        return i
+
+    links = []
+    first = np.ascontiguousarray(prints[:, 0])
+    for i in range(0, homes, 64):
+        x, y = np.nonzero(np.bitwise_count(first[i : min(i + 64, homes), None] ^ first[None, i:]) <= FIRST)
+        x, y = x + i, y + i
+        x, y = x[x < y], y[x < y]
+        apart = np.bitwise_count(prints[x] ^ prints[y]).sum(axis=1, dtype=np.int64)
+        good = similarity(apart, sizes[x], sizes[y]) >= threshold
+        for p, q in zip(x[good].tolist(), y[good].tolist()):
+            if (rp := root(p)) != (rq := root(q)):
+                parent[rq] = rp
+                links.append((p, q))
+    return links
+
+
+def _many_prints(docs: DataFrame, shingle: int) -> DataFrame:
+    """doc_id, n (shingles, repeats included) and PRINTS fingerprints p0, p1, ..."""
+    names = [f"p{k}" for k in range(PRINTS)]
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            rows, counts = [], []
+            for text in batch.column(1).to_pylist():
+                hashes = shingle_hashes(text or "", shingle)
+                counts.append(len(hashes))
+                prints = []
+                for _ in names:
+                    prints.append(fingerprint(hashes))
+                    hashes = (hashes ^ (hashes >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
+                    hashes ^= hashes >> np.uint64(29)
+                rows.append(prints)
+            values = np.array(rows, dtype=np.uint64).reshape(-1, PRINTS).view(np.int64)
+            columns = [pa.array(np.ascontiguousarray(values[:, k])) for k in range(PRINTS)]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(counts, pa.int64()), *columns], names=["doc_id", "n", *names]
+            )
+
+    known = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return known.mapInArrow(made, ", ".join(["doc_id long", "n long", *(f"{n} long" for n in names)]))
+
+
+def later_copies(docs: DataFrame, shingle: int = 5, threshold: float = 0.8) -> DataFrame:
+    """doc_id of every document that a group of similar documents does not keep.
+
+    Two documents are similar if their prints speak for a Jaccard similarity of ``threshold``, less SLACK, of their
+    shingles; the first print must differ in FIRST bits at most. Groups are connected by
+    such pairs and keep their smallest doc_id. Documents with equal prints are compared once.
+
+    Similar documents have nearly as many shingles: a document is compared inside its band of
+    sizes, a factor of ``threshold`` wide, and the next. A band of many documents is cut by a vantage-point
+    tree on the first print.
+    """
+    spark = docs.sparkSession
+    names = [f"p{k}" for k in range(PRINTS)]
+    rows = saved(_many_prints(docs, shingle), "prints")
+    nodes = saved(rows.groupBy("n", *names).agg(F.min("doc_id").alias("node")), "nodes")
+    width = -float(np.log(threshold - SLACK))
+    band = F.floor(F.log(F.greatest(F.col("n"), F.lit(1)).cast("double")) / width).cast("int")
+    banded = nodes.withColumn("band", band)
+    sizes = dict(banded.groupBy("band").count().collect())  # a few dozen rows
+    trees = {}
+    for number, size in sizes.items():
+        leaves = max(1, min(LEAVES // 64, size // BAND_LEAF))
+        if leaves > 1:
+            mine = banded.where(F.col("band") == number).select("p0")
+            chosen = mine.orderBy(F.xxhash64("p0", F.lit("vantage")), "p0").limit(leaves * SAMPLE).collect()
+            trees[number] = build_tree(np.array([r[0] for r in chosen], dtype=np.int64).view(np.uint64), leaves)
+    sent = spark.sparkContext.broadcast(trees)
+    single = Node(leaf=0)
+
+    def routed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = batch.column(batch.schema.get_field_index("band")).to_numpy()
+            first = batch.column(batch.schema.get_field_index("p0")).to_numpy().view(np.uint64)
+            for number in np.unique(own).tolist():
+                mine = np.flatnonzero(own == number)
+                places = [(number, *place) for place in route(sent.value.get(number, single), first[mine], FIRST)]
+                if number + 1 in sizes:  # a guest of the next band may meet any leaf there
+                    places += [
+                        (number + 1, *place)
+                        for place in _visit(sent.value.get(number + 1, single), first[mine], FIRST)
+                    ]
+                for of, leaf, index, home in places:
+                    some = batch.take(pa.array(mine[index]))
+                    kept = [some.column(some.schema.get_field_index(c)) for c in ("node", "n", *names)]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.full(len(index), of, np.int32)), pa.array(np.full(len(index), leaf, np.int32)),
+                         pa.array(np.full(len(index), home)), *kept],
+                        names=["band", "leaf", "home", "node", "n", *names],
+                    )
+
+    def joined(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values(["home", "node"], ascending=[False, True])
+        prints = np.ascontiguousarray(group[names].to_numpy()).view(np.uint64)
+        counts, node = group["n"].to_numpy().astype(float), group["node"].to_numpy()
+        links = similar_links(prints, counts, int(group["home"].sum()), threshold - SLACK)
+        links = np.array(links, dtype=np.int64).reshape(-1, 2)
+        return pd.DataFrame({"a": node[links[:, 0]], "b": node[links[:, 1]]})
+
+    long = ", ".join(f"{c} long" for c in ("node", "n", *names))
+    placed = banded.mapInArrow(routed, f"band int, leaf int, home boolean, {long}")
+    roots = connected(placed.groupBy("band", "leaf").applyInPandas(joined, "a long, b long"))
+    rooted = nodes.join(roots, "node", "left").select("n", *names, F.coalesce("root", "node").alias("root"))
+    return attach(rows, rooted, ["n", *names]).where("doc_id <> root").select("doc_id").distinct()
+
+
+def without_near_copies(docs: DataFrame, shingle: int = 5, threshold: float = 0.8) -> DataFrame:
+    """The documents, less those whose group of similar documents has a smaller doc_id.
+
+    Empty and null texts are alike, so one of them stays. Documents without a doc_id stay; rows that repeat
+    an id go or stay together.
+    """
+    gone = saved(later_copies(docs, shingle, threshold), "gone")
+    if gone.count() <= BROADCAST_IDS:
+        gone = F.broadcast(gone)
+    (name,) = fresh(docs.columns, "__gone")
+    gone = gone.select(F.col("doc_id").alias(name))
+    return docs.join(gone, F.col("doc_id").cast("long") == F.col(name), "left_anti")
+
+
 def close_edges(fps: DataFrame, radius: int = 2, leaf: int = LEAF) -> DataFrame:
     """Edges (a, b) between different fingerprints at most ``radius`` bits apart.
 
