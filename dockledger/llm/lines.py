@@ -154,15 +154,18 @@ def repeated_lines(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
     return every.groupBy("doc").agg(F.collect_list("h1").alias("hashes"))
 
 
-def drop_lines(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
+def drop_lines(
+    docs: DataFrame, batches: int = BATCHES, names: tuple[str, str, str] = ("n_lines", "n_dropped", "kept")
+) -> DataFrame:
     """Documents without the lines that a document with a smaller id holds.
 
-    Adds n_lines, n_dropped and kept (the lines left, joined by a line end). Only lines whose
+    Adds n_lines, n_dropped and kept (the lines left, joined by a line end) under ``names``;
+    columns called so are replaced. Only lines whose
     key has at least MIN_CHARS code points count; a repetition inside one document stays. A
     null text is one empty line and has kept ''. A null doc_id counts as the
     largest id; rows that share an id are one document to the rule and are cleaned each. Ids are whole numbers.
     """
-    n_lines, n_dropped, kept = names = ["n_lines", "n_dropped", "kept"]
+    n_lines, n_dropped, kept = names
     docs = docs.drop(*names)
     doc, hashes = fresh(docs.columns, "__doc", "__hashes")
     found = repeated_lines(docs, batches).select(F.col("doc").alias(doc), F.col("hashes").alias(hashes))
@@ -207,9 +210,10 @@ def line_report(docs: DataFrame) -> DataFrame:
 
 def without_repeated_lines(docs: DataFrame) -> DataFrame:
     """The documents with their repeated lines gone, n_chars counted anew; untouched texts stay as they are."""
-    out = drop_lines(docs)
-    changed = F.col("n_dropped") > 0
-    text = F.when(changed, F.col("kept")).otherwise(F.col("text"))
+    _, n_dropped, kept = names = tuple(fresh(docs.columns, "__n_lines", "__n_dropped", "__kept"))
+    out = drop_lines(docs, names=names)
+    changed = F.col(n_dropped) > 0
+    text = F.when(changed, F.col(kept)).otherwise(F.col("text"))
     out = out.withColumn("text", text)
     if "n_chars" in docs.columns:
         n_chars = F.char_length("text").cast(docs.schema["n_chars"].dataType)

@@ -140,11 +140,11 @@ def find_spans(
     THRESHOLD. A null or empty text has none. Equal and repeated rows are searched each. A column
     called like ``out`` is replaced, all others stay.
     """
-    columns = [c for c in docs.columns if c.lower() != out.lower()]
     body = F.coalesce(F.col(text), F.lit(""))
     none = F.array().cast("array<string>")
     hints = list(dict.fromkeys(k.hint for k in kinds))
-    step = docs.select(*[f"`{c}`" for c in columns], body.alias("__t"))
+    # The caller's columns are one struct meanwhile, so that no name can clash.
+    step = docs.select(F.struct(*docs.drop(out).columns).alias("__row"), body.alias("__t"))
     step = step.select("*", *[F.col("__t").rlike(h).alias(f"__h{i}") for i, h in enumerate(hints)])
     step = step.select("*", *[
         F.when(F.col(f"__h{hints.index(k.hint)}"), F.regexp_extract_all("__t", F.lit(k.pattern), F.lit(0)))
@@ -173,7 +173,8 @@ def find_spans(
         return F.filter(F.transform(f"__m_{k.name}", span), lambda s: s.isNotNull())
 
     found = F.array_sort(F.concat(*[spans(n, k) for n, k in enumerate(kinds)]))
-    return step.select(*[f"`{c}`" for c in columns], found.alias(out))
+    # A generator: a filter on the spans, pushed through plain projections, would repeat the searches.
+    return step.select("__row", F.inline(F.array(F.struct(found.alias(out))))).select("__row.*", out)
 
 
 def span_text(spans: Column, kinds: Sequence[Kind] = BASE + MORE) -> Column:

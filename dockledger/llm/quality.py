@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from dockledger.llm.ranges import slices
+from dockledger.llm.ranges import fresh, slices
 
 # Bounds of the fitting sample: labelled rows, and bytes read of each.
 FIT_ROWS = 12_000
@@ -154,5 +154,5 @@ def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that the classifier predicts to be good, with their own columns."""
     model = fit(docs, labels.where(~held_out()))
-    name = "__score"
+    (name,) = fresh(docs.columns, "__score")
     return score(docs, model, out=name).where(F.col(name) >= 0.5).select(*docs.columns)

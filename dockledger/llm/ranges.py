@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from dockledger.session import scratch_path, shared_folder
 
-PART = "__part"
+# Column that holds a row's partition; the name is not for the columns of a caller.
+PART = "__part_of_layout"
 
 
 def laid_out(rows: DataFrame, order: Sequence[str | Column]) -> DataFrame:

@@ -64,8 +64,12 @@ def with_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     Columns called like the new ones are replaced. A null text counts as empty.
     """
     names = ["n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words"]
-    docs = docs.drop(*names)
-    step = docs.select("*", words(text).alias("__words"), lines(text).alias("__lines"))
+    docs = docs.drop(*[n for n in names if n.lower() != text.lower()])
+    # The caller's columns are one struct meanwhile, so that no name can clash.
+    step = docs.select(
+        F.struct("*").alias("__row"), F.col(text).alias("__text"),
+        words(text).alias("__words"), lines(text).alias("__lines"),
+    )
     step = step.select("*", windows(F.col("__words")).alias("__windows"))
     repeats = F.size("__windows") > F.size(F.array_distinct("__windows"))
     tagged = F.transform(F.col("__windows"), lambda h, i: F.struct(h.alias("h"), i.alias("i")))
@@ -90,15 +94,16 @@ def with_counts(docs: DataFrame, text: str = "text") -> DataFrame:
         ),
         lambda s: s["n"].cast("long"),
     )
-    return step.select(
-        *[f"`{c}`" for c in docs.columns],
+    counts = F.struct(
         F.size("__words").cast("long").alias("n_words"),
-        word_chars(text).alias("word_chars"),
-        symbols(text).alias("n_symbols"),
+        word_chars("__text").alias("word_chars"),
+        symbols("__text").alias("n_symbols"),
         F.size("__lines").cast("long").alias("n_lines"),
         duplicates(F.col("__lines")).alias("n_dup_lines"),
         F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words"),
     )
+    # A generator: a filter on a count, pushed through plain projections, would repeat all of the above.
+    return step.select("__row", F.inline(F.array(counts))).select("__row.*", *names)
 
 
 @dataclass(frozen=True)

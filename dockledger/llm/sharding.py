@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from dockledger.llm.ranges import PART, laid_out, saved
+from dockledger.llm.ranges import PART, fresh, laid_out, saved
 
 
 def text_bytes(text: str = "text", overhead: int = 8):
@@ -37,8 +37,9 @@ def assign_shards(
     """
     rows = rows.drop(shard, slot)
     laid = laid_out(rows, order)
-    known = laid.withColumn("__size", F.greatest(F.coalesce(F.col(size), F.lit(0)), F.lit(0)).cast("long"))
-    sums = dict(known.groupBy(PART).agg(F.sum("__size")).collect())
+    (bytes_,) = fresh(laid.columns, "__size")
+    known = laid.withColumn(bytes_, F.greatest(F.coalesce(F.col(size), F.lit(0)), F.lit(0)).cast("long"))
+    sums = dict(known.groupBy(PART).agg(F.sum(bytes_)).collect())
     starts, total = {}, 0
     for part in sorted(sums):
         starts[part], total = total, total + sums[part]
@@ -62,7 +63,7 @@ def assign_shards(
                 continue
             part = batch.column(batch.schema.get_field_index(PART))[0].as_py()
             at = starts[part] if at is None else at
-            sizes = batch.column(batch.schema.get_field_index("__size")).to_numpy()
+            sizes = batch.column(batch.schema.get_field_index(bytes_)).to_numpy()
             ends = at + np.cumsum(sizes)
             found = shard_of(ends - sizes, sizes)
             at = int(ends[-1])
@@ -76,8 +77,8 @@ def assign_shards(
                 first = seen.get(int(k), slots[(part, int(k))])
                 where[mine] = first + np.arange(mine.sum())
                 seen[int(k)] = first + int(mine.sum())
-            kept = [batch.column(i) for i, n in enumerate(batch.schema.names) if n not in (PART, "__size")]
-            names = [n for n in batch.schema.names if n not in (PART, "__size")]
+            kept = [batch.column(i) for i, n in enumerate(batch.schema.names) if n not in (PART, bytes_)]
+            names = [n for n in batch.schema.names if n not in (PART, bytes_)]
             yield pa.RecordBatch.from_arrays(
                 [*kept, pa.array(found.astype(np.int32)), pa.array(where)], names=[*names, shard, slot]
             )
@@ -87,7 +88,7 @@ def assign_shards(
                  "shard": pa.array(list(seen), pa.int32()), "n": pa.array(list(seen.values()), pa.int64())}
             )
 
-    counts = known.select(PART, "__size").mapInArrow(placed, "part int, shard int, n long").collect()
+    counts = known.select(PART, bytes_).mapInArrow(placed, "part int, shard int, n long").collect()
     slots, used = {}, {}
     for part, k, n in sorted(map(tuple, counts)):
         slots[(part, k)] = used.get(k, 0)
@@ -117,6 +118,6 @@ def shard_documents(docs: DataFrame, shards: int = 24) -> DataFrame:
 
 def write_shards(docs: DataFrame, path: str, shards: int, order: Sequence[str] = ("doc_id",)) -> None:
     """Write whole documents as one folder a shard, each in slot order."""
-    sized = docs.withColumn("__bytes", text_bytes())
-    placed = assign_shards(sized, list(order), "__bytes", shards).drop("__bytes")
+    (size,) = fresh(docs.columns, "__bytes")
+    placed = assign_shards(docs.withColumn(size, text_bytes()), list(order), size, shards).drop(size)
     placed.write.partitionBy("shard").parquet(path)
