@@ -135,6 +135,7 @@ def find_spans(
 ) -> DataFrame:
     """Add the spans of each text: an array of (start, kind, end, score), sorted.
 
+    Context words are looked for between a match and its neighbours of the same kind.
     Matches of a kind are leftmost and do not overlap; ``kind`` is the position in ``kinds``.
     Spans of the first ``always`` kinds stay whatever they score, those of the others need
     THRESHOLD. A null or empty text has none. Equal and repeated rows are searched each. A column

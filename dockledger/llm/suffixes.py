@@ -8,10 +8,12 @@ count, and two of them together tell strings apart.
 
 * Length 32. Every window of ``length`` bytes is named by the smallest 32-byte name in it.
   Neighbouring windows mostly share it; such a run of windows is one row, about one for
-  35 bytes. A run whose name occurs once holds no repeated window.
-* Up to 168 bytes. Runs of one name are compared as a whole. All but the first of equal
-  runs repeat. A name with one kind of run is settled, unless the run is periodic.
-* Length 100. What is left, the ends of longer matches, is compared window by window.
+  35 bytes. A run whose name occurs once holds no repeated window. Runs of one name are compared as a
+  whole (up to 168 bytes): all but the first of equal runs repeat. A name with one kind of run is
+  settled, unless the run is periodic.
+* Length 89. What is left, the ends of longer matches, is cut into blocks of 12 windows, named by the
+  bytes that they share, and ranked in the same way.
+* Length 100. What is left then is ranked window by window.
 """
 
 from __future__ import annotations
@@ -26,6 +28,8 @@ from pyspark.sql import functions as F
 from dockledger.llm.ranges import laid_out, saved, slices
 
 LENGTH = 100
+# Windows of a block in the second round.
+BLOCK = 12
 _SHORT, _LONG = 32, 64
 
 
@@ -56,7 +60,7 @@ def _names(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return short, name
 
 
-def _window_names(long: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
+def _named(long: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
     """Names of the ``length`` bytes from each position of ``at``."""
     out, step = long[at], _LONG
     while step < length - _LONG:
@@ -65,6 +69,16 @@ def _window_names(long: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
     return _pair(out, long[at + length - _LONG], 9)
 
 
+def _whole(long: np.ndarray, at: np.ndarray, counts: np.ndarray, length: int) -> np.ndarray:
+    """Names of all bytes of so many windows from each position of ``at``."""
+    last = at + counts + length - 1 - _LONG
+    out = long[at] + counts.astype(np.uint64) * _STEP[30]
+    for _ in range(-(-(2 * length) // _LONG) - 1):
+        at = np.minimum(at + _LONG, last)
+        out = _pair(out, long[at], 10)
+    return out
+
+
 def _sliding(values: np.ndarray, width: int, pick: np.ufunc) -> np.ndarray:
     """Minimum or maximum over each ``width`` neighbours."""
     out, size = values, 1
@@ -101,11 +115,7 @@ def _runs(raw: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
         nth = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
         starts = np.repeat(starts, parts) + nth * width
         counts = np.minimum(np.repeat(counts, parts) - nth * width, width)
-    last = starts + counts + length - 1 - _LONG
-    whole, at = long[starts] + counts.astype(np.uint64) * _STEP[30], starts
-    for _ in range(-(-(width + length) // _LONG) - 1):
-        at = np.minimum(at + _LONG, last)
-        whole = _pair(whole, long[at], 10)
+    whole = _whole(long, starts, counts, length)
     return least[starts], whole, starts, counts, np.isin(least[starts], _repeating(short, least, width))
 
 
@@ -141,6 +151,19 @@ def _arrow(**columns: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(made, names=list(columns))
 
 
+_ROWS = "doc long, name long, whole long, at int, n int, inside boolean, known boolean"
+
+
+def _rows(doc, name, whole, at, n, inside) -> pa.RecordBatch:
+    """Rows of _ROWS. One that this block of documents already holds needs no sorting: it
+    is known, and gets a name of its own, which spreads such rows."""
+    known = _later(doc, at, whole, name)
+    name = np.where(known, _pair(_mixed(doc.astype(np.uint64)), at.astype(np.uint64), 11), name)
+    return _arrow(
+        doc=doc, name=name, whole=whole, at=at.astype(np.int32), n=n.astype(np.int32), inside=inside, known=known
+    )
+
+
 def _first_pass(length: int):
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -154,33 +177,45 @@ def _first_pass(length: int):
                 continue
             doc = np.concatenate(docs)
             name, whole, at, n, inside = (np.concatenate(c) for c in zip(*found))
-            # A run that this block of documents already holds needs no sorting. It gets
-            # a name of its own, which spreads such rows.
-            known = _later(doc, at, whole, name)
-            name = np.where(known, _pair(_mixed(doc.astype(np.uint64)), at.astype(np.uint64), 11), name)
-            at, n = at.astype(np.int32), n.astype(np.int32)
-            yield _arrow(doc=doc, name=name, whole=whole, at=at, n=n, inside=inside, known=known)
+            yield _rows(doc, name, whole, at, n, inside)
 
     return runs
 
 
-def _second_pass(length: int):
-    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _finer_pass(length: int, size: int):
+    """Cut runs into blocks of at most ``size`` windows, named by the bytes that all of a block's windows share.
+
+    A window is placed by how far before its smallest short name it starts, so equal windows fall into
+    the same block wherever their runs begin.
+    """
+
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        width = length - _SHORT + 1
         for batch in slices(batches):
             found = []
             for doc, text, runs in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                _, long = _names(np.frombuffer(text.encode("utf-8", "replace"), dtype=np.uint8))
-                name = np.array([r["name"] for r in runs], dtype=np.int64).view(np.uint64)
+                short, long = _names(np.frombuffer(text.encode("utf-8", "replace"), dtype=np.uint8))
                 n = np.array([r["n"] for r in runs])
                 at = np.repeat([r["at"] for r in runs], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                found.append((np.full(len(at), doc, np.int64), np.repeat(name, n), _window_names(long, at, length), at))
+                at.sort()
+                before = np.concatenate([
+                    short[some[:, None] + np.arange(width)].argmin(axis=1)
+                    for some in np.array_split(at, -(-len(at) // 4096))
+                ])
+                least, block = at + before, before // size
+                new = np.flatnonzero((np.diff(least) != 0) | (np.diff(block) != 0) | (np.diff(at) != 1)) + 1
+                start = np.concatenate(([0], new))
+                count = np.diff(np.concatenate((start, [len(at)])))
+                least, block, at = least[start], block[start], at[start]
+                name = _pair(_named(long, least - size * block, length - size + 1), short[least], 12)
+                name = _pair(name, block.astype(np.uint64), 13)
+                whole = _whole(long, at, count, length)
+                found.append((np.full(len(at), doc, np.int64), name, whole, at, count))
             if found:
-                doc, name, window, at = (np.concatenate(c) for c in zip(*found))
-                known = _later(doc, at, window, name)
-                name = np.where(known, _pair(_mixed(doc.astype(np.uint64)), at.astype(np.uint64), 11), name)
-                yield _arrow(doc=doc, name=name, window=window, at=at.astype(np.int32), known=known)
+                doc, name, whole, at, n = (np.concatenate(c) for c in zip(*found))
+                yield _rows(doc, name, whole, at, n, np.zeros(len(at), dtype=bool))
 
-    return windows
+    return blocks
 
 
 def _covered(size: int, spans: list, length: int) -> np.ndarray:
@@ -192,6 +227,22 @@ def _covered(size: int, spans: list, length: int) -> np.ndarray:
     return np.cumsum(edge[:-1]) > 0
 
 
+def _ranked(rows: DataFrame) -> DataFrame:
+    """Sort rows by their names: those that repeat an earlier one (``gone``), and those that may hold more.
+
+    Of rows with one name and one whole name, the first stays. It is needed again if its name has
+    another whole name too, or if it may repeat inside. All other rows have nothing to find.
+    """
+    by_name = Window.partitionBy("name")
+    again = F.lag("whole").over(by_name.orderBy("whole", "doc", "at")).eqNullSafe(F.col("whole"))
+    kinds = F.min("whole").over(by_name) != F.max("whole").over(by_name)
+    marked = rows.select("*", again.alias("again"), kinds.alias("kinds"))
+    gone = F.col("known") | F.col("again")
+    return marked.select(
+        "doc", "at", "n", gone.alias("gone"), (F.col("kinds") | F.col("inside")).alias("open")
+    ).where("gone or open")
+
+
 def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and the bytes left, ``kept``, of each document.
 
@@ -208,27 +259,19 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         raise ValueError(f"length must be at least {_LONG}")
     keyed = _keyed(docs)
     partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    runs = keyed.select("doc", "text").mapInArrow(
-        _first_pass(length), "doc long, name long, whole long, at int, n int, inside boolean, known boolean"
-    )
-    by_name = Window.partitionBy("name")
-    again = F.lag("whole").over(by_name.orderBy("whole", "doc", "at")).eqNullSafe(F.col("whole"))
-    kinds = F.min("whole").over(by_name) != F.max("whole").over(by_name)
-    sorted_runs = runs.select("*", again.alias("again"), (kinds | F.col("inside")).alias("open")).select(
-        "doc", "name", "at", "n", (F.col("known") | F.col("again")).alias("gone"), "open"
-    )
-    runs = saved(sorted_runs.where("gone or open"), "runs")
-
+    runs = saved(_ranked(keyed.select("doc", "text").mapInArrow(_first_pass(length), _ROWS)), "runs")
     placed = keyed.repartition(partitions, "doc")
-    left = runs.where("not gone").groupBy("doc").agg(F.collect_list(F.struct("name", "at", "n")).alias("runs"))
-    windows = placed.join(left, "doc").select("doc", "text", "runs").mapInArrow(
-        _second_pass(length), "doc long, name long, window long, at int, known boolean"
-    )
-    earlier = F.row_number().over(Window.partitionBy("name", "window").orderBy("doc", "at")) > 1
-    windows = windows.select("doc", "at", (F.col("known") | earlier).alias("gone")).where("gone")
+
+    def finer(open_runs: DataFrame, size: int) -> DataFrame:
+        by_doc = open_runs.where("not gone").groupBy("doc").agg(F.collect_list(F.struct("at", "n")).alias("runs"))
+        texts = placed.join(by_doc, "doc").select("doc", "text", "runs")
+        return _ranked(texts.mapInArrow(_finer_pass(length, size), _ROWS))
+
+    blocks = finer(runs, min(BLOCK, length - _LONG + 1))
+    windows = finer(blocks, 1)
+    gone = [r.where("gone").select("doc", "at", "n") for r in (runs, blocks, windows)]
     spans = (
-        runs.where("gone").select("doc", "at", "n").union(windows.select("doc", "at", F.lit(1)))
-        .groupBy("doc").agg(F.collect_list(F.struct("at", "n")).alias("spans"))
+        gone[0].union(gone[1]).union(gone[2]).groupBy("doc").agg(F.collect_list(F.struct("at", "n")).alias("spans"))
     )
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
