@@ -87,17 +87,21 @@ def walk(
     steps = 2 * size
     chosen = [set(rng.choice(steps, min(sampled, steps), replace=False).tolist()) for _ in range(repetitions)]
     salts = rng.integers(1, 2**63, (repetitions, -(-steps // 64)), dtype=np.uint64)
-    padded = np.concatenate((words, np.zeros(1, np.uint64)))
+    # Each window is a row, with zeros from its end on.
+    place = starts[:, None] + np.arange(size + 1)
+    padded = np.concatenate((words, np.zeros(1, np.uint64)))[np.minimum(place, len(words))]
+    padded[:, size] = 0
+    padded = padded.ravel()
+    first = np.arange(len(starts)) * (size + 1)
+    stop = first + np.minimum(size, len(words) - starts)
     out = np.zeros((repetitions, len(starts)), dtype=np.uint64)
-    stop = np.minimum(starts + size, len(words))
     for r in range(repetitions):
-        at, moves = starts.copy(), None
+        at, moves = first.copy(), None
         for t in range(max(chosen[r]) + 1):
             if t % 64 == 0:
                 moves = _mix(_mix(padded * _PRIME + salts[r, t // 64]))
             if t in chosen[r]:
-                emitted = np.where(at < stop, padded[np.minimum(at, len(words))], np.uint64(0))
-                out[r] = _mix(out[r] * _PRIME + emitted + np.uint64(t + 1))
+                out[r] = _mix(out[r] * _PRIME + padded[at] + np.uint64(t + 1))
             at = np.minimum(at + ((moves[at] >> np.uint64(t % 64)) & np.uint64(1)).astype(np.int64), stop)
     return out
 
@@ -201,6 +205,8 @@ class Items:
             at = at[len(group) :]
             low = max(first, group[0] - limit)
             around = words[low : min(last, group[-1] + len(item) + 2 * limit)]
+            if np.isin(item, around).sum() < len(item) - limit:
+                continue  # each word that is not there takes an edit
             edits, end = best_alignment(item, around)
             if edits <= limit and (best is None or edits < best[2]):
                 back, length = best_alignment(item[::-1], around[:end][::-1])

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -54,6 +54,10 @@ class Counts:
     words: np.ndarray
     pairs: np.ndarray
     texts: int
+    total: int = field(init=False)
+
+    def __post_init__(self):
+        self.total = int(self.words.sum())
 
     def losses(self, w: np.ndarray, p: np.ndarray, own: bool) -> np.ndarray:
         """Negative log probability of each token, in nats.
@@ -62,7 +66,7 @@ class Counts:
         text is scored by what it says itself.
         """
         word_counts, pair_counts = self.words[w].astype(float), self.pairs[p].astype(float)
-        total, texts = float(self.words.sum()), float(self.texts)
+        total, texts = float(self.total), float(self.texts)
         if own:
             _, at, n = np.unique(w, return_inverse=True, return_counts=True)
             word_counts -= n[at]
