@@ -3,12 +3,23 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 
+# Sessions with this flag encode and decode GBK in the JVM.
+CHARSETS = "spark.sql.legacy.javaCharsets"
+
+
+def _native() -> bool:
+    session = SparkSession.getActiveSession()
+    return session is not None and session.conf.get(CHARSETS, "false").lower() == "true"
+
+
 def encode_gbk(text: Column) -> Column:
-    # Spark's own encode and decode take GBK only under a legacy flag, hence Arrow batches.
+    if _native():
+        return F.encode(text, "GBK")
+
     @F.pandas_udf("binary")
     def encode(text: pd.Series) -> pd.Series:
         return text.map(lambda s: None if s is None else s.encode("gbk", errors="replace"))
@@ -19,8 +30,12 @@ def encode_gbk(text: Column) -> Column:
 def decode_output(raw: Column, is_windows: Column) -> Column:
     """GBK on Windows, UTF-8 elsewhere; GBK bytes that do not fit become U+FFFD.
 
-    Only the Windows rows carry bytes into Python; the others pass a null.
+    In the JVM where the session allows Java's charsets. Elsewhere only the Windows rows carry
+    bytes into Python; the others pass a null.
     """
+    if _native():
+        return F.when(is_windows, F.decode(raw, "GBK")).otherwise(F.decode(raw, "UTF-8"))
+
     @F.pandas_udf("string")
     def decode(raw: pd.Series) -> pd.Series:
         return raw.map(lambda b: None if b is None else bytes(b).decode("gbk", errors="replace"))

@@ -8,7 +8,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dockledger.functions.text import MONEY, NUMBER, date_stamp, iso_timestamp, money_text, padded_code
+from dockledger.functions.text import (
+    NUMBER, date_stamp, iso_timestamp, money_text, padded_code, parse_amount,
+)
 from dockledger.operators.skew import attach, collect_parts, lookup
 
 # Required fields, in the order they are checked.
@@ -16,8 +18,19 @@ REQUIRED = ("documentType", "documentNumber", "date", "supplier", "items")
 # Units kept as they are, and the unit of all others.
 KEPT_UNITS = ("套", "个")
 OTHER_UNIT = "PCS"
+# Currency, expiry date, prefixes of codes and ids, suffix of receipt numbers.
 CURRENCY = "CNY"
 EXPIRY_DATE = "2026-12-31"
+MATERIAL, BATCH, SHELF, SHELF_END = "MAT", "BATCH", "A-", "-01"
+EXECUTION, RECEIPT, RECEIPT_SUFFIX = "EXEC_", "GR", "00156"
+# Who carries out a run, what its report remarks, and the fields of a line in a
+# structured document.
+REPORT_OPERATOR = "RPA_AUTO_SYSTEM"
+REPORT_REMARKS = "自动化流程执行成功"
+LINE_FIELDS = (
+    "lineNumber", "materialCode", "materialName", "specification", "quantity", "unit", "unitPrice",
+    "totalPrice", "batchNumber", "productionDate", "expiryDate", "storageLocation",
+)
 
 
 # --- validation ------------------------------------------------------------
@@ -200,11 +213,30 @@ def place_lines(lines: DataFrame, as_of: Column, number: str = "lineNumber") ->
     """Codes derived from the line number and the day: material, batch, dates, location."""
     return lines.withColumns(
         {
-            "materialCode": padded_code("MAT", number),
-            "batchNumber": date_stamp("BATCH", as_of),
+            "materialCode": padded_code(MATERIAL, number),
+            "batchNumber": date_stamp(BATCH, as_of),
             "productionDate": F.date_format(as_of, "yyyy-MM-dd"),
             "expiryDate": F.lit(EXPIRY_DATE),
-            "storageLocation": padded_code("A-", number, 2, "-01"),
+            "storageLocation": padded_code(SHELF, number, 2, SHELF_END),
+        }
+    )
+
+
+def standard_lines(
+    lines: DataFrame, as_of: Column, mode: str = "recompute", stated: str = "totalPrice"
+) -> DataFrame:
+    """Typed lines with all fields of LINE_FIELDS; other columns are kept.
+
+    ``materialName`` is the line's name; a missing specification is empty.
+    """
+    specification = F.col("specification") if "specification" in lines.columns else F.lit(None)
+    placed = place_lines(lines, as_of)
+    return placed.withColumns(
+        {
+            "materialName": F.col("name"),
+            "specification": F.coalesce(specification.cast("string"), F.lit("")),
+            "unit": normalise_unit("unit"),
+            "totalPrice": line_amount(mode, stated),
         }
     )
 
@@ -248,11 +280,15 @@ def reconcile(
     """Compare the sum of the lines with the stated total.
 
     ``reconciles``: they differ by at most ``tolerance``, by default half a cent;
-    ``amount_ok``: by less than ``within``. Both null when nothing is stated.
+    ``amount_ok``: by less than ``within``. Both null when nothing is stated. A stated total
+    may be text with thousands separators; ``amount_error`` is true where it is no number.
     """
-    diff = F.col("totalAmount") - F.col(stated).cast(MONEY)
+    given = F.col(stated).cast("string")
+    number = parse_amount(given)
+    diff = F.col("totalAmount") - number
     return summaries.withColumns(
         {
+            "amount_error": given.isNotNull() & number.isNull(),
             "amount_diff": diff,
             "reconciles": F.abs(diff) <= F.lit(tolerance).cast(NUMBER),
             "amount_ok": F.abs(diff) < F.lit(within).cast(NUMBER),
@@ -265,22 +301,33 @@ def execution_report(
     as_of: Column,
     key: str = "documentNumber",
     receipt_suffix: Column | None = None,
-    operator: str = "System",
+    operator: str = REPORT_OPERATOR,
+    remarks: str = REPORT_REMARKS,
 ) -> DataFrame:
     """One report row per document. The id comes from the document, not from the clock."""
     document = F.col(key).cast("string")
-    suffix = F.lit("00156") if receipt_suffix is None else receipt_suffix
+    suffix = F.lit(RECEIPT_SUFFIX) if receipt_suffix is None else receipt_suffix
     return summaries.select(
-        F.concat(F.lit("EXEC_"), document).alias("executionId"),
+        F.concat(F.lit(EXECUTION), document).alias("executionId"),
         iso_timestamp(as_of).alias("executionTime"),
         document.alias("sourceDocument"),
-        F.concat(date_stamp("GR", as_of), suffix).alias("receiptNumber"),
+        F.concat(date_stamp(RECEIPT, as_of), suffix).alias("receiptNumber"),
         F.col("totalItems").alias("itemsProcessed"),
         "totalAmount",
         money_text("totalAmount").alias("amountText"),
         "currency",
         F.lit("SUCCESS").alias("status"),
         F.lit(operator).alias("operator"),
+        F.lit(remarks).alias("remarks"),
+    )
+
+
+def run_report(runs: DataFrame, as_of: Column, run: str = "run_id") -> DataFrame:
+    """The smaller report: id, time, script and status of each run."""
+    return runs.select(
+        F.concat(F.lit(EXECUTION), F.col(run).cast("string")).alias("executionId"),
+        iso_timestamp(as_of).alias("timestamp"),
+        "scriptPath", "scriptType", F.lit("SUCCESS").alias("status"),
     )
 
 
@@ -288,25 +335,28 @@ def nested_documents(
     headers: DataFrame,
     lines: DataFrame,
     summaries: DataFrame,
-    line_fields: Sequence[str],
+    line_fields: Sequence[str] = LINE_FIELDS,
     key: str = "documentNumber",
-    max_items: int = 10_000,
+    max_items: int | None = None,
 ) -> DataFrame:
-    """{header, items, summary} documents.
+    """{header, items, summary} documents, for a sink that takes them nested.
 
-    A document of more than ``max_items`` lines is written as several rows with the
-    same header and summary, numbered by ``part``; one without lines has empty items.
+    One row per document, with empty items if it has no lines. Flat headers, lines and
+    summaries are what other steps should read. With ``max_items`` a document is written in
+    rows of at most so many lines with the same header and summary, numbered by ``part``.
     """
     header = F.struct(*headers.columns).alias("header")
     totals = F.struct(*[c for c in summaries.columns if c != key]).alias("summary")
     heads = headers.select(key, header).join(summaries.select(key, totals), key)
     parts = collect_parts(lines, [key], "lineNumber", line_fields, max_items=max_items)
-    return heads.join(parts, key, "left").select(
-        key,
-        F.coalesce("part", F.lit(0)).alias("part"),
-        "header",
-        F.coalesce(F.col("items"), F.array()).alias("items"),
-        "summary",
+    items = F.coalesce(F.col("items"), F.array()).alias("items")
+    if max_items is None:
+        return heads.join(parts, key, "left").select(key, "header", items, "summary")
+    # Parts of one document may be many: they are the side that is salted.
+    filled = attach(parts, heads, [key], "inner").select(key, "part", "header", "items", "summary")
+    bare = heads.join(parts.select(key).distinct(), key, "left_anti")
+    return filled.unionByName(bare.withColumn("part", F.lit(0).cast("long")), allowMissingColumns=True).select(
+        key, "part", "header", items, "summary"
     )
 
 
@@ -338,8 +388,3 @@ def over_capacity(
     return stock.join(capacity, list(keys)).where(F.col("stock") > F.col("capacity")).withColumn(
         "excess", F.col("stock") - F.col("capacity")
     )
-
-
-def lines_of(rows: DataFrame, documents: DataFrame, key: str = "documentNumber") -> DataFrame:
-    """Lines with the columns of their document."""
-    return attach(rows, documents, [key], "inner")

@@ -33,21 +33,24 @@ def per_group(
     order: Sequence[str],
     fn: Callable[[pd.DataFrame], pd.DataFrame],
     schema: T.StructType | str,
-    chunk_rows: int = 100_000,
+    chunk_rows: int | None = None,
     limit: int | None = None,
 ) -> DataFrame:
     """Call pandas code once per group, in row order.
 
-    A group over ``chunk_rows`` rows arrives in several calls, so that no call holds
-    an unbounded group. Each row carries its position in the group (``group_row``),
-    the size of the group (``group_rows``) and the number of the call (``group_part``),
-    by which code that adds up over the group can tell its partial results apart.
+    Each row carries its position in the group (``group_row``) and the size of the group
+    (``group_rows``). One call holds a whole group, as the code asks for. Only a caller
+    that can work on pieces gives ``chunk_rows``: then a group comes in calls of at
+    most so many rows, and ``group_part`` is the number of the call.
     """
-    numbered = positions(df, keys, order, "group_row", "group_rows", limit).withColumn(
-        "group_part", F.floor((F.col("group_row") - 1) / chunk_rows).cast("long")
-    )
+    numbered = positions(df, keys, order, "group_row", "group_rows", limit)
+    if chunk_rows is not None:
+        numbered = numbered.withColumn(
+            "group_part", F.floor((F.col("group_row") - 1) / chunk_rows).cast("long")
+        )
+        keys = [*keys, "group_part"]
 
     def call(rows: pd.DataFrame) -> pd.DataFrame:
         return fn(rows.sort_values("group_row", ignore_index=True))
 
-    return numbered.groupBy(*keys, "group_part").applyInPandas(call, schema)
+    return numbered.groupBy(*keys).applyInPandas(call, schema)

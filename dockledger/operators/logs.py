@@ -88,8 +88,7 @@ def reset_states(
 ) -> DataFrame:
     """States with those before the last stop or reset of their run put back to idle."""
     last = resets.groupBy(run).agg(F.max(at).alias("_reset_at"))
-    # A run has one state per step, so its rows here are few: no skew to look for.
-    out = attach(states, last, [run], "left", hot=[])
+    out = attach(states, last, [run], "left")
     return out.withColumn(
         "status",
         F.when(F.col("_reset_at") >= F.col("changed_at"), F.lit("idle")).otherwise(F.col("status")),

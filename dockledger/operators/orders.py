@@ -26,12 +26,13 @@ ORDER_CONSTANTS = {
 # Phrase in a message, outcome code, text written back (None keeps the message).
 OUTCOME_RULES = (
     ("超出预算", "OVER_BUDGET", "超预算"),
-    ("凭证仍有错", "VOUCHER_ERROR", "凭证仍有错"),
     ("没有满足选择标准的数据存在", "NO_DATA", None),
     ("行号信息不完整", "INCOMPLETE_LINES", None),
     ("公司信息不正确", "BAD_SUPPLIER", None),
     ("订单金额不正确", "WRONG_AMOUNT", None),
 )
+# Fixed value: the question after saving that means failure. Any other text there goes on.
+VOUCHER_ERROR = "凭证仍有错"
 
 
 def _order_key(order: Sequence[str]) -> Column:
@@ -162,33 +163,62 @@ def missing_lines(required: DataFrame, available: DataFrame, keys: Sequence[str]
     return repeat_rows(short, "_short")
 
 
+def _line_text(df: DataFrame, line: str) -> Column:
+    whole = isinstance(df.schema[line].dataType, T.IntegralType)
+    return F.col(line).cast("string") if whole else whole_number_text(line)
+
+
 def line_completeness(
-    required: DataFrame, available: DataFrame, keys: Sequence[str], line: str
+    required: DataFrame,
+    available: DataFrame,
+    required_keys: Sequence[str],
+    available_keys: Sequence[str],
+    line: str,
 ) -> DataFrame:
-    """Every order (``keys``) that requires lines: lines required, on offer and missing.
+    """Every group (``required_keys``) that requires lines: lines required, on offer and missing.
 
-    Line numbers are compared as whole-number text. The counts per key and line are
-    subtracted, then added up per key: the bag difference without its rows.
+    What is on offer belongs to ``available_keys``, some of the group's keys: each supplier's
+    group of a requisition is checked against all lines of the requisition, whether or not
+    they name a supplier. Line numbers are compared as whole-number text.
     """
-    def counted(df: DataFrame, sign: int) -> DataFrame:
-        whole = isinstance(df.schema[line].dataType, T.IntegralType)
-        number = F.col(line).cast("string") if whole else whole_number_text(line)
-        return df.select(*keys, number.alias("_line"), F.lit(sign).alias("_n"))
-
-    side = counted(required, 1).unionByName(counted(available, -1))
-    per_line = side.groupBy(*keys, "_line").agg(
-        F.sum("_n").alias("_short"),
-        F.count_if(F.col("_n") > 0).alias("_required"),
-        F.count_if(F.col("_n") < 0).alias("_available"),
+    side = required.select(
+        *required_keys, _line_text(required, line).alias("_line"), F.lit(1).alias("_need"), F.lit(0).alias("_have")
+    ).unionByName(
+        available.select(
+            *available_keys, _line_text(available, line).alias("_line"),
+            F.lit(0).alias("_need"), F.lit(1).alias("_have"),
+        ),
+        allowMissingColumns=True,
     )
+    per_line = side.groupBy(*required_keys, "_line").agg(F.sum("_need").alias("_need"), F.sum("_have").alias("_have"))
+    return group_totals(offered_lines(per_line, available_keys), required_keys)
+
+
+def offered_lines(per_line: DataFrame, available_keys: Sequence[str], line: str = "_line") -> DataFrame:
+    """Rows (keys, line, _need, _have) with what the requisition offers of the line, ``_of_line``, and at all, ``_of_all``.
+
+    The rows are counts already. If a requisition has too many different ones for one task, its
+    total is joined to them with salt.
+    """
+    of_line = F.sum("_have").over(Window.partitionBy(*available_keys, line))
+    out = per_line.withColumn("_of_line", of_line)
+    hot = hot_keys(per_line, available_keys)
+    if not hot:
+        return out.withColumn("_of_all", F.sum("_have").over(Window.partitionBy(*available_keys)))
+    totals = per_line.groupBy(*available_keys).agg(F.sum("_have").alias("_of_all"))
+    return attach(out, totals, available_keys, "inner", hot=hot)
+
+
+def group_totals(lines: DataFrame, keys: Sequence[str], *more: Column) -> DataFrame:
+    """One row per group from :func:`offered_lines`; ``more`` are further aggregates of its lines."""
     return (
-        per_line.groupBy(*keys)
+        lines.where(F.col("_need") > 0).groupBy(*keys)
         .agg(
-            F.sum("_required").alias("n_required"),
-            F.sum("_available").alias("n_available"),
-            F.sum(F.greatest("_short", F.lit(0))).alias("n_missing"),
+            F.sum("_need").alias("n_required"),
+            F.max("_of_all").alias("n_available"),
+            F.sum(F.greatest(F.col("_need") - F.col("_of_line"), F.lit(0))).alias("n_missing"),
+            *more,
         )
-        .where(F.col("n_required") > 0)
         .withColumn("complete", F.col("n_missing") == 0)
     )
 
@@ -228,31 +258,33 @@ def apply_prices(
 
 # --- outcomes ---------------------------------------------------------------
 
-def classify_outcome(popup: Column | str, status: Column | str) -> Column:
+def classify_outcome(popup: Column | str, question: Column | str, status: Column | str) -> Column:
     """Struct (order_no, outcome_code, message) of one attempt to create an order.
 
-    A pop-up text means failure and is classified by its phrases; any other pop-up
-    text is kept. Without pop-up the status line holds the new order number; without
+    A pop-up text on saving means failure and is classified by its phrases; other text
+    there is kept. The question that may follow means failure if it speaks of a faulty
+    voucher; with any other text the attempt goes on. Then the status line holds the new order number; without
     a number there the attempt failed and the message is empty.
     """
-    popup = F.col(popup) if isinstance(popup, str) else popup
-    status = F.col(status) if isinstance(status, str) else status
+    popup, question, status = (F.col(c) if isinstance(c, str) else c for c in (popup, question, status))
     number = first_number(status)
     code = outcome_rule(popup, [(p, c) for p, c, _ in OUTCOME_RULES], F.lit("OTHER"))
     text = outcome_rule(
         popup, [(p, popup if t is None else F.lit(t)) for p, _, t in OUTCOME_RULES], popup
     )
+    voucher = F.coalesce(F.contains(question, F.lit(VOUCHER_ERROR)), F.lit(False))
     return F.struct(
-        F.when(popup.isNull(), number).alias("order_no"),
-        F.when(popup.isNotNull(), code)
+        F.when(popup.isNull() & ~voucher, number).alias("order_no"),
+        F.when(popup.isNotNull(), code).when(voucher, F.lit("VOUCHER_ERROR"))
         .when(number.isNotNull(), F.lit("CREATED")).otherwise(F.lit("FAILED")).alias("outcome_code"),
-        F.when(popup.isNotNull(), text)
+        F.when(popup.isNotNull(), text).when(voucher, F.lit(VOUCHER_ERROR))
         .when(number.isNotNull(), number.cast("string")).otherwise(F.lit("")).alias("message"),
     )
 
 
 def attempt_outcome(
-    n_available: Column, n_missing: Column, supplier_known: Column, popup: Column, status: Column
+    n_available: Column, n_missing: Column, supplier_known: Column,
+    popup: Column, question: Column, status: Column,
 ) -> Column:
     """Struct as of :func:`classify_outcome` for a whole attempt, checks in their order.
 
@@ -264,7 +296,7 @@ def attempt_outcome(
         .when(n_missing > 0, F.lit("行号信息不完整"))
         .when(~supplier_known, F.lit("公司信息不正确"))
     )
-    return classify_outcome(F.coalesce(early, popup), status)
+    return classify_outcome(F.coalesce(early, popup), question, status)
 
 
 def write_back(

@@ -10,7 +10,8 @@ the strategy and never the rows.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Collection, Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -22,12 +23,12 @@ from dockledger.session import shared_folder
 # Rows of one key that a single task may sort or join on its own; a session may set
 # spark.dockledger.maxGroupRows.
 MAX_GROUP_ROWS = 5_000_000
-# Rows a table may have to be broadcast; spark.dockledger.maxBroadcastRows.
+# Rows and bytes a table may have to be broadcast; spark.dockledger.maxBroadcastRows and
+# spark.dockledger.maxBroadcastBytes.
 MAX_BROADCAST_ROWS = 200_000
-# More keys than this cannot each be a large share of the data.
-MAX_HOT_KEYS = 1_000
-# Tasks that share the rows of one hot key in a join.
-SALTS = 64
+MAX_BROADCAST_BYTES = 64 << 20
+# Fewest tasks that share the rows of a hot key in a join.
+SALTS = 8
 
 
 def _setting(df: DataFrame, name: str, given: int | None, default: int) -> int:
@@ -36,13 +37,12 @@ def _setting(df: DataFrame, name: str, given: int | None, default: int) -> int:
     return int(df.sparkSession.conf.get(f"spark.dockledger.{name}", str(default)))
 
 
-def hot_keys(df: DataFrame, keys: Sequence[str], limit: int | None = None) -> list[int]:
-    """Hashes of the keys that hold more than about ``limit`` rows.
+def hot_keys(df: DataFrame, keys: Sequence[str], limit: int | None = None) -> dict[int, int]:
+    """Hashes of the keys that hold more than about ``limit`` rows, and about how many limits each.
 
     Reads the key columns only and shuffles about 200 sampled rows per ``limit``
     input rows. A key of ``limit`` rows is expected 200 times in the sample and
-    is reported from 100 on. At most MAX_HOT_KEYS come back to the driver; the
-    others just stay on the plain way.
+    is reported from 100 on. There are at most rows / ``limit`` of them.
     """
     limit = _setting(df, "maxGroupRows", limit, MAX_GROUP_ROWS)
     fraction = min(1.0, 200.0 / limit)
@@ -52,15 +52,23 @@ def hot_keys(df: DataFrame, keys: Sequence[str], limit: int | None = None) -> li
         floor = 100
     else:
         floor = limit
-    found = (
-        rows.groupBy("key").count().where(F.col("count") > floor)
-        .orderBy(F.desc("count"), "key").limit(MAX_HOT_KEYS).collect()
-    )
-    return [row["key"] for row in found]
+    found = rows.groupBy("key").count().where(F.col("count") > floor).collect()
+    return {row["key"]: math.ceil(row["count"] / fraction / limit) for row in found}
+
+
+def _is_hot(keys: Sequence[str], hot: Collection[int]) -> Column:
+    return F.xxhash64(*keys).isin(list(hot))
 
 
-def _is_hot(keys: Sequence[str], hot: list[int]) -> Column:
-    return F.xxhash64(*keys).isin(hot)
+def _salts(keys: Sequence[str], hot: Mapping[int, int]) -> Column:
+    """Parts of each key: a power of two, about two for each limit of rows it holds; one if not hot."""
+    by_number: dict[int, list[int]] = {}
+    for key, times in hot.items():
+        by_number.setdefault(1 << max(SALTS, 2 * times).bit_length(), []).append(key)
+    out = F.lit(1)
+    for number, members in by_number.items():
+        out = F.when(_is_hot(keys, members), F.lit(number)).otherwise(out)
+    return out
 
 
 def positions(
@@ -70,7 +78,7 @@ def positions(
     position: str = "position",
     total: str | None = None,
     limit: int | None = None,
-    hot: list[int] | None = None,
+    hot: Mapping[int, int] | None = None,
 ) -> DataFrame:
     """Number the rows of each key from 1 in ``order``; optionally add the group size.
 
@@ -139,12 +147,12 @@ def attach(
     keys: Sequence[str],
     how: str = "left",
     limit: int | None = None,
-    hot: list[int] | None = None,
+    hot: Mapping[int, int] | None = None,
 ) -> DataFrame:
     """Join rows to a table that has at most one row per key.
 
-    The rows of a hot key are spread over SALTS tasks and the table row of that
-    key is repeated SALTS times; all other keys keep one copy. The salt hashes the
+    The rows of a hot key are spread over as many tasks as its size asks for, and the
+    table row of that key is repeated so often; all other keys keep one copy. The salt hashes the
     row with its partition number, so equal rows are spread too and a task that
     runs again gives its rows the same salts. ``how`` may be any join that keeps
     or drops whole left rows: inner, left, left_semi, left_anti.
@@ -157,16 +165,38 @@ def attach(
         f.name for f in rows.schema.fields
         if not isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType, T.VariantType))
     ]
-    salt = F.pmod(F.xxhash64(*plain, F.spark_partition_id()), F.lit(SALTS)).cast("int")
-    salted = rows.withColumn("_salt", F.when(_is_hot(keys, hot), salt).otherwise(0))
-    copies = F.when(_is_hot(keys, hot), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(
-        F.array(F.lit(0))
-    )
+    salts = _salts(keys, hot)
+    salt = F.pmod(F.xxhash64(*plain, F.spark_partition_id()), salts).cast("int")
+    salted = rows.withColumn("_salt", salt)
+    copies = F.sequence(F.lit(0), salts - 1)
     return salted.join(
         table.withColumn("_salt", F.explode(copies)), [*keys, "_salt"], how
     ).drop("_salt")
 
 
+def is_small(table: DataFrame, max_rows: int | None = None, max_bytes: int | None = None) -> bool:
+    """Whether a table may be broadcast, by the rows and bytes of each of its partitions.
+
+    One number pair for each partition comes to the driver; no rows are gathered to be counted.
+    """
+    max_rows = _setting(table, "maxBroadcastRows", max_rows, MAX_BROADCAST_ROWS)
+    max_bytes = _setting(table, "maxBroadcastBytes", max_bytes, MAX_BROADCAST_BYTES)
+
+    def width(field: T.StructField) -> Column:
+        column = F.col(f"`{field.name}`")
+        if isinstance(field.dataType, (T.StringType, T.BinaryType)):
+            return F.coalesce(F.octet_length(column), F.lit(0)) + 16
+        if isinstance(field.dataType, (T.ArrayType, T.MapType, T.StructType)):
+            return F.coalesce(F.octet_length(F.to_json(F.struct(column))), F.lit(0)) + 16
+        return F.lit(16)
+
+    total = reduce(lambda a, b: a + b, [width(f) for f in table.schema.fields], F.lit(0)).cast("long")
+    parts = table.select(total.alias("_bytes"), F.spark_partition_id().alias("_part")).groupBy("_part").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("_bytes").alias("bytes")
+    ).collect()
+    return sum(p["n"] for p in parts) <= max_rows and sum(p["bytes"] for p in parts) <= max_bytes
+
+
 def lookup(
     rows: DataFrame,
     table: DataFrame,
@@ -176,17 +206,15 @@ def lookup(
     limit: int | None = None,
     counted: DataFrame | None = None,
 ) -> DataFrame:
-    """:func:`attach` that broadcasts the table after counting that it is small.
+    """:func:`attach` that broadcasts the table after finding that it is small.
 
-    ``counted`` is the table to count instead: one with at least as many rows that
-    needs no work to read. The count stops after ``max_rows``. A semi or anti join
-    takes a table with repeated keys.
+    ``counted`` is the table to measure instead: one with at least as many rows that
+    needs no work to read. A semi or anti join takes a table with repeated keys.
     """
-    max_rows = _setting(rows, "maxBroadcastRows", max_rows, MAX_BROADCAST_ROWS)
     only_keys = how in ("left_semi", "left_anti")
     if only_keys:
         table = table.select(*keys)
-    if (table if counted is None else counted).limit(max_rows + 1).count() <= max_rows:
+    if is_small(table if counted is None else counted, max_rows):
         return rows.join(F.broadcast(table), list(keys), how)
     return attach(rows, table.distinct() if only_keys else table, keys, how, limit)
 
@@ -198,6 +226,7 @@ def repeat_rows(df: DataFrame, times: str, chunk: int = 10_000) -> DataFrame:
     over tasks, so that neither an array nor one task grows with the number.
     """
     count = F.col(times)
+    keys = [c for c in df.columns if c != times]
     # A fixed number of partitions: by their size in bytes, AQE would merge chunks
     # that are small now and large once written out.
     partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -206,7 +235,7 @@ def repeat_rows(df: DataFrame, times: str, chunk: int = 10_000) -> DataFrame:
         df.where(count > chunk)
         .withColumn("_chunk", F.explode(F.sequence(F.lit(0), F.floor((count - 1) / chunk))))
         .withColumn(times, F.least(count - F.col("_chunk") * chunk, F.lit(chunk)))
-        .repartition(partitions, "_chunk")
+        .repartition(partitions, *keys, "_chunk")
         .drop("_chunk")
     )
     out = few.unionByName(many)
@@ -221,20 +250,21 @@ def collect_parts(
     position: str,
     fields: Sequence[str],
     items: str = "items",
-    max_items: int = 10_000,
+    max_items: int | None = None,
 ) -> DataFrame:
-    """Rows to arrays, at most ``max_items`` to an array.
+    """Rows to arrays, one for each key.
 
-    ``position`` numbers the rows of a key from 1. A key with more rows than
-    ``max_items`` gives several output rows, numbered by ``part`` from 0, so that
-    no array grows with the data and no row is left out. The result asks to be
+    ``position`` numbers the rows of a key from 1. A caller whose keys may have more rows than
+    one array should hold asks for parts: with ``max_items``, every key gives rows
+    numbered by ``part`` from 0 with at most so many items each. The result asks to be
     merged, never broadcast, in a join: size estimates do not see inside arrays.
     """
-    part = F.floor((F.col(position) - 1) / max_items).cast("long")
     entry = F.struct(position, *[f for f in fields if f != position])
+    if max_items is not None:
+        df = df.withColumn("part", F.floor((F.col(position) - 1) / max_items).cast("long"))
+        keys = [*keys, "part"]
     return (
-        df.withColumn("part", part)
-        .groupBy(*keys, "part")
+        df.groupBy(*keys)
         .agg(F.array_sort(F.collect_list(entry)).alias(items))
         .hint("merge")
     )

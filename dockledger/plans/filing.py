@@ -63,7 +63,7 @@ def file_totals(spark: SparkSession, folder: str) -> DataFrame:
     "N4",
     f"""with {_FILES_SQL},
     counted as (select source, extension, count(*) as n from files group by 1, 2)
-    select source, cast(0 as bigint) as part, count(*) as n_types,
+    select source, count(*) as n_types,
       string_agg(concat(extension, '=', n), ',' order by extension) as file_types
     from counted group by 1""",
 )
@@ -75,7 +75,7 @@ def file_type_maps(spark: SparkSession, folder: str) -> DataFrame:
         lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string")),
     )
     return maps.select(
-        "source", "part", F.size("file_types").cast("long").alias("n_types"),
+        "source", F.size("file_types").cast("long").alias("n_types"),
         F.array_join(entries, ",").alias("file_types"),
     )
 
@@ -102,9 +102,9 @@ def form_fields(spark: SparkSession, folder: str) -> DataFrame:
     """with placed as (
       select *, row_number() over (partition by p_brand order by p_partkey) as n,
         count(*) over (partition by p_brand) as total_items from part)
-    select p_brand, (n - 1) // 10000 as part, total_items,
+    select p_brand, total_items,
       string_agg(upper(p_name), ',' order by p_partkey) as processed_data, 'completed' as status
-    from placed group by 1, 2, 3""",
+    from placed group by 1, 2""",
 )
 def value_report(spark: SparkSession, folder: str) -> DataFrame:
     rows = table(spark, folder, "part").select("p_brand", "p_partkey", "p_name")
@@ -149,22 +149,42 @@ def file_language(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-# Stand-in inventory: a part is a host; brand and size make its version texts.
+# Stand-in inventory: a part is a host; brand and size make its version texts, which end in a
+# newline, as a command prints them. Some hosts give blank or empty text, or none.
 _HOSTS_SQL = """raw as (
-      select p_partkey as host, p_size as v, right(p_brand, 1)::int as minor, p_type from part),
+      select p_partkey as host, p_size as v, right(p_brand, 1)::int as minor, p_type, p_partkey % 9 as odd
+      from part),
     graded as (
       select host, 'Node.js' as name,
-        case when p_type = 'LARGE' then null else v end as major,
-        case when p_type = 'LARGE' then 'error' when v >= 16 then 'success' else 'warning' end as status
+        case when p_type = 'LARGE' or odd = 4 then null else v end as major,
+        case when p_type = 'LARGE' then null when odd = 4 then '' else concat('v', v, '.', minor, '.0') end as version,
+        case when p_type = 'LARGE' then 'error' when odd <> 4 and v >= 16 then 'success' else 'warning' end as status,
+        case when p_type = 'LARGE' then '未找到Node.js，请安装Node.js运行环境'
+          when odd = 4 then '无法解析版本号，但Node.js已安装' when v >= 16 then '版本符合要求'
+          else concat('建议升级到 Node.js 16+ 以获得更好的性能，当前版本：v', v, '.', minor, '.0') end as message
       from raw
       union all
-      select host, 'Python', case when p_type = 'SMALL' then null when v > 25 then 3 else 2 end,
-        case when p_type = 'SMALL' then 'warning' when v > 25 and minor >= 7 then 'success'
-          else 'warning' end
+      select host, 'Python', case when p_type = 'SMALL' or odd = 5 then null when v > 25 then 3 else 2 end,
+        case when odd = 5 then '' when p_type = 'SMALL' then 'Python unknown'
+          else concat('Python ', case when v > 25 then 3 else 2 end, '.', minor, '.1') end,
+        case when odd <> 5 and p_type <> 'SMALL' and v > 25 and minor >= 7 then 'success' else 'warning' end,
+        case when odd = 5 or p_type = 'SMALL' then '无法解析版本号，但Python已安装'
+          when v > 25 and minor >= 7 then '版本符合要求，使用命令：python3'
+          when v > 25 and minor >= 6 then concat('建议升级到Python 3.7+，当前版本：Python 3.', minor, '.1')
+          else concat('版本可能不兼容，建议使用Python 3.7+，当前版本：Python ',
+            case when v > 25 then 3 else 2 end, '.', minor, '.1') end
       from raw
       union all
-      select host, 'Java', case when v < 9 then v else v end,
-        case when v >= 11 then 'success' else 'warning' end
+      select host, 'Java', case when odd not in (6, 7) then v end,
+        case when odd = 7 then null when odd = 6 then 'Java (未知版本)'
+          when v < 9 then concat('Java 1.', v, '.0_1') else concat('Java ', v, '.0.2') end,
+        case when odd = 7 then 'error' when odd <> 6 and v >= 11 then 'success' else 'warning' end,
+        case when odd = 7 then '未找到Java，请安装JDK 11+（需要包含java和javac命令）'
+          when odd = 6 then '无法解析Java版本号，但JDK已安装（包含java和javac）'
+          when v >= 11 then 'JDK版本符合要求（包含java和javac）'
+          when v >= 9 then concat('JDK已安装但建议升级到Java 11+，当前版本：', v, '.0.2')
+          when v >= 8 then concat('JDK已安装但建议升级到Java 11+，当前版本：1.', v, '.0_1')
+          else concat('JDK版本过低，建议升级到Java 11+，当前版本：1.', v, '.0_1') end
       from raw where p_type <> 'PROMO')"""
 
 
@@ -173,12 +193,16 @@ def _graded(spark: SparkSession, folder: str) -> DataFrame:
         F.col("p_partkey").alias("host"), F.col("p_size").cast("string").alias("v"),
         F.right("p_brand", F.lit(1)).alias("minor"), "p_type",
     )
-    node = F.when(F.col("p_type") != "LARGE", F.concat(F.lit("v"), "v", F.lit("."), "minor", F.lit(".0")))
-    python = F.when(F.col("p_type") == "SMALL", F.lit("Python unknown")).otherwise(
+    odd = F.col("host") % 9
+    node = F.when(
+        F.col("p_type") != "LARGE",
+        F.when(odd == 4, F.lit("  ")).otherwise(F.concat(F.lit("v"), "v", F.lit("."), "minor", F.lit(".0\n"))),
+    )
+    python = F.when(odd == 5, F.lit("")).when(F.col("p_type") == "SMALL", F.lit("Python unknown\n")).otherwise(
         F.concat(F.lit("Python "), F.when(F.col("v").cast("int") > 25, "3").otherwise("2"),
-                 F.lit("."), "minor", F.lit(".1"))
+                 F.lit("."), "minor", F.lit(".1\n"))
     )
-    java = F.when(F.col("v").cast("int") < 9, F.concat(F.lit('java version "1.'), "v", F.lit('.0_1"'))) \
+    java = F.when(odd == 6, F.lit(" \n")).when(odd == 7, F.lit("")).when(F.col("v").cast("int") < 9, F.concat(F.lit('java version "1.'), "v", F.lit('.0_1"'))) \
         .otherwise(F.concat(F.lit('openjdk version "'), "v", F.lit('.0.2"')))
     texts = part.select(
         "host",
@@ -197,13 +221,27 @@ def _graded(spark: SparkSession, folder: str) -> DataFrame:
     return inventory.grade_runtimes(texts)
 
 
-@query("F24 F25", f"with {_HOSTS_SQL} select host, name, cast(major as varchar) as major, status from graded")
+@query("F24 F25", f"with {_HOSTS_SQL} select host, name, cast(major as varchar) as major, version, status, message from graded")
 def version_grades(spark: SparkSession, folder: str) -> DataFrame:
     return _graded(spark, folder).select(
-        "host", "name", F.col("major").cast("string").alias("major"), "status"
+        "host", "name", F.col("major").cast("string").alias("major"), "version", "status", "message"
     )
 
 
+@query(
+    "J6",
+    f"""with {_HOSTS_SQL}
+    select w.host, w.name, g.version, coalesce(g.status, 'error') as status,
+      coalesce(g.message, '检查失败') as message
+    from (select host, unnest(['Node.js', 'Python', 'Java']) as name from raw) w
+    left join graded g on g.host = w.host and g.name = w.name""",
+)
+def runtime_report(spark: SparkSession, folder: str) -> DataFrame:
+    """Every wanted runtime of every host, with what the check says."""
+    hosts = table(spark, folder, "part").select(F.col("p_partkey").alias("host"))
+    return inventory.runtime_report(_graded(spark, folder), hosts).drop("required")
+
+
 @query(
     "J6 A7 A8",
     f"""with {_HOSTS_SQL},

@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 
 from dockledger.functions.text import MONEY, money_text, parse_amount, whole_number_text
 from dockledger.operators import changes, hooks, orders
-from dockledger.operators.skew import lookup, positions
+from dockledger.operators.skew import attach, hot_keys, lookup, positions
 from dockledger.plans.registry import query, table
 from dockledger.session import scratch_path
 from dockledger.sources import sinks, tables
@@ -164,7 +164,9 @@ def order_completeness(spark: SparkSession, folder: str) -> DataFrame:
     erp = rows.where("l_linestatus = 'F'").select(
         "l_orderkey", F.col("l_linenumber").alias("line")
     )
-    checked = orders.line_completeness(sheet, erp.unionByName(erp), ["l_orderkey"], "line")
+    checked = orders.line_completeness(
+        sheet, erp.unionByName(erp), ["l_orderkey"], ["l_orderkey"], "line"
+    )
     return checked.select("l_orderkey", "n_required", "n_missing", "complete")
 
 
@@ -262,14 +264,16 @@ def write_back_by_supplier(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query(
-    "A2 A3 J2 J3 F11 F12 F19 F20 J1",
+    "A2 A3 J2 J3 F11 F12 F19 J1",
     f"""with offered as (
-      select l_orderkey, l_suppkey, l_linenumber, count(*) as need,
-        count(*) filter (where l_returnflag <> 'R') as have
-      from lineitem group by 1, 2, 3),
+      select l_orderkey, l_linenumber, count(*) filter (where l_returnflag <> 'R') as have
+      from lineitem group by 1, 2),
+    on_offer as (select l_orderkey, sum(have) as n_have from offered group by 1),
+    needed as (
+      select l_orderkey, l_suppkey, l_linenumber, count(*) as need from lineitem group by 1, 2, 3),
     groups as (
-      select l_orderkey, l_suppkey, sum(greatest(need - have, 0)) as n_missing, sum(have) as n_have
-      from offered group by 1, 2),
+      select l_orderkey, l_suppkey, sum(greatest(need - have, 0)) as n_missing
+      from needed join offered using (l_orderkey, l_linenumber) group by 1, 2),
     firsts as (
       select l_orderkey, l_suppkey,
         arg_min(p_type, {{'a': l_linenumber, 'b': l_partkey}}) as group_type
@@ -279,8 +283,10 @@ def write_back_by_supplier(spark: SparkSession, folder: str) -> DataFrame:
           when n_missing > 0 then '行号信息不完整'
           when s_acctbal < 0 then '公司信息不正确'
           when group_type = '{TAXED_TYPE}' then '超预算'
+          when l_orderkey % 7 = 0 then '凭证仍有错'
           else cast(4500000000 + l_orderkey as varchar) end as outcome
-      from groups join firsts using (l_orderkey, l_suppkey) join supplier on l_suppkey = s_suppkey),
+      from groups join on_offer using (l_orderkey) join firsts using (l_orderkey, l_suppkey)
+      join supplier on l_suppkey = s_suppkey),
     winners as (
       select l_orderkey, l_linenumber, arg_max(outcome, l_suppkey) as outcome
       from lineitem join outcomes using (l_orderkey, l_suppkey) group by 1, 2)
@@ -290,29 +296,47 @@ def write_back_by_supplier(spark: SparkSession, folder: str) -> DataFrame:
 def purchase_orders(spark: SparkSession, folder: str) -> DataFrame:
     """Whole order flow: group, check lines and supplier, submit, classify, write back.
 
-    Returned lines are not on offer; orders of the taxed type exceed their budget.
+    Returned lines are not on offer; what is on offer counts for the whole requisition. Orders of the taxed type
+    exceed their budget, every seventh has a faulty voucher, the others a question that goes on.
+
+    The lines are counted once per (order, supplier, line); everything up to the winning outcome of a
+    line works on these counts, which lie together by order.
     """
     group = ["l_orderkey", "l_suppkey"]
     rows = table(spark, folder, "lineitem").select(*ROW_ID, "l_returnflag")
-    offered = rows.where("l_returnflag <> 'R'")
-    lines = orders.line_completeness(rows, offered, group, "l_linenumber")
-    firsts = orders.order_groups(
-        _sheet(spark, folder), group, ["l_linenumber", "l_partkey"], ["p_type"]
-    )
-    suppliers = table(spark, folder, "supplier").select(
-        F.col("s_suppkey").alias("l_suppkey"), (F.col("s_acctbal") >= 0).alias("known")
+    types = table(spark, folder, "part").select(F.col("p_partkey").alias("l_partkey"), "p_type")
+    suppliers = table(spark, folder, "supplier")
+    line = whole_number_text(F.concat(F.col("l_linenumber").cast("string"), F.lit(".0")))
+    first = F.min_by("p_type", F.struct("l_linenumber", "l_partkey"))
+    order = F.min(F.struct("l_linenumber", "l_partkey"))
+    counted = lookup(rows, types, ["l_partkey"], "inner").groupBy(*group, "l_linenumber").agg(
+        F.count(F.lit(1)).alias("_need"), F.count_if(F.col("l_returnflag") != "R").alias("_have"),
+        first.alias("_type"), order.alias("_order"),
+    ).withColumn("_line", line)
+    if not hot_keys(rows, ["l_orderkey"]):
+        counted = counted.repartition("l_orderkey")
+    offered = orders.offered_lines(counted, ["l_orderkey"])
+    groups = orders.group_totals(offered, group, F.min_by("_type", "_order").alias("p_type"))
+    named = lookup(
+        groups, suppliers.select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_name").alias("supplier_name")),
+        ["l_suppkey"], "inner",
     )
-    attempts = lookup(
-        firsts.join(lines, group), suppliers, ["l_suppkey"], "inner"
+    codes = suppliers.where("s_acctbal >= 0").select(
+        F.col("s_name").alias("supplier_name"), F.concat(F.lit("SP"), "s_suppkey").alias("supplier_code")
     )
+    coded = orders.supplier_code(named, codes)
     popup = F.when(F.col("p_type") == TAXED_TYPE, F.lit("项目超出预算"))
+    question = F.when(F.col("l_orderkey") % 7 == 0, F.lit("凭证仍有错，是否保留")).otherwise("系统消息已发出")
     status = F.concat(F.lit("订单 "), (F.col("l_orderkey") + 4500000000).cast("string"))
     outcome = orders.attempt_outcome(
-        F.col("n_available"), F.col("n_missing"), F.col("known"), popup, status
+        F.col("n_available"), F.col("n_missing"), F.col("supplier_code").startswith("SP"),
+        popup, question, status,
     )
-    outcomes = attempts.select(*group, outcome["message"].alias("outcome"))
-    sheet = rows.select(*ROW_ID, F.lit(None).cast("string").alias("info"))
-    return orders.write_back(sheet, outcomes, "l_orderkey", "l_linenumber", "l_suppkey")
+    outcomes = coded.select(*group, outcome["message"].alias("outcome"))
+    winners = offered.select(*group, "l_linenumber").join(outcomes, group).groupBy("l_orderkey", "l_linenumber").agg(
+        F.max_by("outcome", "l_suppkey").alias("info")
+    )
+    return attach(rows.select(*ROW_ID), winners, ["l_orderkey", "l_linenumber"], "inner").select(*ROW_ID, "info")
 
 
 @query(
@@ -320,39 +344,40 @@ def purchase_orders(spark: SparkSession, folder: str) -> DataFrame:
     """with raw as (
       select event_id, case event_type
           when 'error' then concat('项目超出预算 ', props)
-          when 'signup' then '凭证仍有错，是否保留'
           when 'click' then '没有满足选择标准的数据存在'
           when 'view' then concat('其他消息 ', event_id) end as popup,
+        case when event_type = 'signup' and value >= 50 then '凭证仍有错，是否保留'
+          when event_type = 'signup' then '系统消息已发出' end as question,
         case when value >= 10 then concat('标准采购订单 ', 4500000000 + event_id, ' 已创建 9')
           else '没有编号' end as status
-      from events)
-    select event_id, case when popup is null
+      from events),
+    judged as (select *, coalesce(contains(question, '凭证仍有错'), false) as voucher from raw)
+    select event_id, case when popup is null and not voucher
         then nullif(regexp_extract(status, '\\d+'), '') end as order_no,
       case when contains(popup, '超出预算') then 'OVER_BUDGET'
-        when contains(popup, '凭证仍有错') then 'VOUCHER_ERROR'
         when contains(popup, '没有满足选择标准的数据存在') then 'NO_DATA'
-        when popup is not null then 'OTHER'
+        when popup is not null then 'OTHER' when voucher then 'VOUCHER_ERROR'
         when regexp_matches(status, '\\d') then 'CREATED' else 'FAILED' end as outcome_code,
       case when contains(popup, '超出预算') then '超预算'
-        when contains(popup, '凭证仍有错') then '凭证仍有错'
-        when popup is not null then popup
+        when popup is not null then popup when voucher then '凭证仍有错'
         else regexp_extract(status, '\\d+') end as message
-    from raw""",
+    from judged""",
 )
 def outcome_class(spark: SparkSession, folder: str) -> DataFrame:
+    """Pop-ups on saving, the question after it, with which some go on, and the status line."""
     kind, number = F.col("event_type"), F.col("event_id")
     popup = (
         F.when(kind == "error", F.concat(F.lit("项目超出预算 "), F.col("props")))
-        .when(kind == "signup", F.lit("凭证仍有错，是否保留"))
         .when(kind == "click", F.lit("没有满足选择标准的数据存在"))
         .when(kind == "view", F.concat(F.lit("其他消息 "), number.cast("string")))
     )
+    question = F.when(kind == "signup", F.when(F.col("value") >= 50, "凭证仍有错，是否保留").otherwise("系统消息已发出"))
     status = F.when(
         F.col("value") >= 10,
         F.concat(F.lit("标准采购订单 "), (number + 4500000000).cast("string"), F.lit(" 已创建 9")),
     ).otherwise(F.lit("没有编号"))
     return table(spark, folder, "events").select(
-        "event_id", orders.classify_outcome(popup, status).alias("o")
+        "event_id", orders.classify_outcome(popup, question, status).alias("o")
     ).select(
         "event_id", F.col("o.order_no").cast("string").alias("order_no"), "o.outcome_code", "o.message"
     )
@@ -393,24 +418,31 @@ def amount_text(spark: SparkSession, folder: str) -> DataFrame:
     "S1 S7",
     """select cast(l_orderkey as varchar) as requisition_no,
       cast(l_linenumber as varchar) as requisition_line, cast(l_partkey as varchar) as material_code,
-      l_extendedprice as price_incl_tax from lineitem""",
+      case when l_tax > 0 then l_extendedprice end as price_incl_tax,
+      case when l_tax > 0 then '' else 'price_incl_tax' end as bad_columns from lineitem""",
 )
 def csv_sheet(spark: SparkSession, folder: str) -> DataFrame:
-    """Requisition sheet written as CSV and read back by its suffix, with declared types."""
+    """Requisition sheet written as CSV and read back by its suffix, with declared types.
+
+    The file has its columns in another order and one more; some prices are no numbers.
+    """
     path = scratch_path(spark, "sheet") + ".csv"
+    price = F.col("l_extendedprice").cast(MONEY).cast("string")
     table(spark, folder, "lineitem").select(
-        F.col("l_orderkey").alias("requisition_no"),
-        F.col("l_linenumber").alias("requisition_line"),
+        F.when(F.col("l_tax") > 0, price).otherwise("see offer").alias("price_incl_tax"),
         F.col("l_partkey").alias("material_code"),
-        F.col("l_extendedprice").cast(MONEY).alias("price_incl_tax"),
+        F.col("l_suppkey").alias("not_declared"),
+        F.col("l_linenumber").alias("requisition_line"),
+        F.col("l_orderkey").alias("requisition_no"),
     ).write.option("header", True).csv(path)
     schema = T.StructType.fromDDL(
         "requisition_no string, requisition_line string, material_code string, "
         "price_incl_tax decimal(18,2)"
     )
-    return tables.read_table(spark, path, schema).withColumn(
-        "price_incl_tax", F.col("price_incl_tax").cast("double")
-    )
+    return tables.read_table(spark, path, schema, bad="bad_columns").withColumns({
+        "price_incl_tax": F.col("price_incl_tax").cast("double"),
+        "bad_columns": F.array_join("bad_columns", ","),
+    })
 
 
 @query(
@@ -500,7 +532,8 @@ def changed_rows(spark: SparkSession, folder: str) -> DataFrame:
     """select l_suppkey, l_orderkey, l_linenumber, l_partkey,
       concat(row_number() over (partition by l_suppkey order by l_orderkey, l_linenumber, l_partkey),
         '/', count(*) over (partition by l_suppkey)) as place,
-      l_quantity >= 25 as large
+      l_quantity >= 25 as large,
+      cast(sum(cast(l_quantity as bigint)) over (partition by l_suppkey) as bigint) as group_quantity
     from lineitem""",
 )
 def group_hook(spark: SparkSession, folder: str) -> DataFrame:
@@ -516,11 +549,12 @@ def group_hook(spark: SparkSession, folder: str) -> DataFrame:
                 "l_suppkey": group["l_suppkey"], "l_orderkey": group["l_orderkey"],
                 "l_linenumber": group["l_linenumber"], "l_partkey": group["l_partkey"],
                 "place": place, "large": group["l_quantity"] >= 25,
+                "group_quantity": int(group["l_quantity"].astype("int64").sum()),
             }
         )
 
     return hooks.per_group(
         rows, ["l_suppkey"], ["l_orderkey", "l_linenumber", "l_partkey"], step,
         "l_suppkey long, l_orderkey long, l_linenumber int, l_partkey long, "
-        "place string, large boolean",
+        "place string, large boolean, group_quantity long",
     )

@@ -14,7 +14,6 @@ from dockledger.session import scratch_path
 from dockledger.sources import sinks, tables
 
 LINE_ORDER = ["l_linenumber", "l_partkey", "l_suppkey"]
-MAX_ITEMS = 10_000
 
 
 def _unit() -> Column:
@@ -34,7 +33,7 @@ _NUMBERED_SQL = """
 def _lines(spark: SparkSession, folder: str) -> DataFrame:
     """Numbered lines with raw quantity, unit and price."""
     rows = table(spark, folder, "lineitem").select(
-        "l_orderkey", *LINE_ORDER, "l_quantity", "l_extendedprice", "l_returnflag", "l_shipdate"
+        "l_orderkey", *LINE_ORDER, "l_quantity", "l_extendedprice", "l_returnflag", "l_shipdate", "l_tax"
     )
     return positions(rows, ["l_orderkey"], LINE_ORDER, "lineNumber").select(
         F.col("l_orderkey").alias("documentNumber"),
@@ -43,6 +42,7 @@ def _lines(spark: SparkSession, folder: str) -> DataFrame:
         F.col("l_quantity").alias("quantity"),
         _unit().alias("unit"),
         F.col("l_extendedprice").alias("price"),
+        F.col("l_tax").alias("tax"),
         "l_shipdate",
     )
 
@@ -184,19 +184,32 @@ def doc_summary(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query(
-    "V1 V2 A1",
-    f"""with {_SUMMARY_SQL}
-    select document, cast(stated as double) as stated, cast(total_amount as double) as total_amount,
-      cast(total_amount - stated as double) as amount_diff,
-      total_amount - stated = 0 as reconciles, abs(total_amount - stated) < 10 as amount_ok
-    from summary""",
+    "V1 V2 A1 F14",
+    f"""with {_SUMMARY_SQL},
+    given as (
+      select *, case when document % 10 = 3 then 'about ' || stated when document % 10 = 4 then null
+          when document % 2 = 0 then format('{{:,.2f}}', cast(stated as double))
+          else cast(stated as varchar) end as given,
+        case when document % 10 not in (3, 4) then stated end as number
+      from summary)
+    select document, given as stated, cast(total_amount as double) as total_amount,
+      document % 10 = 3 as amount_error, cast(total_amount - number as double) as amount_diff,
+      total_amount - number = 0 as reconciles, abs(total_amount - number) < 10 as amount_ok
+    from given""",
 )
 def doc_reconcile(spark: SparkSession, folder: str) -> DataFrame:
-    checked = docs.reconcile(_stated_summary(spark, folder), "o_totalprice")
+    """Stated totals are text: some with separators, some that are no number, some missing."""
+    amount, last = F.col("o_totalprice").cast(MONEY), F.col("document") % 10
+    stated = (
+        F.when(last == 3, F.concat(F.lit("about "), amount.cast("string"))).when(last == 4, F.lit(None))
+        .when(last % 2 == 0, F.format_number("o_totalprice", 2)).otherwise(amount.cast("string"))
+    )
+    checked = docs.reconcile(_stated_summary(spark, folder).withColumn("stated", stated), "stated")
     return checked.select(
         "document",
-        F.col("o_totalprice").alias("stated"),
+        "stated",
         F.col("totalAmount").cast("double").alias("total_amount"),
+        "amount_error",
         F.col("amount_diff").cast("double").alias("amount_diff"),
         "reconciles",
         "amount_ok",
@@ -212,7 +225,8 @@ def doc_reconcile(spark: SparkSession, folder: str) -> DataFrame:
       concat('GR', strftime(o_orderdate, '%Y%m%d'), '00156') as receipt_number,
       total_items as items_processed, cast(total_amount as double) as total_amount,
       concat('¥', format('{{:,.2f}}', cast(total_amount as double))) as amount_text,
-      'CNY' as currency, 'SUCCESS' as status
+      'CNY' as currency, 'SUCCESS' as status, 'RPA_AUTO_SYSTEM' as operator,
+      '自动化流程执行成功' as remarks
     from summary""",
 )
 def exec_report(spark: SparkSession, folder: str) -> DataFrame:
@@ -229,6 +243,8 @@ def exec_report(spark: SparkSession, folder: str) -> DataFrame:
         F.col("amountText").alias("amount_text"),
         "currency",
         "status",
+        "operator",
+        "remarks",
     )
 
 
@@ -361,40 +377,60 @@ def line_rules(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query(
-    "N2 S8",
+    "N1 F5",
+    f"""with {_NUMBERED_SQL}
+    select l_orderkey as document, n as line_number, cast(l_partkey as varchar) as material_name,
+      case when l_returnflag = 'A' then 'large' else '' end as specification,
+      case when l_tax > 0 then l_extendedprice end as total_price
+    from numbered""",
+)
+def stated_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """Lines with the amount their document states, null where that is no number."""
+    stated = F.when(F.col("tax") > 0, F.col("price").cast(MONEY).cast("string")).otherwise("?")
+    raw = _lines(spark, folder).withColumns({
+        "totalPrice": stated, "specification": F.when(F.col("unit") == "套", "large"),
+    })
+    lines = docs.standard_lines(docs.type_items(raw), F.col("l_shipdate"), mode="stated")
+    return lines.select(
+        F.col("documentNumber").alias("document"), F.col("lineNumber").alias("line_number"),
+        F.col("materialName").alias("material_name"), "specification",
+        F.col("totalPrice").cast("double").alias("total_price"),
+    )
+
+
+@query(
+    "N1 N2 S8",
     f"""with {_NUMBERED_SQL}, {_SUMMARY_SQL},
     items as (
-      select l_orderkey, (n - 1) // {MAX_ITEMS} as part, count(*) as n_items,
-        string_agg(concat(n, ':', printf('MAT%04d', n), ':', cast(l_quantity as bigint)), ','
-          order by n) as items_text
-      from numbered group by 1, 2)
-    select document, coalesce(part, 0) as part, strftime(o_orderdate, '%Y-%m-%d') as transaction_date,
+      select l_orderkey, count(*) as n_items,
+        string_agg(concat_ws(':', n, printf('MAT%04d', n), l_partkey, '', cast(l_quantity as bigint),
+            {_UNIT_SQL}, cast(l_extendedprice as decimal(18,2)),
+            cast(cast(l_quantity as decimal(18,2)) * cast(l_extendedprice as decimal(18,2)) as decimal(18,2)),
+            concat('BATCH', strftime(l_shipdate, '%Y%m%d')), strftime(l_shipdate, '%Y-%m-%d'),
+            '2026-12-31', printf('A-%02d-01', n)), ',' order by n) as items_text
+      from numbered group by 1)
+    select document, strftime(o_orderdate, '%Y-%m-%d') as transaction_date,
       coalesce(n_items, 0) as n_items, coalesce(items_text, '') as items_text,
       total_items, cast(total_amount as double) as total_amount
     from summary left join items on document = l_orderkey""",
 )
 def doc_nested(spark: SparkSession, folder: str) -> DataFrame:
-    """Nested documents, shown flat: items as text, a header and a summary field."""
+    """Nested documents, shown flat: all fields of the items as text, a header and a summary field."""
     summaries = _stated_summary(spark, folder).withColumnRenamed("document", "documentNumber")
-    headers = table(spark, folder, "orders").select(
-        F.col("o_orderkey").alias("documentNumber"),
-        F.date_format("o_orderdate", "yyyy-MM-dd").alias("transactionDate"),
+    headers = summaries.select(
+        "documentNumber", F.date_format("o_orderdate", "yyyy-MM-dd").alias("transactionDate")
     )
-    lines = docs.place_lines(docs.type_items(_lines(spark, folder)), F.col("l_shipdate"))
+    lines = docs.standard_lines(docs.type_items(_lines(spark, folder)), F.col("l_shipdate"))
     nested = docs.nested_documents(
-        headers, lines, summaries.select("documentNumber", "totalItems", "totalAmount"),
-        ["materialCode", "quantity", "unit", "unitPrice"], max_items=MAX_ITEMS,
+        headers, lines, summaries.select("documentNumber", "totalItems", "totalAmount")
     )
+    kinds = {"quantity": "long", "unitPrice": MONEY, "totalPrice": MONEY}
     shown = F.transform(
         "items",
-        lambda x: F.concat_ws(
-            ":", x["lineNumber"].cast("string"), x["materialCode"],
-            x["quantity"].cast("long").cast("string"),
-        ),
+        lambda x: F.concat_ws(":", *[x[f].cast(kinds.get(f, "string")).cast("string") for f in docs.LINE_FIELDS]),
     )
     return nested.select(
         F.col("documentNumber").alias("document"),
-        "part",
         F.col("header.transactionDate").alias("transaction_date"),
         F.size("items").cast("long").alias("n_items"),
         F.array_join(shown, ",").alias("items_text"),
@@ -404,10 +440,9 @@ def doc_nested(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _raw_documents(spark: SparkSession, folder: str) -> DataFrame:
-    """Raw nested documents: headers with their items, in parts of MAX_ITEMS items."""
+    """Raw nested documents: headers with their items."""
     items = collect_parts(
-        _lines(spark, folder), ["documentNumber"], "lineNumber",
-        ["name", "quantity", "unit", "price"], max_items=MAX_ITEMS,
+        _lines(spark, folder), ["documentNumber"], "lineNumber", ["name", "quantity", "unit", "price"]
     )
     return _orders(spark, folder).join(items, "documentNumber", "left")
 
@@ -431,7 +466,7 @@ def _raw_documents(spark: SparkSession, folder: str) -> DataFrame:
 def receiving_report(spark: SparkSession, folder: str) -> DataFrame:
     """Whole receiving flow: JSON text, validation, header, lines, totals, report."""
     text = _raw_documents(spark, folder).select(
-        F.coalesce("part", F.lit(0)).alias("part"), "o_orderdate",
+        "o_orderdate",
         sinks.json_text(
             F.struct(
                 "documentType", "documentNumber", "date", "supplier", "supplierCode",
@@ -442,18 +477,18 @@ def receiving_report(spark: SparkSession, folder: str) -> DataFrame:
     parsed = docs.accepted(docs.required_fields(tables.parse_documents(text, "document")))
     header = docs.map_header(
         parsed, docs.FULL_HEADER, F.col("o_orderdate"),
-        keep=["part", "o_orderdate", "totalAmount", "items"],
+        keep=["o_orderdate", "totalAmount", "items"],
     )
     document = ["documentNumber", "supplierCode", "totalAmount"]
     lines = docs.place_lines(
         docs.type_items(
-            docs.explode_items(header, [*document, "part", "o_orderdate"], keep_empty=True)
-        ).withColumn("lineNumber", F.col("lineNumber") + F.col("part") * MAX_ITEMS),
+            docs.explode_items(header, [*document, "o_orderdate"], keep_empty=True)
+        ),
         F.col("o_orderdate"),
     ).withColumn("unit", docs.normalise_unit("unit"))
-    totals = lines.withColumnRenamed("totalAmount", "statedAmount").groupBy(
-        "documentNumber", "supplierCode", "statedAmount"
-    ).agg(
+    totals = lines.withColumnRenamed("totalAmount", "statedAmount").groupBy("documentNumber").agg(
+        F.max("supplierCode").alias("supplierCode"),
+        F.max("statedAmount").alias("statedAmount"),
         F.count("lineNumber").alias("totalItems"),
         F.coalesce(F.sum("quantity"), F.lit(0)).alias("totalQuantity"),
         F.coalesce(F.sum(docs.line_amount()), F.lit(0)).alias("totalAmount"),
@@ -487,7 +522,7 @@ def scan_batches(spark: SparkSession, folder: str) -> DataFrame:
     )
     found = collect_parts(
         positions(orders, ["o_custkey"], ["o_orderkey"], "_pos"), ["o_custkey"], "_pos",
-        ["documentNumber", "totalAmount"], "documents", MAX_ITEMS,
+        ["documentNumber", "totalAmount"], "documents",
     )
     batches = (
         table(spark, folder, "customer").select("c_custkey")

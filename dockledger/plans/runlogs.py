@@ -121,16 +121,12 @@ def conversation_counts(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(
     "V7",
-    """select event_id, concat(event_type, ' --user u', user_id, ' --password *** token=*** end')
-      as message from events""",
+    r"""select doc_id, regexp_replace(regexp_replace(text, '(--password[\s=]+)\S+', '\1***', 'g'),
+      '((?:password|passwd|token|secret)\s*[:=]\s*)\S+', '\1***', 'gi') as message from documents""",
 )
 def redacted(spark: SparkSession, folder: str) -> DataFrame:
-    number = F.col("event_id").cast("string")
-    message = F.concat(
-        F.col("event_type"), F.lit(" --user u"), F.col("user_id").cast("string"),
-        F.lit(" --password pw"), number, F.lit(" token="), number, F.lit(" end"),
-    )
-    return table(spark, folder, "events").select("event_id", redact(message).alias("message"))
+    """Secrets in whole given texts."""
+    return table(spark, folder, "documents").select("doc_id", redact("text").alias("message"))
 
 
 @query(
@@ -301,8 +297,8 @@ def usage_bands(spark: SparkSession, folder: str) -> DataFrame:
 @query(
     "S10",
     """select event_id as run_id, event_type <> 'error' as success, props as output,
-      case when event_type <> 'error' then null when value < 50 then 'exit code: 1'
-        else concat('failed at ', user_id) end as error,
+      case when event_type <> 'error' then null when value >= 50 then concat('failed at ', user_id)
+        when event_id % 2 = 0 then 'exit code: null' else 'exit code: 1' end as error,
       cast(floor(value) as bigint) as execution_ms
     from events""",
 )
@@ -310,7 +306,7 @@ def script_results(spark: SparkSession, folder: str) -> DataFrame:
     failed = F.col("event_type") == "error"
     runs = table(spark, folder, "events").select(
         F.col("event_id").alias("run_id"),
-        F.when(failed, 1).otherwise(0).alias("exit_code"),
+        F.when(~failed, 0).when(F.col("event_id") % 2 == 1, 1).alias("exit_code"),
         F.col("props").alias("stdout"),
         F.when(failed & (F.col("value") >= 50),
                F.concat(F.lit("failed at "), F.col("user_id").cast("string")))
@@ -320,21 +316,49 @@ def script_results(spark: SparkSession, folder: str) -> DataFrame:
     return tables.script_results(runs)
 
 
+_PREFIX = "脚本输出（中文）："
+
+
 @query(
     "F15",
-    "select doc_id, text as message from documents",
+    f"""select doc_id, case when doc_id % 2 = 0
+        then concat('{_PREFIX}', regexp_replace(text, '[^\x00-\x7F]', '文', 'g')) else text end as message
+    from documents""",
 )
 def decode_output(spark: SparkSession, folder: str) -> DataFrame:
-    """Whole texts as console bytes: plain ASCII ones from Windows in GBK, others in UTF-8."""
-    windows = F.col("text").rlike(r"\A[\x00-\x7F]*\z")
-    rows = table(spark, folder, "documents").select("doc_id", "text", windows.alias("windows"))
-    gbk = encode_gbk(F.when(F.col("windows"), F.col("text")))
+    """Whole texts as console bytes: every other one from Windows in GBK, others in UTF-8.
+
+    GBK lacks some letters of the texts; those are Chinese ones here.
+    """
+    windows = F.col("doc_id") % 2 == 0
+    text = F.concat(F.lit(_PREFIX), F.regexp_replace("text", r"[^\x00-\x7F]", "文"))
+    rows = table(spark, folder, "documents").select("doc_id", "text", windows.alias("windows"), text.alias("chinese"))
+    gbk = encode_gbk(F.when(F.col("windows"), F.col("chinese")))
     raw = F.when(F.col("windows"), gbk).otherwise(F.encode("text", "UTF-8"))
     return rows.select("doc_id", raw.alias("raw"), "windows").select(
         "doc_id", decoded(F.col("raw"), F.col("windows")).alias("message")
     )
 
 
+@query(
+    "S5",
+    """select 'scan-' || left(o_orderpriority, 1) as folder,
+      cast(sum(length(cast(o_custkey as varchar)) + 1) as bigint) as size
+    from orders group by 1""",
+)
+def list_files(spark: SparkSession, folder: str) -> DataFrame:
+    """Files that the query writes itself, found again by folder and size; those of another suffix are not listed."""
+    path = scratch_path(spark, "scans")
+    rows = table(spark, folder, "orders").select(
+        F.concat(F.lit("scan-"), F.left("o_orderpriority", F.lit(1))).alias("scan"),
+        F.col("o_custkey").cast("string").alias("value"),
+    )
+    rows.write.partitionBy("scan").text(path)
+    rows.write.partitionBy("scan").mode("append").json(path)
+    found = tables.list_files(spark, path, "*.txt")
+    return found.groupBy(F.regexp_extract("path", "scan=([^/]+)/", 1).alias("folder")).agg(F.sum("size").alias("size"))
+
+
 # --- the same operators on a stream of the events file ----------------------
 
 @query(
@@ -347,7 +371,7 @@ def decode_output(spark: SparkSession, folder: str) -> DataFrame:
 def log_counts_stream(spark: SparkSession, folder: str) -> DataFrame:
     path = scratch_path(spark, "log-counts")
     entries = logs.log_entries(_output(_event_stream(spark, folder)))
-    streams.update_table(logs.log_counts(entries, TERM), path).awaitTermination()
+    streams.update_table(logs.log_counts(entries, TERM), path, ["run_id", "level"]).awaitTermination()
     return streams.read_updated(spark, path, ["run_id", "level"])
 
 
@@ -370,5 +394,5 @@ def log_append_stream(spark: SparkSession, folder: str) -> DataFrame:
 def run_status_stream(spark: SparkSession, folder: str) -> DataFrame:
     """Step states kept up to date by a stream; run status from the table it writes."""
     path = scratch_path(spark, "step-states")
-    streams.update_table(_states(_event_stream(spark, folder)), path).awaitTermination()
+    streams.update_table(_states(_event_stream(spark, folder)), path, ["run_id", "step"]).awaitTermination()
     return logs.run_status(streams.read_updated(spark, path, ["run_id", "step"]))

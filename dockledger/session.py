@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
 import uuid
 
@@ -15,6 +18,8 @@ def local_session(cpus: int | str = "*", **conf: str) -> SparkSession:
         .appName("dockledger")
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.sql.legacy.javaCharsets", "true")
+        .config("spark.sql.legacy.codingErrorAction", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "8g")
     )
@@ -29,14 +34,16 @@ def shared_folder(spark: SparkSession) -> str:
     """The checkpoint folder of the cluster.
 
     A cluster names it in ``spark.checkpoint.dir``. A temporary folder is made
-    only in local mode, where driver and executors are one process.
+    only in local mode, where driver and executors are one process, and goes when the
+    process ends.
     """
     context = spark.sparkContext
     folder = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if folder is None:
-        if not context.master.startswith("local"):
+        if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
         folder = tempfile.mkdtemp(prefix="dockledger-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(folder)
     return folder

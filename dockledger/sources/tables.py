@@ -16,11 +16,42 @@ class UnsupportedFormat(ValueError):
     """The path does not end in a table format this package reads."""
 
 
-def read_table(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
+def read_csv(
+    spark: SparkSession, path: str, schema: T.StructType, bad: str | None = None, multi_line: bool = False
+) -> DataFrame:
+    """CSV files with a header line, their columns taken by name.
+
+    A declared column that the header lacks raises an error, as does a file whose header differs from the first. A
+    value that does not fit its type raises an error; with ``bad`` it becomes null and
+    that column lists the names of such columns in each row. ``multi_line`` reads cells with
+    line breaks, for which a file is read by one task.
+    """
+    reader = spark.read.option("header", True).option("multiLine", multi_line)
+    names = reader.csv(path).columns
+    absent = [n for n in schema.names if n not in names]
+    if absent:
+        raise ValueError(f"no column {', '.join(absent)} in the header: {', '.join(names)}")
+    text = T.StructType([T.StructField(n, T.StringType()) for n in names])
+    rows = reader.option("enforceSchema", False).schema(text).csv(path)
+    quoted = {f.name: F.col(f"`{f.name}`") for f in schema.fields}
+    if bad is None:
+        return rows.select(*[quoted[f.name].cast(f.dataType).alias(f.name) for f in schema.fields])
+    wrong = F.array_compact(F.array(*[
+        F.when(quoted[f.name].isNotNull() & quoted[f.name].try_cast(f.dataType).isNull(), F.lit(f.name))
+        for f in schema.fields
+    ]))
+    return rows.select(
+        *[quoted[f.name].try_cast(f.dataType).alias(f.name) for f in schema.fields], wrong.alias(bad)
+    )
+
+
+def read_table(
+    spark: SparkSession, path: str, schema: T.StructType | None = None, bad: str | None = None
+) -> DataFrame:
     """Table at ``path``, chosen by the lower-case text after its last dot.
 
-    csv and json need a schema: inferring one would read all files twice. A path
-    that does not exist raises Spark's own error.
+    csv and json need a schema: inferring one would read all files twice. ``bad`` is as in
+    :func:`read_csv`. A path that does not exist raises Spark's own error.
     """
     suffix = path.rstrip("/").rsplit(".", 1)[-1].lower()
     if suffix == "parquet":
@@ -28,7 +59,7 @@ def read_table(spark: SparkSession, path: str, schema: T.StructType | None = Non
     if suffix in ("csv", "json", "xlsx") and schema is None:
         raise ValueError(f"{suffix} needs a declared schema")
     if suffix == "csv":
-        return spark.read.schema(schema).option("header", True).csv(path)
+        return read_csv(spark, path, schema, bad)
     if suffix == "json":
         return spark.read.schema(schema).json(path)
     if suffix == "xlsx":
@@ -121,14 +152,19 @@ def read_log_stream(
 
 
 def script_results(runs: DataFrame) -> DataFrame:
-    """Run records with the error text filled in: stderr, else the exit code."""
-    fallback = F.concat(F.lit("exit code: "), F.col("exit_code").cast("string"))
+    """Run records with the error text filled in: stderr, else the exit code.
+
+    A run without exit code was killed or could not start; that is a failure too.
+    """
+    fallback = F.concat(
+        F.lit("exit code: "), F.coalesce(F.col("exit_code").cast("string"), F.lit("null"))
+    )
     success = F.col("exit_code") == 0
     error = F.when(F.col("stderr") != "", F.col("stderr")).otherwise(fallback)
     return runs.select(
         "run_id",
         F.coalesce(success, F.lit(False)).alias("success"),
         F.col("stdout").alias("output"),
-        F.when(success, F.lit(None).cast("string")).otherwise(error).alias("error"),
+        F.when(~F.coalesce(success, F.lit(False)), error).alias("error"),
         "execution_ms",
     )

@@ -26,7 +26,9 @@ _BATCH = 5_000
 
 
 def _text(node) -> str:
-    return "".join(t.text or "" for t in node.iter(f"{_MAIN}t"))
+    """Text of a string item: its own, or its runs'; phonetic runs are no part of it."""
+    runs = node.iterfind(f"{_MAIN}r/{_MAIN}t")
+    return "".join(t.text or "" for t in [*node.iterfind(f"{_MAIN}t"), *runs])
 
 
 def _first_sheet(book: zipfile.ZipFile) -> tuple[str, str]:
@@ -56,7 +58,7 @@ def _sheet_rows(content: bytes) -> Iterator[tuple[str, dict[str, str | None]]]:
                     value = cell.find(f"{_MAIN}v")
                     kind = cell.get("t")
                     if kind == "inlineStr":
-                        found = _text(cell)
+                        found = "".join(_text(s) for s in cell.iterfind(f"{_MAIN}is"))
                     elif value is None:
                         found = None
                     elif kind == "s":
@@ -68,6 +70,8 @@ def _sheet_rows(content: bytes) -> Iterator[tuple[str, dict[str, str | None]]]:
                 node.clear()
                 if header is None:
                     header = {k: v for k, v in cells.items() if v is not None}
+                    if len(set(header.values())) < len(header):
+                        raise ValueError(f"sheet {name} has a column name twice")
                 else:
                     yield name, {h: cells.get(k) for k, h in header.items()}
 

@@ -52,8 +52,10 @@ def test_search_and_counts(log):
 def test_stream_counts_equal_batch(spark, log, folder):
     path = scratch_path(spark, "counts")
     stream = tables.read_log_stream(spark, folder, maxFilesPerTrigger="1")
-    streams.update_table(logs.log_counts(stream, "100%"), path).awaitTermination()
+    streams.update_table(logs.log_counts(stream, "100%"), path, ["run_id", "level"], compact_every=2).awaitTermination()
     assert _rows(streams.read_updated(spark, path, ["run_id", "level"])) == _rows(logs.log_counts(log, "100%"))
+    kept = [len(streams._folders(spark, path, kind)) for kind in ("compact", "data")]
+    assert kept[0] <= 1 and kept[1] <= 1
 
 
 def test_stream_append_equals_batch(spark, log, folder):
@@ -68,7 +70,7 @@ def test_stream_resumes_with_new_files(spark, entries):
     for part in (entries[:40], entries[40:]):
         spark.createDataFrame(part, schemas.LOG).write.mode("append").json(source)
         stream = tables.read_log_stream(spark, source)
-        streams.update_table(logs.log_counts(stream), path).awaitTermination()
+        streams.update_table(logs.log_counts(stream), path, ["run_id", "level"]).awaitTermination()
     got = streams.read_updated(spark, path, ["run_id", "level"])
     assert _rows(got) == _rows(logs.log_counts(spark.createDataFrame(entries, schemas.LOG)))
 
@@ -79,7 +81,7 @@ def test_stream_with_window_and_watermark(spark, log, folder):
         return logs.log_counts(marked, keys=["span", "level"])
 
     path = scratch_path(spark, "windowed")
-    streams.update_table(windowed(tables.read_log_stream(spark, folder)), path).awaitTermination()
+    streams.update_table(windowed(tables.read_log_stream(spark, folder)), path, ["span", "level"]).awaitTermination()
     assert _rows(streams.read_updated(spark, path, ["span", "level"])) == _rows(windowed(log))
 
 
@@ -147,7 +149,7 @@ def test_entries_and_results(spark):
         [("a", 0, "o", "warn", 5), ("b", 3, "o", "", 5), ("c", 1, "", "bad", 5), ("d", None, "", "", 5)],
         "run_id string, exit_code int, stdout string, stderr string, execution_ms long")
     assert [(r.success, r.error) for r in tables.script_results(runs).collect()] == [
-        (True, None), (False, "exit code: 3"), (False, "bad"), (False, None)]
+        (True, None), (False, "exit code: 3"), (False, "bad"), (False, "exit code: null")]
 
 
 def test_readiness(spark):
@@ -158,6 +160,8 @@ def test_readiness(spark):
     got = {r.host: (r.critical_issues, r.warnings, r.all_ready, r.overall_status)
            for r in inventory.readiness(report).collect()}
     assert got == {"h1": (0, 1, True, "warning"), "h2": (1, 0, False, "error")}
+    shown = {(r.host, r.name): (r.version, r.message) for r in report.collect()}
+    assert shown[("h1", "Node.js")] == ("v18.2.0", "版本符合要求") and shown[("h2", "Java")] == (None, "检查失败")
     optional = inventory.runtime_report(graded, graded, (("Node.js", True), ("Python", True), ("Java", False)))
     assert {r.host: r.overall_status for r in inventory.readiness(optional).collect()}["h2"] == "success"
 

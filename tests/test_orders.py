@@ -86,19 +86,29 @@ def test_completeness_counts_copies(spark):
         [("a", "1.0"), ("a", "1.0"), ("a", "2.0"), ("b", "1.0"), ("c", "5.0")], "order string, line string")
     have = spark.createDataFrame(
         [("a", "1"), ("a", "2"), ("a", "2"), ("b", "1"), ("b", "1"), ("d", "1")], "order string, line string")
-    got = orders.line_completeness(need, have, ["order"], "line").orderBy("order").collect()
+    got = orders.line_completeness(need, have, ["order"], ["order"], "line").orderBy("order").collect()
     assert [tuple(r) for r in got] == [
         ("a", 3, 3, 1, False), ("b", 1, 2, 0, True), ("c", 1, 0, 1, False)]
     left = orders.missing_lines(need, need.limit(0), ["order", "line"])
     assert left.count() == 5
 
 
+def test_lines_offered_without_a_supplier_count_for_every_group(spark):
+    need = spark.createDataFrame(
+        [("r1", "s1", "1"), ("r1", "s1", "2"), ("r1", "s2", "2"), ("r1", "s2", "2"), ("r2", "s1", "1")],
+        "requisition string, supplier string, line string")
+    have = spark.createDataFrame([("r1", "1"), ("r1", "2"), ("r3", "9")], "requisition string, line string")
+    got = orders.line_completeness(need, have, ["requisition", "supplier"], ["requisition"], "line")
+    assert {(r.requisition, r.supplier): (r.n_required, r.n_available, r.n_missing, r.complete) for r in got.collect()} == {
+        ("r1", "s1"): (2, 2, 0, True), ("r1", "s2"): (2, 2, 1, False), ("r2", "s1"): (1, 0, 1, False)}
+
+
 def test_supplier_codes(spark):
     codes = spark.createDataFrame(
-        [("吉唯达（上海）电气有限公司", "1"), ("吉唯达(上海)电气有限公司 ", "1"), ("b", "2"), ("b　", "3")],
+        [("示例（一）公司", "1"), ("示例(一)公司 ", "1"), ("b", "2"), ("b　", "3")],
         "supplier_name string, supplier_code string")
     names = spark.createDataFrame(
-        [("　吉唯达（上海）电气有限公司",), ("b",), (" other ",), (None,)], "supplier_name string")
+        [("　示例（一）公司",), ("b",), (" other ",), (None,)], "supplier_name string")
     got = orders.supplier_code(names, codes).collect()
     assert [r.supplier_code for r in got] == ["1", "3", "other", None]
 
@@ -111,19 +121,20 @@ def test_first_candidate(spark):
     assert got == {"a ": "early", "x": None}
 
 
-@pytest.mark.parametrize("popup, status, want", [
-    (None, "标准采购订单 4500000123 已创建", (4500000123, "CREATED", "4500000123")),
-    (None, "没有编号", (None, "FAILED", "")), (None, None, (None, "FAILED", "")),
-    ("项目超出预算 12", "1", (None, "OVER_BUDGET", "超预算")),
-    ("凭证仍有错，是否保留", None, (None, "VOUCHER_ERROR", "凭证仍有错")),
-    ("没有满足选择标准的数据存在", None, (None, "NO_DATA", "没有满足选择标准的数据存在")),
-    ("行号信息不完整", None, (None, "INCOMPLETE_LINES", "行号信息不完整")),
-    ("公司信息不正确", None, (None, "BAD_SUPPLIER", "公司信息不正确")),
-    ("其他 7", None, (None, "OTHER", "其他 7")),
+@pytest.mark.parametrize("popup, question, status, want", [
+    (None, None, "标准采购订单 4500000123 已创建", (4500000123, "CREATED", "4500000123")),
+    (None, "系统消息已发出", "订单 7", (7, "CREATED", "7")), (None, "别的", "订单 7", (7, "CREATED", "7")),
+    (None, None, "没有编号", (None, "FAILED", "")), (None, None, None, (None, "FAILED", "")),
+    ("项目超出预算 12", None, "1", (None, "OVER_BUDGET", "超预算")),
+    (None, "凭证仍有错，是否保留", "订单 7", (None, "VOUCHER_ERROR", "凭证仍有错")),
+    ("没有满足选择标准的数据存在", None, None, (None, "NO_DATA", "没有满足选择标准的数据存在")),
+    ("行号信息不完整", None, None, (None, "INCOMPLETE_LINES", "行号信息不完整")),
+    ("公司信息不正确", None, None, (None, "BAD_SUPPLIER", "公司信息不正确")),
+    ("其他 7", None, None, (None, "OTHER", "其他 7")),
 ])
-def test_outcomes(spark, popup, status, want):
-    df = spark.createDataFrame([(popup, status)], "popup string, status string")
-    assert tuple(df.select(orders.classify_outcome("popup", "status").alias("o")).first().o) == want
+def test_outcomes(spark, popup, question, status, want):
+    df = spark.createDataFrame([(popup, question, status)], "popup string, question string, status string")
+    assert tuple(df.select(orders.classify_outcome("popup", "question", "status").alias("o")).first().o) == want
 
 
 def test_price_and_tax(spark):

@@ -40,6 +40,8 @@ def everything_is_hot(spark):
         "supplier_code", "first_candidate", "price_apply", "price_apply_first_n", "write_back",
         "write_back_by_supplier", "step_progress", "step_outcomes", "unknown_material",
         "supplier_unqualified", "supplier_qualified", "value_report", "file_type_maps", "group_hook",
+        "purchase_orders", "order_groups", "doc_header", "doc_required", "json_documents", "unit_lookup",
+        "lines_incomplete", "run_reset",
     ],
 )
 def test_query_agrees_with_sql_on_the_long_way(spark, con, everything_is_hot, name):

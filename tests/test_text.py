@@ -72,10 +72,11 @@ def test_iso_time(spark):
 
 def test_version_texts(spark):
     df = spark.createDataFrame(
-        [("Java", 'openjdk version "17.0.1" x'), ("Java", "jdk"), ("Python", "Python 3.7.0 "), ("Java", None)],
+        [("Java", 'openjdk version "17.0.1" x'), ("Java", "jdk"), ("Python", "Python 3.7.0 "), ("Java", None),
+         ("Node.js", "v18.2.0\n"), ("Python", ""), ("Node.js", "  "), ("Java", " "), ("Java", "")],
         "name string, raw string")
     assert [r[0] for r in df.select(versions.version_text(F.col("name"), F.col("raw"))).collect()] == [
-        "Java 17.0.1", "Java (未知版本)", "Python 3.7.0", None]
+        "Java 17.0.1", "Java (未知版本)", "Python 3.7.0", None, "v18.2.0", "", "", "Java (未知版本)", None]
 
 
 def test_redaction(spark):
@@ -130,7 +131,8 @@ def test_decoding(spark):
     ("Python", "Python 3.6.9", 3, "warning"), ("Python", "Python 2.7.18", 2, "warning"),
     ("Python", "Python 4.9.0", 4, "warning"), ("Java", 'java version "1.8.0_291"', 8, "warning"),
     ("Java", 'openjdk version "17.0.1"', 17, "success"), ("Java", 'version "11"', 11, "success"),
-    ("Java", None, None, "error"), ("Node.js", "", None, "error"),
+    ("Java", None, None, "error"), ("Node.js", "", None, "warning"), ("Node.js", None, None, "error"),
+    ("Python", "", None, "warning"), ("Java", "", None, "error"), ("Java", " ", None, "warning"),
 ])
 def test_versions(spark, name, raw, major, status):
     df = spark.createDataFrame([(name, raw)], "name string, raw string")
