@@ -22,7 +22,39 @@ def query(sql: str | None = None):
     return add
 
 
-@query()
+# CRC-32 byte by byte, from the table that its polynomial gives.
+_CRC_SQL = r"""crc as (
+    select list(c order by n) as t from (
+        select n, list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0]::bigint[],
+            lambda c, k: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end) as c
+        from range(256) as r(n))
+), bytes as (
+    select doc_id, text, list_transform(
+        list_filter(string_split(
+            regexp_replace(hex(encode(coalesce(text, ''))), '(..)', '\1,', 'g'), ','), lambda p: p <> ''),
+        lambda p: ('0x' || p)::bigint) as b
+    from documents
+)"""
+
+
+@query(f"""
+with {_CRC_SQL}, sized as (
+    select doc_id, strlen(coalesce(text, ''))::bigint + 8 as size,
+        xor(list_reduce(list_prepend(4294967295::bigint, b),
+            lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295)::bigint as text_crc32
+    from bytes, crc
+), placed as (
+    select *, coalesce(sum(size) over (order by doc_id, text_crc32, size
+            rows between unbounded preceding and 1 preceding), 0) as start, sum(size) over () as total
+    from sized
+), cut as (
+    select *, least((2 * start + size) * 24 // (2 * total), 23)::int as shard from placed
+)
+select doc_id, size, text_crc32, 'bytes' as law, shard,
+    row_number() over (partition by shard order by doc_id, text_crc32, size) - 1 as slot,
+    null::int as grown_shard
+from cut
+""")
 def op1_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.shard_documents(table(spark, folder, "documents"), shards=24)
 
@@ -155,7 +187,38 @@ def op6_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_documents(table(spark, folder, "documents"), shingle=3, radius=2)
 
 
-@query()
+@query("""
+with raw as (
+    select doc_id, encode(coalesce(text, '')) as b, octet_length(encode(coalesce(text, ''))) as n from documents
+), windows as (
+    select doc_id, i, b[i:i + 99] as w from (
+        select doc_id, b, unnest(range(1, greatest(n - 98, 1))) as i from raw)
+), later as (
+    select doc_id, i from windows qualify row_number() over (partition by w order by doc_id, i) > 1
+), spans as (
+    select doc_id, min(i) as a, max(i) + 100 as z from (
+        select doc_id, i, sum(new) over (partition by doc_id order by i) as span from (
+            select doc_id, i, (i > coalesce(lag(i) over (partition by doc_id order by i), -200) + 100)::int as new
+            from later))
+    group by doc_id, span
+), kept as (
+    select doc_id, string_agg(h, '' order by first) as h from (
+        select s.doc_id, first, hex(b[first:last - 1]) as h from (
+            select doc_id, coalesce(lag(z) over w, 1) as first, a as last from spans
+            window w as (partition by doc_id order by a)) s
+        join raw using (doc_id)
+        union all
+        select t.doc_id, t.first, hex(b[t.first:n]) from (
+            select doc_id, max(z) as first from spans group by doc_id) t
+        join raw using (doc_id))
+    group by doc_id
+), removed as (
+    select doc_id, sum(z - a)::bigint as n_removed, count(*) as n_spans from spans group by doc_id
+)
+select doc_id, n as n_bytes, coalesce(n_removed, 0) as n_removed, coalesce(n_spans, 0) as n_spans,
+    sha256(coalesce(unhex(h), b)) as kept_sha256
+from raw left join removed using (doc_id) left join kept using (doc_id)
+""")
 def op5_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return suffixes.repeat_report(table(spark, folder, "documents"), length=100)
 
