@@ -37,7 +37,7 @@ SAMPLED = 2
 # Items that a task searches at once; a larger benchmark takes several passes.
 ITEMS = 20_000
 _WORD = re.compile(r"\w+")
-_CACHED = 1_000_000
+_CACHED = 250_000
 _hashes: dict[str, int] = {}
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 

@@ -24,7 +24,7 @@ ADDED = 0.1
 # Ids of target documents that are broadcast; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 _TOKEN = re.compile(r"\w+|[^\w\s]")
-_CACHED = 1_000_000
+_CACHED = 250_000
 _slots: dict[str, int] = {}
 
 

@@ -16,9 +16,9 @@ from dockledger.llm.ranges import PART, laid_out, saved, slices
 
 CAPACITY = 2048
 END_ID = 1
-# Words whose ids a Python worker keeps between tasks.
-CACHED_WORDS = 1_500_000
-_words: dict[str, tuple[object, dict[str, bytes]]] = {}
+# Words whose ids a Python worker keeps between tasks, in each of two generations.
+CACHED_WORDS = 400_000
+_kept: dict[str, tuple[object, list[dict[str, bytes]]]] = {}
 
 
 class WordEncoder:
@@ -33,9 +33,10 @@ class WordEncoder:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        if path not in _words:
-            _words[path] = (Tokenizer.from_file(path), {"": b""})
-        self.tokenizer, self.words = _words[path]
+        if path not in _kept:
+            _kept[path] = (Tokenizer.from_file(path), [{"": b""}, {}])
+        self.tokenizer, self.generations = _kept[path]
+        self.words = self.generations[0]
         (self.mark,) = self._ids(self.MARK)
 
     def _ids(self, text: str) -> list[int]:
@@ -56,12 +57,15 @@ class WordEncoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        words = self.words
-        if len(words) > CACHED_WORDS:
-            words.clear()
-            words[""] = b""
+        if len(self.words) > CACHED_WORDS:
+            self.generations[:] = [{"": b""}, self.words]
+        words, older = self.generations
+        self.words = words
         split = [t.replace("\n", " ").split(" ") for t in texts]
         new = {w for ws in split for w in ws if w not in words}
+        known = new.intersection(older)
+        words.update((w, older[w]) for w in known)
+        new -= known
         # A word of letters with one comma or stop after it is two pieces to the tokenizer,
         # and it ignores the case of ASCII letters.
         base = {w: w[:-1] if w[-1] in ",." and w[:-1].isalpha() else w for w in new}

@@ -19,6 +19,8 @@ FIT_ROWS = 12_000
 FIT_BYTES = 16_384
 DICTIONARY_BYTES = 200_000
 LEVEL = 3
+# Strength of the ridge for each calibration row, on features of unit variance.
+RIDGE = 1e-4
 _FEATURES = 5
 
 
@@ -67,14 +69,29 @@ def _dictionary(texts: list[bytes]) -> bytes:
 
 
 def _calibrate(x: np.ndarray, y: np.ndarray) -> tuple[float, ...]:
-    """Logistic regression by Newton steps; the weights apply to raw features."""
+    """Ridge logistic regression by Newton steps, each halved until the loss falls.
+
+    Without the halving a step overshoots where the classes are nearly separable. The weights
+    apply to raw features.
+    """
     mean, scale = x.mean(0), x.std(0) + 1e-9
     z = np.c_[(x - mean) / scale, np.ones(len(x))]
-    w, ridge = np.zeros(z.shape[1]), 1e-5 * len(x) + 1e-3
-    for _ in range(50):
-        p = 1.0 / (1.0 + np.exp(-np.clip(z @ w, -30, 30)))
+    w, ridge = np.zeros(z.shape[1]), RIDGE * len(x)
+
+    def loss(w: np.ndarray) -> float:
+        margin = z @ w
+        return float(np.logaddexp(0, margin).sum() - y @ margin + ridge / 2 * (w @ w))
+
+    now = loss(w)
+    for _ in range(100):
+        p = 1.0 / (1.0 + np.exp(-np.clip(z @ w, -500, 500)))
         h = (z * (p * (1 - p))[:, None]).T @ z + ridge * np.eye(len(w))
-        w = w + np.linalg.solve(h, z.T @ (y - p) - ridge * w)
+        step = np.linalg.solve(h, z.T @ (y - p) - ridge * w)
+        while (new := loss(w + step)) > now and np.abs(step).max() > 1e-9:
+            step /= 2
+        w, before, now = w + step, now, new
+        if before - now <= 1e-9 * max(before, 1.0):
+            break
     raw = w[:-1] / scale
     return tuple(float(v) for v in [*raw, w[-1] - raw @ mean])
 
