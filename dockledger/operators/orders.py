@@ -249,8 +249,9 @@ def apply_prices(
     if erp_ordinal is None:
         return out
     sizes = sheet.groupBy(order).agg(F.count(F.lit(1)).alias("_n"))
+    # Hot orders are looked for in the lines, not in the joined rows, which would be joined once more.
     return (
-        attach(out, sizes, [order], "left")
+        attach(out, sizes, [order], "left", hot=hot_keys(lines, [order]))
         .withColumn("price", F.when(F.col(erp_ordinal) < F.col("_n"), F.col("price")))
         .drop("_n")
     )

@@ -34,8 +34,4 @@ REQUISITION_SHEET = _struct(
     purchase_order_no=_TEXT, info=_TEXT,
 )
 LOG = _struct(run_id=_TEXT, seq=_LONG, level=_TEXT, message=_TEXT, ts=_TIME)
-STEP = _struct(run_id=_TEXT, step=_INT, label=_TEXT, enabled=_BOOL, status=_TEXT, ts=_TIME)
-RUN = _struct(run_id=_TEXT, success=_BOOL, output=_TEXT, error=_TEXT, execution_ms=_LONG)
-RUNTIME = _struct(host=_TEXT, name=_TEXT, raw=_TEXT, required=_BOOL)
-FILE = _struct(fileName=_TEXT, size=_LONG, processed=_BOOL, timestamp=_TIME)
 WORKBOOK_ROW = _struct(path=_TEXT, sheet=_TEXT, row=_LONG, cells=T.MapType(_TEXT, _TEXT))
