@@ -50,5 +50,11 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A fresh path below the shared folder, in a folder of the application that goes when it ends."""
+    context = spark.sparkContext
+    base = f"{shared_folder(spark).rstrip('/')}/dockledger-{context.applicationId}"
+    folder = context._jvm.org.apache.hadoop.fs.Path(base)
+    files = folder.getFileSystem(context._jsc.hadoopConfiguration())
+    files.mkdirs(folder)
+    files.deleteOnExit(folder)
+    return f"{base}/{name}-{uuid.uuid4().hex}"
