@@ -2,9 +2,12 @@
 
 from types import SimpleNamespace
 
+import public_tokenizers
 import pytest
+from tokenizers import Tokenizer
 
 import corpus_pipeline
+from dockledger.llm import decontaminate, lines, quality
 from dockledger.llm.queries import QUERIES, SQL
 from tests.parity import compare, duck
 
@@ -27,15 +30,62 @@ def test_native_queries_run_no_python(spark, name):
     assert not any(word in plan for word in ("Python", "Pandas", "Arrow"))
 
 
-def test_pipeline_stages_keep_columns_and_drop_rows_only(spark):
+def shingles(text):
+    words = (text or "").encode().lower().split()
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else {()}
+
+
+def test_pipeline_stages_against_brute_force(spark):
     docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
-    columns, before = docs.columns, {r["doc_id"] for r in docs.select("doc_id").collect()}
-    for name, stage in corpus_pipeline.STAGES[:-1]:
+    columns, tables = docs.columns, []
+    for name, stage in corpus_pipeline.STAGES:
         docs = corpus_pipeline.saved(stage(spark, docs, FOLDER), name)
-        assert docs.columns == columns
-        after = [r["doc_id"] for r in docs.select("doc_id").collect()]
-        assert len(after) == len(set(after)) and set(after) <= before
-        before = set(after)
-    pieces = corpus_pipeline.STAGES[-1][1](spark, docs, FOLDER)
-    assert {r["doc_id"] for r in pieces.select("doc_id").collect()} == before
-    assert corpus_pipeline.run(spark, FOLDER).count() == pieces.count()
+        if name != "packing":
+            assert docs.columns == columns
+            tables.append({r["doc_id"]: r for r in docs.collect()})
+            assert len(tables[-1]) == docs.count()
+    good, fresh, single, clean = tables
+    labels = spark.read.parquet(f"{FOLDER}/labels.parquet")
+    scores = quality.quality_scores(spark.read.parquet(f"{FOLDER}/documents.parquet"), labels)
+    assert set(good) == {r["doc_id"] for r in scores.where("predicted = 1").collect()}
+
+    owner, want = {}, {}
+    for doc in sorted(good):
+        for line in (good[doc]["text"] or "").split("\n"):
+            owner.setdefault(lines.line_key(line), doc)
+    for doc, row in good.items():
+        stay = [
+            x for x in (row["text"] or "").split("\n")
+            if lines.line_key(x) is None or owner[lines.line_key(x)] == doc
+        ]
+        want[doc] = "\n".join(stay)
+    assert {d: r["text"] or "" for d, r in fresh.items()} == want
+    assert all(r["n_chars"] == len(r["text"] or "") for d, r in fresh.items() if want[d] != (good[d]["text"] or ""))
+
+    assert set(single) <= set(fresh)
+    sets = {d: shingles(r["text"]) for d, r in fresh.items()}
+    for a in sets:
+        alike = {b: len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for b in sets if b != a}
+        if max(alike.values()) < 0.6:
+            assert a in single
+        if any(j >= 0.85 and b < a for b, j in alike.items()):
+            assert a not in single
+
+    items = [decontaminate.word_hashes(r["text"]) for r in spark.read.parquet(f"{FOLDER}/benchmark.parquet").collect()]
+    for doc, row in single.items():
+        words = decontaminate.word_hashes(row["text"] or "")
+        held = any(
+            decontaminate.best_alignment(item, words)[0] <= decontaminate.allowed(len(item)) for item in items
+        )
+        assert held == (doc not in clean)
+
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    lengths, fill = {}, {}
+    for r in docs.collect():
+        lengths[r["doc_id"]] = lengths.get(r["doc_id"], 0) + r["length"]
+        fill[r["sequence_id"]] = fill.get(r["sequence_id"], 0) + r["length"]
+    assert max(fill.values()) <= 2048
+    assert lengths == {
+        d: len(tokenizer.encode(r["text"] or "", add_special_tokens=False).ids) + 1 for d, r in clean.items()
+    }
+    assert corpus_pipeline.run(spark, FOLDER).count() == docs.count()
