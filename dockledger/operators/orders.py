@@ -209,17 +209,29 @@ def offered_lines(per_line: DataFrame, available_keys: Sequence[str], line: str
     return attach(out, totals, available_keys, "inner", hot=hot)
 
 
-def group_totals(lines: DataFrame, keys: Sequence[str], *more: Column) -> DataFrame:
-    """One row per group from :func:`offered_lines`; ``more`` are further aggregates of its lines."""
-    return (
-        lines.where(F.col("_need") > 0).groupBy(*keys)
-        .agg(
-            F.sum("_need").alias("n_required"),
-            F.max("_of_all").alias("n_available"),
-            F.sum(F.greatest(F.col("_need") - F.col("_of_line"), F.lit(0))).alias("n_missing"),
-            *more,
-        )
-        .withColumn("complete", F.col("n_missing") == 0)
+def _totals() -> dict[str, Column]:
+    return {
+        "n_required": F.sum("_need"),
+        "n_available": F.max("_of_all"),
+        "n_missing": F.sum(F.greatest(F.col("_need") - F.col("_of_line"), F.lit(0))),
+    }
+
+
+def group_totals(lines: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """One row per group from :func:`offered_lines`."""
+    needed = lines.where(F.col("_need") > 0).groupBy(*keys)
+    return needed.agg(*[c.alias(n) for n, c in _totals().items()]).withColumn("complete", F.col("n_missing") == 0)
+
+
+def with_group_totals(lines: DataFrame, keys: Sequence[str], **more: Column) -> DataFrame:
+    """The lines of :func:`offered_lines` that are needed, each with the totals of its group.
+
+    ``more`` are further aggregates over the group. Lines that lie together by some of the
+    keys are not moved.
+    """
+    group = Window.partitionBy(*keys)
+    return lines.where(F.col("_need") > 0).withColumns(
+        {n: c.over(group) for n, c in (_totals() | more).items()}
     )
 
 

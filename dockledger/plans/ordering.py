@@ -309,16 +309,18 @@ def purchase_orders(spark: SparkSession, folder: str) -> DataFrame:
     line = whole_number_text(F.concat(F.col("l_linenumber").cast("string"), F.lit(".0")))
     first = F.min_by("p_type", F.struct("l_linenumber", "l_partkey"))
     order = F.min(F.struct("l_linenumber", "l_partkey"))
-    counted = lookup(rows, types, ["l_partkey"], "inner").groupBy(*group, "l_linenumber").agg(
+    typed = lookup(rows, types, ["l_partkey"], "inner")
+    if not hot_keys(rows, ["l_orderkey"]):
+        typed = typed.repartition("l_orderkey")
+    counted = typed.groupBy(*group, "l_linenumber").agg(
         F.count(F.lit(1)).alias("_need"), F.count_if(F.col("l_returnflag") != "R").alias("_have"),
         first.alias("_type"), order.alias("_order"),
     ).withColumn("_line", line)
-    if not hot_keys(rows, ["l_orderkey"]):
-        counted = counted.repartition("l_orderkey")
-    offered = orders.offered_lines(counted, ["l_orderkey"])
-    groups = orders.group_totals(offered, group, F.min_by("_type", "_order").alias("p_type"))
+    lines = orders.with_group_totals(
+        orders.offered_lines(counted, ["l_orderkey"]), group, p_type=F.min_by("_type", "_order")
+    )
     named = lookup(
-        groups, suppliers.select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_name").alias("supplier_name")),
+        lines, suppliers.select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_name").alias("supplier_name")),
         ["l_suppkey"], "inner",
     )
     codes = suppliers.where("s_acctbal >= 0").select(
@@ -332,10 +334,8 @@ def purchase_orders(spark: SparkSession, folder: str) -> DataFrame:
         F.col("n_available"), F.col("n_missing"), F.col("supplier_code").startswith("SP"),
         popup, question, status,
     )
-    outcomes = coded.select(*group, outcome["message"].alias("outcome"))
-    winners = offered.select(*group, "l_linenumber").join(outcomes, group).groupBy("l_orderkey", "l_linenumber").agg(
-        F.max_by("outcome", "l_suppkey").alias("info")
-    )
+    judged = coded.select(*group, "l_linenumber", outcome["message"].alias("outcome"))
+    winners = judged.groupBy("l_orderkey", "l_linenumber").agg(F.max_by("outcome", "l_suppkey").alias("info"))
     return attach(rows.select(*ROW_ID), winners, ["l_orderkey", "l_linenumber"], "inner").select(*ROW_ID, "info")
 
 
