@@ -141,7 +141,8 @@ def _keyed(docs: DataFrame) -> DataFrame:
     if docs.schema["doc_id"].dataType.typeName() in ("long", "integer"):
         each = docs.groupBy("doc_id").count()
         if each.where("doc_id is null or count > 1").limit(1).count() == 0:
-            return docs.withColumn("doc", F.col("doc_id").cast("long"))
+            # Never null, so that no join puts a filter of its own below the exchange of the texts.
+            return docs.withColumn("doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(0)))
     laid = laid_out(docs, [F.asc_nulls_last("doc_id"), F.asc("text")])
     return laid.select("doc_id", "text", F.monotonically_increasing_id().alias("doc"))
 
@@ -250,7 +251,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     a document with a smaller doc_id, or further to the front. Strings are judged on the input and never cross
     documents. A null text is empty. Rows that share an id are documents of their own,
     ordered by text; a null id comes last. Cutting bytes may split a character, so ``kept``
-    is binary. Texts are shuffled once, for both later passes.
+    is binary. Texts are shuffled once: the later passes take the same columns of them.
 
     A string in very many documents gives one row to sort for each block of documents
     that a task reads.
@@ -264,7 +265,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
     def finer(open_runs: DataFrame, size: int) -> DataFrame:
         by_doc = open_runs.where("not gone").groupBy("doc").agg(F.collect_list(F.struct("at", "n")).alias("runs"))
-        texts = placed.join(by_doc, "doc").select("doc", "text", "runs")
+        texts = placed.join(by_doc, "doc").select("doc", "text", "runs", "doc_id")
         return _ranked(texts.mapInArrow(_finer_pass(length, size), _ROWS))
 
     blocks = finer(runs, min(BLOCK, length - _LONG + 1))
@@ -289,7 +290,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             )
 
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    return placed.join(spans, "doc", "left").select("doc_id", "text", "spans").mapInArrow(
+    return placed.join(spans, "doc", "left").select("doc_id", "text", "spans", "doc").mapInArrow(
         cut, f"doc_id {id_type}, n_bytes long, n_removed long, n_spans long, kept binary"
     )
 
