@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from dockledger.llm.ranges import fresh, slices
+from dockledger.operators.skew import attach
 from dockledger.session import scratch_path
 
 # White space stripped from both ends of a line, shortest key in code points.
@@ -117,7 +118,8 @@ class LineStore:
         new = self._write(first)
         # What the runs before did not hold has its owner in the new run.
         owned = self.spark.table(new)
-        dropped = lines.join(owned, ["h1", "h2"], "left").where(
+        # A line of too many documents for one task is salted.
+        dropped = attach(lines, owned, ["h1", "h2"], "left").where(
             F.col("owner").isNull() | (F.col("owner") < F.col("doc"))
         ).select("doc", "h1", "h2")
         path = scratch_path(self.spark, "dropped")
