@@ -16,7 +16,8 @@ from dockledger.llm.ranges import PART, laid_out, saved, slices
 
 CAPACITY = 2048
 END_ID = 1
-# Words whose ids a Python worker keeps between tasks, in each of two generations.
+# Words whose ids a Python worker keeps between tasks, in each of two generations. A word takes about
+# 220 bytes. More words save time where a worker does little else; they change no id.
 CACHED_WORDS = 400_000
 _kept: dict[str, tuple[object, list[dict[str, bytes]]]] = {}
 
@@ -30,13 +31,13 @@ class WordEncoder:
 
     MARK = "\x01"
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, cached: int = CACHED_WORDS):
         from tokenizers import Tokenizer
 
         if path not in _kept:
             _kept[path] = (Tokenizer.from_file(path), [{"": b""}, {}])
         self.tokenizer, self.generations = _kept[path]
-        self.words = self.generations[0]
+        self.words, self.cached = self.generations[0], cached
         (self.mark,) = self._ids(self.MARK)
 
     def _ids(self, text: str) -> list[int]:
@@ -57,7 +58,7 @@ class WordEncoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        if len(self.words) > CACHED_WORDS:
+        if len(self.words) > self.cached:
             self.generations[:] = [{"": b""}, self.words]
         words, older = self.generations
         self.words = words
@@ -79,7 +80,7 @@ class WordEncoder:
 
 def token_pieces(
     docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID,
-    doc_id: str = "doc_id", text: str = "text", with_ids: bool = False,
+    doc_id: str = "doc_id", text: str = "text", with_ids: bool = False, cached_words: int = CACHED_WORDS,
 ) -> DataFrame:
     """One row per piece of at most ``capacity`` ids: each document's ids and an end id.
 
@@ -98,7 +99,7 @@ def token_pieces(
         fields.append(T.StructField("ids", T.ArrayType(T.IntegerType())))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordEncoder(tokenizer)
+        encoder = WordEncoder(tokenizer, cached_words)
         for batch in slices(batches):
             ids = [x + end for x in encoder.encode([t or "" for t in batch.column(1).to_pylist()])]
             of, rows = [], []
@@ -215,6 +216,9 @@ def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     return laid.mapInArrow(place, out)
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFrame:
+def pack_documents(
+    docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, cached_words: int = CACHED_WORDS
+) -> DataFrame:
     """Tokenise whole documents once, cut them and pack the pieces."""
-    return pack_pieces(saved(token_pieces(docs, tokenizer, capacity), "pieces"), capacity)
+    pieces = token_pieces(docs, tokenizer, capacity, cached_words=cached_words)
+    return pack_pieces(saved(pieces, "pieces"), capacity)

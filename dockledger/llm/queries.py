@@ -62,7 +62,7 @@ def op1_sharding(spark: SparkSession, folder: str) -> DataFrame:
 @query()
 def op2_packing(spark: SparkSession, folder: str) -> DataFrame:
     tokenizer = public_tokenizers.path("word_bpe_49k.json")
-    return packing.pack_documents(table(spark, folder, "documents"), tokenizer)
+    return packing.pack_documents(table(spark, folder, "documents"), tokenizer, cached_words=750_000)
 
 
 @query()
