@@ -133,19 +133,6 @@ def route(tree: Node, points: np.ndarray, radius: int) -> Iterator[tuple[int, np
         stack.extend(side for side in sides if len(side[1]) or len(side[2]))
 
 
-def _visit(tree: Node, points: np.ndarray, radius: int) -> Iterator[tuple[int, np.ndarray, bool]]:
-    """The leaves of points that are visitors everywhere."""
-    stack = [(tree, np.arange(len(points)))]
-    while stack:
-        node, visit = stack.pop()
-        if node.leaf >= 0:
-            if len(visit):
-                yield node.leaf, visit, False
-            continue
-        far = np.bitwise_count(points[visit] ^ node.vantage).astype(np.int16)
-        stack += [(node.left, visit[far - radius <= node.cut]), (node.right, visit[far + radius > node.cut])]
-
-
 def close_links(homes: np.ndarray, visits: np.ndarray, radius: int) -> list[tuple[int, int]]:
     """Links among homes, and between homes and visitors, that join all close pairs of a leaf.
 
@@ -188,135 +175,135 @@ def close_links(homes: np.ndarray, visits: np.ndarray, radius: int) -> list[tupl
     return links
 
 
-# Prints of the similarity stage: four of 64 bits each. A pair at the threshold differs in
-# about 10 bits of each; FIRST is three deviations more. The estimate of the similarity errs
-# by about 0.05 at 0.8, so SLACK is allowed below the threshold.
-PRINTS = 4
-FIRST = 18
-SLACK = 0.03
-BAND_LEAF = 20_000
+# Bands of the similarity stage and smallest hashes in each. Two documents share a band with a
+# chance of J ** ROWS: at a similarity of 0.8 all bands miss three pairs in a million.
+BANDS = 32
+ROWS = 5
+# Members of a bucket that are compared with so many others in one task.
+BLOCK = 4_096
+_KEY = ["n", "k1", "k2"]
+_SIGNS = np.random.default_rng(11).integers(1, 2**63, (2, BANDS * ROWS), dtype=np.uint64)
+_FLIPS, _TIMES = _SIGNS[0], _SIGNS[1] | np.uint64(1)
 
 
-def similarity(distance: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Jaccard similarity that so many different bits of all prints, and the numbers of shingles, speak for."""
-    shared = np.cos(np.pi * distance / (64 * PRINTS)) * np.sqrt(a * b)
-    return shared / np.maximum(a + b - shared, 1e-9)
+def bands(hashes: np.ndarray) -> np.ndarray:
+    """A number for each band: of the smallest of the hashes in each of ROWS random orders."""
+    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, dtype=np.uint64)
+    for i in range(0, len(hashes), 1024):
+        least = np.minimum(least, ((hashes[i : i + 1024] ^ _FLIPS[:, None]) * _TIMES[:, None]).min(axis=1))
+    out = np.arange(1, BANDS + 1, dtype=np.uint64)
+    for some in least.reshape(BANDS, ROWS).T:
+        out = (out ^ some) * np.uint64(0xD6E8FEB86659FD93)
+        out ^= out >> np.uint64(32)
+    return out
 
 
-def similar_links(prints: np.ndarray, sizes: np.ndarray, homes: int, threshold: float) -> list[tuple[int, int]]:
-    """Links of a spanning forest over the pairs of at least ``threshold``, one of each at home."""
-    parent = list(range(len(prints)))
+def _sketches(docs: DataFrame, shingle: int) -> DataFrame:
+    """doc_id, n (distinct shingles), k1 and k2 (128 bits of their set) and the bands, none without shingles."""
 
-    def root(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            keys, found = [], []
+            for text in batch.column(1).to_pylist():
+                hashes = np.unique(shingle_hashes(text or "", shingle))
+                key = xxhash.xxh3_128_digest(hashes.tobytes(), SEED)
+                keys.append((len(hashes), *np.frombuffer(key, dtype=np.int64).tolist()))
+                found.append(bands(hashes).view(np.int64) if len(hashes) else [])
+            columns = [pa.array([k[i] for k in keys], pa.int64()) for i in range(3)]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), *columns, pa.array(found, pa.list_(pa.int64()))], names=["doc_id", *_KEY, "bands"]
+            )
 
-    links = []
-    first = np.ascontiguousarray(prints[:, 0])
-    for i in range(0, homes, 64):
-        x, y = np.nonzero(np.bitwise_count(first[i : min(i + 64, homes), None] ^ first[None, i:]) <= FIRST)
-        x, y = x + i, y + i
-        x, y = x[x < y], y[x < y]
-        apart = np.bitwise_count(prints[x] ^ prints[y]).sum(axis=1, dtype=np.int64)
-        good = similarity(apart, sizes[x], sizes[y]) >= threshold
-        for p, q in zip(x[good].tolist(), y[good].tolist()):
-            if (rp := root(p)) != (rq := root(q)):
-                parent[rq] = rp
-                links.append((p, q))
-    return links
+    known = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return known.mapInArrow(made, "doc_id long, n long, k1 long, k2 long, bands array<long>")
 
 
-def _many_prints(docs: DataFrame, shingle: int) -> DataFrame:
-    """doc_id, n (shingles, repeats included) and PRINTS fingerprints p0, p1, ..."""
-    names = [f"p{k}" for k in range(PRINTS)]
+def _shingle_sets(docs: DataFrame, shingle: int) -> DataFrame:
+    """doc_id and the distinct shingles of each text."""
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            rows, counts = [], []
-            for text in batch.column(1).to_pylist():
-                hashes = shingle_hashes(text or "", shingle)
-                counts.append(len(hashes))
-                prints = []
-                for _ in names:
-                    prints.append(fingerprint(hashes))
-                    hashes = (hashes ^ (hashes >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
-                    hashes ^= hashes >> np.uint64(29)
-                rows.append(prints)
-            values = np.array(rows, dtype=np.uint64).reshape(-1, PRINTS).view(np.int64)
-            columns = [pa.array(np.ascontiguousarray(values[:, k])) for k in range(PRINTS)]
+        for batch in slices(batches, 64):
+            sets = [np.unique(shingle_hashes(t or "", shingle)).view(np.int64) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(counts, pa.int64()), *columns], names=["doc_id", "n", *names]
+                [batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["doc_id", "shingles"]
             )
 
-    known = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return known.mapInArrow(made, ", ".join(["doc_id long", "n long", *(f"{n} long" for n in names)]))
+    return docs.mapInArrow(made, "doc_id long, shingles array<long>")
 
 
-def later_copies(docs: DataFrame, shingle: int = 5, threshold: float = 0.8) -> DataFrame:
-    """doc_id of every document that a group of similar documents does not keep.
+def alike(docs: DataFrame, pairs: DataFrame, shingle: int, threshold: float) -> DataFrame:
+    """The pairs (a, b) of doc_ids whose distinct shingles have a Jaccard similarity of ``threshold`` at least.
+
+    ``pairs`` is a saved table. Only the texts it names are read into sets, and every pair is checked on them.
+    """
+    wanted = saved(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "wanted")
+    if wanted.count() <= BROADCAST_IDS:
+        wanted = F.broadcast(wanted)
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, "doc_id", "left_semi")
+    sets = saved(_shingle_sets(texts, shingle), "shingles")
+    for side in ("a", "b"):
+        pairs = attach(pairs, sets.select(F.col("doc_id").alias(side), F.col("shingles").alias(f"of_{side}")), [side], "inner")
+    shared = F.size(F.array_intersect("of_a", "of_b"))
+    return pairs.where(shared / (F.size("of_a") + F.size("of_b") - shared) >= threshold).select("a", "b")
 
-    Two documents are similar if their prints speak for a Jaccard similarity of ``threshold``, less SLACK, of their
-    shingles; the first print must differ in FIRST bits at most. Groups are connected by
-    such pairs and keep their smallest doc_id. Documents with equal prints are compared once.
 
-    Similar documents have nearly as many shingles: a document is compared inside its band of
-    sizes, a factor of ``threshold`` wide, and the next. A band of many documents is cut by a vantage-point
-    tree on the first print.
+def _crowded_pairs(members: DataFrame, buckets: DataFrame, roots: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (a, b) of a bucket of three and more that no link joins yet and that were not compared with its first.
+
+    All members outside the bucket's largest component meet all others, in blocks of BLOCK by BLOCK.
     """
-    spark = docs.sparkSession
-    names = [f"p{k}" for k in range(PRINTS)]
-    rows = saved(_many_prints(docs, shingle), "prints")
-    nodes = saved(rows.groupBy("n", *names).agg(F.min("doc_id").alias("node")), "nodes")
-    width = -float(np.log(threshold - SLACK))
-    band = F.floor(F.log(F.greatest(F.col("n"), F.lit(1)).cast("double")) / width).cast("int")
-    banded = nodes.withColumn("band", band)
-    sizes = dict(banded.groupBy("band").count().collect())  # a few dozen rows
-    trees = {}
-    for number, size in sizes.items():
-        leaves = max(1, min(LEAVES // 64, size // BAND_LEAF))
-        if leaves > 1:
-            mine = banded.where(F.col("band") == number).select("p0")
-            chosen = mine.orderBy(F.xxhash64("p0", F.lit("vantage")), "p0").limit(leaves * SAMPLE).collect()
-            trees[number] = build_tree(np.array([r[0] for r in chosen], dtype=np.int64).view(np.uint64), leaves)
-    sent = spark.sparkContext.broadcast(trees)
-    single = Node(leaf=0)
+    crowded = attach(members, buckets.where("m > 2").select("h", "first"), ["h"], "inner")
+    crowded = crowded.where("node <> first")
+    crowded = saved(
+        attach(crowded, roots, ["node"]).select("h", "node", "n", F.coalesce("root", "node").alias("root")), "crowded"
+    )
+    counts = crowded.groupBy("h", "root").agg(F.count(F.lit(1)).alias("m"))
+    mixed = counts.groupBy("h").agg(
+        F.max(F.struct("m", "root"))["root"].alias("main"), F.sum("m").alias("m"), F.count(F.lit(1)).alias("roots")
+    ).where("roots > 1")
+    parts = F.ceil(F.col("m") / BLOCK)
+    mixed = attach(crowded, mixed.select("h", "main", parts.alias("parts")), ["h"], "inner")
+    mixed = saved(mixed.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts"))), "mixed")
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))
+    left = mixed.where("root <> main").select(
+        "h", F.col("part").alias("i"), every.alias("j"),
+        F.col("node").alias("p"), F.col("n").alias("pn"), F.col("root").alias("pr"),
+    )
+    right = mixed.select(
+        "h", every.alias("i"), F.col("part").alias("j"),
+        F.col("node").alias("q"), F.col("n").alias("qn"), F.col("root").alias("qr"),
+    )
+    fits = (F.col("pr") != F.col("qr")) & (F.least("pn", "qn") / F.greatest("pn", "qn") >= threshold)
+    met = left.join(right, ["h", "i", "j"]).where(fits)
+    return met.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct()
 
-    def routed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            own = batch.column(batch.schema.get_field_index("band")).to_numpy()
-            first = batch.column(batch.schema.get_field_index("p0")).to_numpy().view(np.uint64)
-            for number in np.unique(own).tolist():
-                mine = np.flatnonzero(own == number)
-                places = [(number, *place) for place in route(sent.value.get(number, single), first[mine], FIRST)]
-                if number + 1 in sizes:  # a guest of the next band may meet any leaf there
-                    places += [
-                        (number + 1, *place)
-                        for place in _visit(sent.value.get(number + 1, single), first[mine], FIRST)
-                    ]
-                for of, leaf, index, home in places:
-                    some = batch.take(pa.array(mine[index]))
-                    kept = [some.column(some.schema.get_field_index(c)) for c in ("node", "n", *names)]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(index), of, np.int32)), pa.array(np.full(len(index), leaf, np.int32)),
-                         pa.array(np.full(len(index), home)), *kept],
-                        names=["band", "leaf", "home", "node", "n", *names],
-                    )
 
-    def joined(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["home", "node"], ascending=[False, True])
-        prints = np.ascontiguousarray(group[names].to_numpy()).view(np.uint64)
-        counts, node = group["n"].to_numpy().astype(float), group["node"].to_numpy()
-        links = similar_links(prints, counts, int(group["home"].sum()), threshold - SLACK)
-        links = np.array(links, dtype=np.int64).reshape(-1, 2)
-        return pd.DataFrame({"a": node[links[:, 0]], "b": node[links[:, 1]]})
-
-    long = ", ".join(f"{c} long" for c in ("node", "n", *names))
-    placed = banded.mapInArrow(routed, f"band int, leaf int, home boolean, {long}")
-    roots = connected(placed.groupBy("band", "leaf").applyInPandas(joined, "a long, b long"))
-    rooted = nodes.join(roots, "node", "left").select("n", *names, F.coalesce("root", "node").alias("root"))
-    return attach(rows, rooted, ["n", *names]).where("doc_id <> root").select("doc_id").distinct()
+def later_copies(docs: DataFrame, shingle: int = 5, threshold: float = 0.8) -> DataFrame:
+    """doc_id of every document that a group of similar documents does not keep.
+
+    Two documents are similar if the sets of their shingles have a Jaccard similarity of ``threshold``
+    at least. Groups are connected by such pairs and keep their smallest doc_id. Documents with equal sets
+    are compared once.
+
+    Min-hashing proposes pairs: those that share a band. Each is checked on its shingles, so no
+    other document is linked. First all members of a bucket are compared with its smallest id, then
+    those with each other that no link joins yet.
+    """
+    rows = saved(_sketches(docs, shingle), "sketches")
+    nodes = saved(rows.groupBy(*_KEY).agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands")), "nodes")
+    members = nodes.select(F.explode("bands").alias("h"), "node", "n")
+    buckets = members.groupBy("h").agg(F.min("node").alias("first"), F.count(F.lit(1)).alias("m")).where("m > 1")
+    buckets = saved(buckets, "buckets")
+    members = saved(attach(members, buckets.select("h"), ["h"], "left_semi"), "members")
+    stars = attach(members, buckets.select("h", "first"), ["h"], "inner").where("node <> first")
+    stars = saved(stars.select(F.col("first").alias("a"), F.col("node").alias("b")).distinct(), "stars")
+    links = saved(alike(docs, stars, shingle, threshold), "links")
+    roots = connected(links)
+    crowd = saved(_crowded_pairs(members, buckets, roots, threshold), "pairs")
+    if not crowd.isEmpty():
+        roots = connected(links.union(alike(docs, crowd, shingle, threshold)))
+    rooted = nodes.join(roots, "node", "left").select(*_KEY, F.coalesce("root", "node").alias("root"))
+    return attach(rows.select("doc_id", *_KEY), rooted, _KEY).where("doc_id <> root").select("doc_id").distinct()
 
 
 def without_near_copies(docs: DataFrame, shingle: int = 5, threshold: float = 0.8) -> DataFrame:

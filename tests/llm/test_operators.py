@@ -315,6 +315,47 @@ def test_similar_documents_keep_one(docs, rows):
     assert simhash.without_near_copies(docs).columns == docs.columns
 
 
+def exact_groups(sets):
+    """The smallest id that each document reaches over pairs of a Jaccard similarity of at least 0.8."""
+    root = {d: d for d in sets}
+
+    def top(d):
+        while root[d] != d:
+            d = root[d]
+        return d
+
+    for a in sets:
+        for b in sets:
+            if a < b and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+                p, q = sorted((top(a), top(b)))
+                root[q] = p
+    return {d: top(d) for d in sets}
+
+
+@pytest.mark.parametrize("block", [3, 4096])
+def test_similar_documents_are_those_of_exact_jaccard(spark, monkeypatch, block):
+    monkeypatch.setattr(simhash, "BLOCK", block)
+    rng = random.Random(23)
+    rows = []
+    for base in range(60):  # pairs from about 0.6 to 1
+        words = prose(rng, rng.choice([12, 60, 300, 900])).split()
+        rows += [" ".join(words), " ".join(w if rng.random() > base / 600 else prose(rng, 1) for w in words)]
+    words = prose(rng, 250).split()  # a crowd whose members are alike by chance only
+    rows += [" ".join(w if rng.random() > 0.025 else prose(rng, 1) for w in words) for _ in range(40)]
+    text = prose(rng, 300)
+    rows += [text, f"{text} {text}", f"{text} {text} {text}", "a b c d", "a b c d e", "a b c d e f", "", None, " "]
+    rng.shuffle(rows)
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(rows)], SCHEMA)
+    sets = {}
+    for doc, text in enumerate(rows):
+        w = (text or "").encode().lower().split()
+        sets[doc] = {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else {()}
+    alike = [len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a in sets for b in sets if a < b]
+    assert sum(0.6 < j < 0.8 for j in alike) > 50 and sum(0.8 <= j < 1 for j in alike) > 40
+    kept = {r["doc_id"] for r in simhash.without_near_copies(docs).collect()}
+    assert kept == {d for d, r in exact_groups(sets).items() if d == r}
+
+
 def luhn(number):
     ds = [int(c) for c in number][::-1]
     return sum(d if i % 2 == 0 else 2 * d - 9 * (2 * d > 9) for i, d in enumerate(ds)) % 10 == 0
