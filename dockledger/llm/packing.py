@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import heapq
+import unicodedata
 import zlib
 from collections.abc import Iterator, Mapping
 
@@ -22,6 +23,20 @@ CACHED_WORDS = 400_000
 _kept: dict[str, tuple[object, list[dict[str, bytes]]]] = {}
 
 
+def _parted(word: str) -> bool:
+    """Whether the tokenizer surely parts letters from the comma or stop after them.
+
+    It normalises first, and then a mark at the letters' end would be one piece with the stop. Alphabets up to
+    U+052F are told, others not: newer letters depend on the version of Unicode.
+    """
+    if word[-1] not in ",." or not (letters := word[:-1]).isalpha():
+        return False
+    if letters.isascii():
+        return True
+    plain = unicodedata.normalize("NFC", letters).lower()
+    return plain.isalpha() and max(plain) < "\u0530"
+
+
 class WordEncoder:
     """Ids of texts by a tokenizer that never joins characters across a space or line end.
 
@@ -67,14 +82,15 @@ class WordEncoder:
         known = new.intersection(older)
         words.update((w, older[w]) for w in known)
         new -= known
-        # A word of letters with one comma or stop after it is two pieces to the tokenizer,
+        # A word of letters with one comma or stop after it is mostly two pieces to the tokenizer,
         # and it ignores the case of ASCII letters.
-        base = {w: w[:-1] if w[-1] in ",." and w[:-1].isalpha() else w for w in new}
+        parted = {w for w in new if _parted(w)}
+        base = {w: w[:-1] if w in parted else w for w in new}
         base = {w: b.lower() if b.isascii() and b.isalpha() else b for w, b in base.items()}
         self._learn(list({b for b in [*base.values(), ".", ","] if b not in words}))
         for w, b in base.items():
             if w not in words:
-                words[w] = words[b] + (words[w[-1]] if w[-1] in ",." and w[:-1].isalpha() else b"")
+                words[w] = words[b] + (words[w[-1]] if w in parted else b"")
         return [b"".join([words[w] for w in ws]) for ws in split]
 
 

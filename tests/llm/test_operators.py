@@ -127,6 +127,18 @@ def test_pieces_hold_every_id_once_and_sequences_are_gapless(docs, rows):
         assert at <= 256
 
 
+@pytest.mark.parametrize("word", [
+    "AL\u0130", "TAR\u0130H\u0130", "\u0915\u095c", "\ufb2a", "na\u0308", "\u00c9t\u00e9", "\u039f\u0394\u039f\u03a3",
+    "\u041c\u0438\u0440", "stra\u00dfe", "\u4e2d\u6587", "\ufb01", "I\u0307", "WORD", "\u0958",
+])
+@pytest.mark.parametrize("end", [",", ".", ".,", ""])
+def test_words_before_a_stop_have_the_ids_of_the_whole_text(word, end):
+    tokenizer, encoder = Tokenizer.from_file(TOKENIZER), packing.WordEncoder(TOKENIZER)
+    texts = [word + end, f"one {word}{end} two", f"{word}{end}\n{word}"]
+    got = [np.frombuffer(x, "<u4").tolist() for x in encoder.encode(texts)]
+    assert got == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 @pytest.mark.parametrize("seed", range(8))
 def test_histogram_packing_places_each_piece_by_the_rule(seed):
     rng = random.Random(seed)
