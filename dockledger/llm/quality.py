@@ -7,16 +7,21 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from dockledger.llm.ranges import fresh, slices
+from dockledger.llm.ranges import fresh, saved, slices
 
-# Bounds of the fitting sample: labelled rows, and bytes read of each.
+# Bound of the fitting sample: labelled rows.
 FIT_ROWS = 12_000
-FIT_BYTES = 16_384
+# Bytes of a chunk for a dictionary, and about how many chunks the driver takes of each class.
+CHUNK = 512
+CHUNKS = 98_304
+# Most bytes compressed in one go; a longer text is all of its blocks, each as large as the others.
+BLOCK = 4_096
 DICTIONARY_BYTES = 200_000
 LEVEL = 3
 # Strength of the ridge for each calibration row, on features of unit variance.
@@ -44,9 +49,12 @@ class CompressionModel:
 
         def features(text: str) -> list[float]:
             raw = text.encode("utf-8", "replace")
-            size = len(raw) + 16
-            g, b, p = (len(c.compress(raw)) for c in (good, bad, plain))
-            return [(b - g) / (b + g), (b - g) / size, g / size, p / size, float(np.log(size))]
+            n = max(1, -(-len(raw) // BLOCK))
+            step = max(1, -(-len(raw) // n))
+            blocks = [raw[i : i + step] for i in range(0, len(raw), step)] or [b""]
+            size = len(raw) + 16 * len(blocks)
+            g, b, p = (sum(len(c.compress(x)) for x in blocks) for c in (good, bad, plain))
+            return [(b - g) / (b + g), (b - g) / size, g / size, p / size, float(np.log(size / len(blocks)))]
 
         return features
 
@@ -56,16 +64,15 @@ class CompressionModel:
         return 1.0 / (1.0 + np.exp(-np.clip(z, -30, 30)))
 
 
-def _dictionary(texts: list[bytes]) -> bytes:
+def _dictionary(chunks: list[bytes]) -> bytes:
     """A trained dictionary, or the text itself where there is too little to train on."""
-    chunks = [t[i : i + 512] for t in texts for i in range(0, len(t), 512)]
     size = min(DICTIONARY_BYTES, sum(map(len, chunks)) // 10)
     if size >= 4096 and len(chunks) >= 100:
         try:
             return zstandard.train_dictionary(size, chunks, level=LEVEL).as_bytes()
         except zstandard.ZstdError:
             pass  # samples too alike; use them as they are
-    return b"\n".join(texts)[:DICTIONARY_BYTES]
+    return b"".join(chunks)[:DICTIONARY_BYTES]
 
 
 def _calibrate(x: np.ndarray, y: np.ndarray) -> tuple[float, ...]:
@@ -96,13 +103,60 @@ def _calibrate(x: np.ndarray, y: np.ndarray) -> tuple[float, ...]:
     return tuple(float(v) for v in [*raw, w[-1] - raw @ mean])
 
 
+def _chunks(sample: DataFrame, count: int) -> list[bytes]:
+    """All chunks of the texts in the order of their ids, or about CHUNKS of the ``count``, from anywhere in the texts."""
+    limit = int(min(1.0, CHUNKS / max(count, 1)) * 2**64)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 64):
+            of, at, chunks = [], [], []
+            for k, text in enumerate(batch.column(1).to_pylist()):
+                raw, doc = text.encode("utf-8", "replace"), batch.column(0)[k].as_py()
+                for i in range(0, len(raw), CHUNK):
+                    if xxhash.xxh64_intdigest(f"{doc} {i}") < limit:
+                        of.append(k)
+                        at.append(i)
+                        chunks.append(raw[i : i + CHUNK])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(pa.array(of, pa.int64())), pa.array(at, pa.int64()), pa.array(chunks, pa.binary())],
+                names=["doc_id", "at", "chunk"],
+            )
+
+    schema = T.StructType([
+        T.StructField("doc_id", sample.schema["doc_id"].dataType), T.StructField("at", T.LongType()),
+        T.StructField("chunk", T.BinaryType()),
+    ])
+    rows = sample.select("doc_id", "text").mapInArrow(cut, schema).collect()
+    return [c for _, _, c in sorted((r["doc_id"], r["at"], bytes(r["chunk"])) for r in rows)]
+
+
+def _features(sample: DataFrame, model: CompressionModel) -> list[tuple]:
+    """(id, quality, features) of every row, by id."""
+
+    def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        features = model.scorer()
+        for batch in slices(batches):
+            x = [features(t) for t in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(x, pa.list_(pa.float64()))], names=["doc_id", "good", "x"]
+            )
+
+    schema = T.StructType([
+        T.StructField("doc_id", sample.schema["doc_id"].dataType), T.StructField("good", T.IntegerType()),
+        T.StructField("x", T.ArrayType(T.DoubleType())),
+    ])
+    rows = sample.select("doc_id", "good", "text").mapInArrow(measured, schema).collect()
+    return sorted((r["doc_id"], r["good"], list(r["x"])) for r in rows)
+
+
 def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> CompressionModel:
     """Fit on at most ``rows`` labelled documents, the first by a hash of their id.
 
     ``labels`` has doc_id and quality (0 or 1); rows with a null in either are left out, and
     a document labelled twice is good only if all its labels say so. One half of the sample, by
-    another hash, makes the two dictionaries; the other half calibrates. Of each sampled
-    text at most FIT_BYTES bytes are read; scoring reads whole texts. Without
+    another hash, makes the two dictionaries; the other half calibrates, on the features of its whole texts
+    as scoring has them. Dictionaries come from chunks of whole texts: of all, or of about CHUNKS of each class, by a
+    hash. Only chunks and features come to the driver. Without
     any sampled row of one class the model gives every text the share of good labels
     (0.5 without labels).
     """
@@ -113,32 +167,34 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Compression
     chosen = known.orderBy(F.xxhash64(F.col("doc_id"), F.lit("fit")), "doc_id").limit(rows)
     part = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("half")), F.lit(2))
     # At most FIT_ROWS rows of two numbers are broadcast.
-    sample = (
-        docs.select("doc_id", F.substring(F.coalesce("text", F.lit("")), 1, FIT_BYTES).alias("text"))
-        .join(F.broadcast(chosen), "doc_id")
-        .select("quality", "text", part.alias("half"), "doc_id").collect()
+    sample = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
+    sample = saved(
+        sample.select("doc_id", (F.col("quality") > 0).cast("int").alias("good"), part.cast("int").alias("half"), "text"),
+        "labelled",
     )
-    sample = sorted(((r["doc_id"], r["quality"], r["half"], r["text"]) for r in sample))
-    made: dict[int, list[bytes]] = {0: [], 1: []}
-    for _, quality, half, text in sample:
-        if half:
-            made[int(quality > 0)].append(text.encode("utf-8", "replace")[:FIT_BYTES])
-    rest = [(int(q > 0), t) for _, q, half, t in sample if not half]
-    classes = {q for q, _ in rest}
-    if len(classes) < 2 or not made[0] or not made[1]:
-        share = float(np.mean([q > 0 for _, q, _, _ in sample])) if sample else 0.5
+    counts = {
+        (r["half"], r["good"]): r for r in sample.groupBy("half", "good").agg(
+            F.count(F.lit(1)).alias("n"), F.sum(F.ceil(F.octet_length("text") / CHUNK)).alias("chunks")
+        ).collect()
+    }
+    if len(counts) < 4:
+        total = sum(r["n"] for r in counts.values())
+        share = sum(r["n"] for (_, good), r in counts.items() if good) / total if total else 0.5
         share = min(max(share, 1e-6), 1 - 1e-6)
         return CompressionModel(b"", b"", (*[0.0] * _FEATURES, float(np.log(share / (1 - share)))))
-    model = CompressionModel(_dictionary(made[1]), _dictionary(made[0]), (0.0,) * (_FEATURES + 1))
-    features = model.scorer()
-    x = np.array([features(t) for _, t in rest])
-    return CompressionModel(model.good, model.bad, _calibrate(x, np.array([q for q, _ in rest], float)))
+    good, bad = (
+        _dictionary(_chunks(sample.where(f"half = 1 and good = {k}"), counts[1, k]["chunks"])) for k in (1, 0)
+    )
+    model = CompressionModel(good, bad, (0.0,) * (_FEATURES + 1))
+    rest = _features(sample.where("half = 0"), model)
+    x, y = np.array([r[2] for r in rest]), np.array([r[1] for r in rest], float)
+    return CompressionModel(good, bad, _calibrate(x, y))
 
 
 def score(docs: DataFrame, model: CompressionModel, text: str = "text", out: str = "score") -> DataFrame:
     """Add the probability, from 0 to 1, that a text is good.
 
-    Whole texts are compressed; a null text scores as an empty one. Equal texts get equal
+    Whole texts are compressed, in blocks, so that a long text looks like its parts; a null text scores as an empty one. Equal texts get equal
     scores. A column called like ``out`` is replaced; all others stay.
     """
     docs = docs.drop(out)

@@ -187,6 +187,25 @@ def test_quality_scores_learn_and_stay_between_zero_and_one(spark):
     assert kept.columns == ["doc_id", "text", "__score"] and kept.count() < 400
 
 
+def test_long_texts_are_judged_like_their_parts(spark):
+    folder = "/root/testdata/sf0.1"
+    docs, labels = (spark.read.parquet(f"{folder}/{n}.parquet") for n in ("documents", "labels"))
+    model = quality.fit(docs, labels.where(~quality.held_out()))
+    known = labels.where(quality.held_out()).join(docs, "doc_id").orderBy("doc_id").select("quality", "text").collect()
+    rows, want = [], {}
+    for label in (0, 1):
+        texts = [r["text"] for r in known if r["quality"] == label and r["text"]]
+        for size in (1 << 16, 1 << 18, 1 << 20):
+            for k in range(8):
+                random.Random(k).shuffle(texts)
+                joined = "\n".join(texts)
+                joined = (joined * (1 + size // len(joined)))[:size]
+                want[len(rows)] = label
+                rows.append((len(rows), joined))
+    got = quality.score(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()
+    assert {r["doc_id"]: int(r["score"] >= 0.5) for r in got} == want
+
+
 def test_quality_without_labels_is_even(docs, spark):
     none = spark.createDataFrame([], "doc_id long, quality int")
     assert {r["score"] for r in quality.quality_scores(docs, none).collect()} == {0.5}
