@@ -1,15 +1,12 @@
-"""Benchmark passages in documents: edit distance by CGK embeddings, bit sampling and exact checks.
+"""Benchmark passages in documents: edit distance by shared runs of words and exact checks.
 
 Texts are sequences of words: runs of letters and digits in lower case. A passage is a run of
 a document's words at most ``edits`` word edits from an item.
 
 1. Of n words at most k of which are edited, a run of (n - k) / (k + 1) words stays whole. Only
    places that share such a run with an item go on; no match is lost here.
-2. The random walk of Chakraborty, Goldenberg and Koucky reads a window of words: at each step it
-   emits the word it stands on, and a random function of step and word says whether it moves on. Few
-   edits change few emitted words. A repetition samples some steps and hashes what they emit; a
-   window goes on to every item with the same hash in any repetition.
-3. Sellers' alignment against the words around gives the exact distance.
+2. Sellers' alignment against the words around each such run gives the exact distance. Nothing between the two
+   steps can lose a match, wherever in the item its edits lie.
 """
 
 from __future__ import annotations
@@ -30,10 +27,6 @@ from dockledger.llm.ranges import fresh, slices
 
 # Word edits allowed, as a share of an item's words.
 EDITS = 0.2
-# Repetitions, and steps sampled in each. At the limit of edits a repetition finds about one window
-# in four, so 32 miss fewer than one in a thousand.
-REPETITIONS = 32
-SAMPLED = 2
 # Items that a task searches at once; a larger benchmark takes several passes.
 ITEMS = 20_000
 _WORD = re.compile(r"\w+")
@@ -75,37 +68,6 @@ def whole_run(n: int, k: int) -> int:
     return max(1, -(-(n - k) // (k + 1)))
 
 
-def walk(
-    words: np.ndarray, starts: np.ndarray, size: int, repetitions: int, sampled: int, seed: int = 5
-) -> np.ndarray:
-    """Hashes of the sampled steps of the walks from ``starts``: one row per repetition.
-
-    A window is the next ``size`` words. A walk takes 2 * size steps, which moves it ``size`` words
-    on average; past its window's end it emits zero.
-    """
-    rng = np.random.default_rng([seed, size])
-    steps = 2 * size
-    chosen = [set(rng.choice(steps, min(sampled, steps), replace=False).tolist()) for _ in range(repetitions)]
-    salts = rng.integers(1, 2**63, (repetitions, -(-steps // 64)), dtype=np.uint64)
-    # Each window is a row, with zeros from its end on.
-    place = starts[:, None] + np.arange(size + 1)
-    padded = np.concatenate((words, np.zeros(1, np.uint64)))[np.minimum(place, len(words))]
-    padded[:, size] = 0
-    padded = padded.ravel()
-    first = np.arange(len(starts)) * (size + 1)
-    stop = first + np.minimum(size, len(words) - starts)
-    out = np.zeros((repetitions, len(starts)), dtype=np.uint64)
-    for r in range(repetitions):
-        at, moves = first.copy(), None
-        for t in range(max(chosen[r]) + 1):
-            if t % 64 == 0:
-                moves = _mix(_mix(padded * _PRIME + salts[r, t // 64]))
-            if t in chosen[r]:
-                out[r] = _mix(out[r] * _PRIME + padded[at] + np.uint64(t + 1))
-            at = np.minimum(at + ((moves[at] >> np.uint64(t % 64)) & np.uint64(1)).astype(np.int64), stop)
-    return out
-
-
 def best_alignment(item: np.ndarray, words: np.ndarray) -> tuple[int, int]:
     """Least edits from the item to any run of ``words``, and the end of the first such run."""
     columns = np.arange(len(words) + 1)
@@ -124,41 +86,26 @@ class Items:
     ids: list[int]
     words: list[np.ndarray]
     edits: float
-    repetitions: int
-    sampled: int
     limits: list[int] = field(init=False)
     grams: dict = field(init=False)
-    hashes: dict = field(init=False)
 
     def __post_init__(self):
         self.limits = [allowed(len(w), self.edits) for w in self.words]
         where = defaultdict(lambda: defaultdict(list))
-        classes = defaultdict(list)
         for j, w in enumerate(self.words):
             size = whole_run(len(w), self.limits[j])
             for at, g in enumerate(_grams(w, size).tolist()):
                 where[size][g].append((j, at))
-            classes[1 << (len(w).bit_length() - 1)].append(j)
         self.grams = {}
         for size, found in where.items():
             keys = np.array(sorted(found), dtype=np.uint64)
             seen = np.zeros(1 << 22, dtype=bool)
             seen[(keys & np.uint64((1 << 22) - 1)).astype(np.int64)] = True
             self.grams[size] = (keys, seen, [found[k] for k in keys.tolist()])
-        self.hashes = {}
-        for size, members in classes.items():
-            table = [defaultdict(list) for _ in range(self.repetitions)]
-            for j in members:
-                signs = walk(self.words[j], np.zeros(1, np.int64), size, self.repetitions, self.sampled)
-                for r in range(self.repetitions):
-                    table[r][int(signs[r, 0])].append(j)
-            self.hashes[size] = [
-                (np.array(sorted(t), dtype=np.uint64), [set(t[k]) for k in sorted(t)]) for t in table
-            ]
-
-    def _starts(self, words: np.ndarray, ends: np.ndarray) -> dict[int, np.ndarray]:
-        """Starts of windows, by size of window, that may hold an item: each near a shared run."""
-        out: dict[int, set] = defaultdict(set)
+
+    def _places(self, words: np.ndarray, ends: np.ndarray) -> dict[tuple[int, int], list[tuple[int, int]]]:
+        """First and last start of a match around each shared run, by text and item."""
+        out: dict[tuple[int, int], list] = defaultdict(list)
         for size, (keys, seen, where) in self.grams.items():
             if len(words) < size:
                 continue
@@ -168,43 +115,35 @@ class Items:
                 continue
             place = np.minimum(np.searchsorted(keys, grams[at]), len(keys) - 1)
             for p, k in zip(at[keys[place] == grams[at]].tolist(), place[keys[place] == grams[at]].tolist()):
-                doc = np.searchsorted(ends, p, side="right")
+                doc = int(np.searchsorted(ends, p, side="right"))
                 if p + size > ends[doc]:
                     continue
                 first = int(ends[doc - 1]) if doc else 0
                 for j, offset in where[k]:
                     limit = self.limits[j]
                     low, high = max(first, p - offset - limit), min(p, p - offset + limit)
-                    out[1 << (len(self.words[j]).bit_length() - 1)].update(range(low, max(low, high) + 1))
-        return {size: np.array(sorted(s), dtype=np.int64) for size, s in out.items()}
+                    out[doc, j].append((low, max(low, high)))
+        return out
 
     def search(self, texts: list[np.ndarray]) -> list[list[tuple[int, int, int, int]]]:
         """For each text (item id, first word of the match, words, edits), the best match of each item."""
         found: list[list] = [[] for _ in texts]
         words = np.concatenate(texts) if texts else np.empty(0, np.uint64)
         ends = np.cumsum([len(t) for t in texts])
-        for size, starts in self._starts(words, ends).items():
-            signs = walk(words, starts, size, self.repetitions, self.sampled)
-            near: dict[tuple[int, int], set] = defaultdict(set)
-            doc_of = np.searchsorted(ends, starts, side="right")
-            for r, (keys, members) in enumerate(self.hashes[size]):
-                place = np.minimum(np.searchsorted(keys, signs[r]), len(keys) - 1)
-                for i in np.flatnonzero(keys[place] == signs[r]).tolist():
-                    for j in members[place[i]]:
-                        near[(int(doc_of[i]), j)].add(int(starts[i]))
-            for (doc, j), at in near.items():
-                match = self._verify(words, int(ends[doc - 1]) if doc else 0, int(ends[doc]), j, sorted(at))
-                if match:
-                    found[doc].append((self.ids[j], *match))
+        for (doc, j), spans in self._places(words, ends).items():
+            match = self._verify(words, int(ends[doc - 1]) if doc else 0, int(ends[doc]), j, sorted(set(spans)))
+            if match:
+                found[doc].append((self.ids[j], *match))
         return [sorted(f) for f in found]
 
-    def _verify(self, words, first: int, last: int, j: int, at: list[int]):
-        item, limit, best = self.words[j], self.limits[j], None
-        while at:
-            group = [s for s in at if s <= at[0] + len(item)]
-            at = at[len(group) :]
-            low = max(first, group[0] - limit)
-            around = words[low : min(last, group[-1] + len(item) + 2 * limit)]
+    def _verify(self, words, first: int, last: int, j: int, spans: list[tuple[int, int]]):
+        item, limit, best, at = self.words[j], self.limits[j], None, 0
+        while at < len(spans):
+            start, stop = spans[at]
+            while at < len(spans) and spans[at][0] <= start + len(item):
+                stop, at = max(stop, spans[at][1]), at + 1
+            low = max(first, start - limit)
+            around = words[low : min(last, stop + len(item) + 2 * limit)]
             if np.isin(item, around).sum() < len(item) - limit:
                 continue  # each word that is not there takes an edit
             edits, end = best_alignment(item, around)
@@ -215,8 +154,7 @@ class Items:
 
 
 def find_leaks(
-    docs: DataFrame, benchmark: DataFrame, edits: float = EDITS, repetitions: int = REPETITIONS,
-    sampled: int = SAMPLED, items: int = ITEMS, out: str = "leaks",
+    docs: DataFrame, benchmark: DataFrame, edits: float = EDITS, items: int = ITEMS, out: str = "leaks",
 ) -> DataFrame:
     """Add an array of the items found in each text: (item_id, at, n, edits), at and n in words.
 
@@ -240,7 +178,7 @@ def find_leaks(
         pairs = [(i, w) for i, t in pairs if len(w := word_hashes(t))]
         if not pairs:
             continue
-        table = Items([i for i, _ in pairs], [w for _, w in pairs], edits, repetitions, sampled)
+        table = Items([i for i, _ in pairs], [w for _, w in pairs], edits)
         schema = T.StructType([*found.schema.fields, T.StructField(column, match)])
         at = found.columns.index("text")
 

@@ -509,6 +509,27 @@ def test_edited_benchmark_passages_are_found_and_no_others(spark):
     assert {r["doc_id"] for r in left.collect()} == set(range(len(cases))) - {d for d, _ in got}
 
 
+@pytest.mark.parametrize("where", ["front", "middle", "end", "anywhere"])
+def test_passages_are_found_wherever_their_edits_lie(where):
+    rng = random.Random(3)
+    vocabulary = prose(rng, 5_000).split()
+    items, texts = [], []
+    for n in (12, 31, 40, 63, 96, 127):
+        span = {"front": (0, n // 2), "middle": (n // 4, n - n // 4), "end": (n // 2, n), "anywhere": (0, n)}[where]
+        for k in range(60):
+            words = rng.choices(vocabulary, k=n)
+            items.append((len(items), " ".join(words)))
+            for at in sorted(rng.sample(range(*span), decontaminate.allowed(n)), reverse=True):
+                words[at : at + (k % 3 != 1)] = rng.choices(vocabulary, k=int(k % 3 != 2))
+            after = rng.choices(vocabulary, k=0 if k % 2 else 60)  # every other passage ends its text
+            texts.append(" ".join([*rng.choices(vocabulary, k=60), *words, *after]))
+    held = decontaminate.Items(
+        [i for i, _ in items], [decontaminate.word_hashes(t) for _, t in items], decontaminate.EDITS
+    )
+    found = held.search([decontaminate.word_hashes(t) for t in texts])
+    assert [k for k in range(len(items)) if all(m[0] != k for m in found[k])] == []
+
+
 def plain_alignment(item, words):
     row = [0] * (len(words) + 1)
     for i, x in enumerate(item, 1):
