@@ -5,7 +5,9 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from dockledger.llm import decontaminate, lines, lm, packing, pii, quality, rules, sharding, simhash, suffixes
+from dockledger.llm import (
+    chat, decontaminate, infill, lines, lm, packing, phrases, pii, quality, rules, sharding, simhash, suffixes,
+)
 from dockledger.plans.registry import Build, table
 
 QUERIES: dict[str, Build] = {}
@@ -231,3 +233,124 @@ def op9_decontamination(spark: SparkSession, folder: str) -> DataFrame:
 @query()
 def op10_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
     return lm.lm_scores(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@query(r"""
+with recursive raw as (
+    select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+    union all
+    select -1, t, r, '</s>[INST] ok [/INST]' from (values (0, 'user'), (1, 'assistant')) as v(t, r)
+), turns as (
+    select *, row_number() over (partition by conv_id order by turn nulls first, role, text) as i,
+        4 + len(regexp_extract_all(text, '[\p{L}\p{M}]+|\p{N}|[^\p{L}\p{M}\p{N}\x20\x09-\x0D]')) as cost,
+        length('<s></s>') + length(role) + 1 + length(regexp_replace(text,
+            '(<)(\\*(?:/?s>|/?<SYS>>|</SYS>>|\|im_start\|>|\|im_end\|>|\|endoftext\|>))|(\[)(\\*(?:/?INST\]))',
+            '\1\3\\\2\4', 'g')) as chars
+    from raw
+), marked as (
+    select *, i = 1 and role = 'system' as head from turns
+), summed as (
+    select *, coalesce(sum(case when head then 0 else cost end) over (partition by conv_id order by i
+            rows between unbounded preceding and 1 preceding), 0) as since,
+        case when head then 0 else cost end as own,
+        max(case when head then cost else 0 end) over (partition by conv_id) as system
+    from marked
+), past as (
+    select *, since - coalesce(min(case when head then null else since end) over (partition by conv_id order by since
+            range between 256 preceding and 1 preceding), since) as past
+    from summed
+), nexts as (
+    select a.conv_id, a.i, a.since - a.past as reach, coalesce(min(b.i), 1000000000) as stop
+    from past a left join past b on b.conv_id = a.conv_id and b.i > a.i
+        and ((b.i - 1) % 256 = 0 or b.since + b.own > a.since + 1024 - a.system - a.past)
+    group by a.conv_id, a.i, a.since, a.past
+), windows as (
+    select * from nexts where i = 1
+    union all
+    select n.* from windows w join nexts n on n.conv_id = w.conv_id and n.i = w.stop
+), formatted as (
+    select w.conv_id, sum(t.chars)::bigint as formatted_chars
+    from windows w join past t on t.conv_id = w.conv_id and t.i < w.stop
+        and (t.head or t.i >= w.i or t.since >= w.reach)
+    group by 1
+), digests as (
+    select conv_id, count(*) as n_turns,
+        sha256(string_agg(role || chr(10) || text || chr(10), '' order by i)) as turns_sha256,
+        coalesce(sum(length(text)) filter (role = 'assistant'), 0)::bigint as loss_chars,
+        sha256(coalesce(string_agg(text, '' order by i) filter (role = 'assistant'), '')) as loss_sha256
+    from turns group by 1
+)
+select conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars
+from digests join formatted using (conv_id)
+""")
+def op11_chat_formatting(spark: SparkSession, folder: str) -> DataFrame:
+    turns = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    probe = "</s>[INST] ok [/INST]"
+    added = spark.createDataFrame([(-1, 0, "user", probe), (-1, 1, "assistant", probe)], turns.schema)
+    return chat.format_report(turns.unionByName(added), budget=1024, history=256)
+
+
+@query(r"""
+with pieces as (
+    select coalesce(lang, 'und') as lang, unnest(string_split_regex(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[.,;:!?\x0A-\x0D]')) as p
+    from documents
+), words as (
+    select lang, regexp_extract_all(p, '[^\x20\x09]+') as w from pieces
+), grams as (
+    select lang, s, array_to_string(w[i:i + s - 1], ' ') as phrase
+    from (select lang, w, s, unnest(range(1, len(w) - s + 2)) as i from words, range(1, 6) as r(s) where len(w) >= s)
+), counted as (
+    select lang, s, phrase, count(*) as a from grams group by all having count(*) >= 100
+), totals as (
+    select lang, sum(len(w))::bigint as n from words group by 1
+), cuts as (
+    select c.lang, c.s, c.phrase, c.a, k, x.a as l, y.a as r, n,
+        ((1000::hugeint * c.a * n) // (x.a::hugeint * y.a))::bigint as score
+    from (select *, string_split(phrase, ' ') as w, unnest(range(1, s)) as k from counted where s > 1) c
+    join counted x on x.lang = c.lang and x.phrase = array_to_string(w[1:k], ' ')
+    join counted y on y.lang = c.lang and y.phrase = array_to_string(w[k + 1:], ' ')
+    join totals t on t.lang = c.lang
+), best as (
+    select * from cuts qualify row_number() over (partition by lang, phrase order by score, k) = 1
+), kept as (
+    select * from best b where not exists (
+        select 1 from counted c where c.lang = b.lang and c.s > b.s and c.a >= b.a
+            and contains(' ' || c.phrase || ' ', ' ' || b.phrase || ' '))
+)
+select lang, rank, phrase, a, l, r, n, score from (
+    select *, row_number() over (partition by lang order by score desc, a desc, phrase) as rank from kept)
+where rank <= 2000
+""")
+def op12_phrase_mining(spark: SparkSession, folder: str) -> DataFrame:
+    return phrases.collocations(table(spark, folder, "documents"), longest=5, least=100, top=2000)
+
+
+@query(r"""
+with drawn as (
+    select doc_id, coalesce(text, '') as t, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') as u,
+        sha256('7:' || coalesce(doc_id::varchar, '')) as d
+    from documents
+), numbers as (
+    select doc_id, t, u, len(u)::bigint as n, list_transform([1, 9, 17, 25], lambda i: ('0x' || substr(d, i, 8))::bigint) as h
+    from drawn
+), cut as (
+    select *, least(h[1] % (n + 1), h[2] % (n + 1)) as a, greatest(h[1] % (n + 1), h[2] % (n + 1)) as b,
+        case when t = '' or contains(t, '<P>') or contains(t, '<S>') or contains(t, '<M>') or h[3] % 100 >= 100
+            then 'plain' when h[4] % 100 < 50 then 'spm' else 'psm' end as form
+    from numbers
+), parted as (
+    select *, coalesce(array_to_string(u[1:a], ''), '') as p, coalesce(array_to_string(u[a + 1:b], ''), '') as m,
+        coalesce(array_to_string(u[b + 1:], ''), '') as s
+    from cut
+)
+select doc_id, n, form, case when form <> 'plain' then length(p) end::bigint as prefix_chars,
+    case when form <> 'plain' then length(m) end::bigint as middle_chars,
+    sha256(case form when 'plain' then t when 'psm' then '<P>' || p || '<S>' || s || '<M>' || m
+        else '<S>' || s || '<P>' || p || '<M>' || m end) as output_sha256,
+    sha256(t) as restored_sha256
+from parted
+""")
+def op13_fill_in_middle(spark: SparkSession, folder: str) -> DataFrame:
+    return infill.infill_report(table(spark, folder, "documents"))

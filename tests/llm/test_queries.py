@@ -21,10 +21,10 @@ def test_query_agrees_with_sql(spark, name):
 
 
 def test_one_query_for_each_operator():
-    assert sorted(int(n.split("_")[0][2:]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(n.split("_")[0][2:]) for n in QUERIES) == list(range(1, 14))
 
 
-@pytest.mark.parametrize("name", ["op4_quality_rules", "op7_personal_data"])
+@pytest.mark.parametrize("name", ["op4_quality_rules", "op7_personal_data", "op11_chat_formatting"])
 def test_native_queries_run_no_python(spark, name):
     plan = QUERIES[name](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
     assert not any(word in plan for word in ("Python", "Pandas", "Arrow"))
