@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import re
-import zlib
-from collections import Counter, defaultdict
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -16,182 +14,235 @@ from pyspark.sql import functions as F
 from dockledger.llm.ranges import saved, slices
 from dockledger.operators.skew import attach
 
-# What parts a text into pieces.
-PIECES = re.compile(rb"[.,;:!?\x0a-\x0d]+")
+# What parts a text into pieces, and the one of them that stands for all.
+_STOPS, _CUT = b".,;:!?\x0a\x0b\x0c\x0d", b"\n"
+_LOWER = bytes.maketrans(
+    bytes(range(65, 91)) + _STOPS + b"\t", bytes(range(97, 123)) + _CUT * len(_STOPS) + b" "
+)
 # Longest filter of frequent phrases that tasks are sent: 2^29 bits, 64 MB.
 MAX_FILTER_BITS = 29
-# Answers of the filter and counts that a task keeps before it starts anew.
-KEPT = 400_000
+# Chunks, or texts, that a task works on at a time.
+CHUNKS, TEXTS = 131_072, 1_024
 
 _COUNTED = "lang string, phrase string, n long"
 
 
-def chunk_words(words: list[bytes], overlap: int, every: int) -> Iterator[tuple[list[bytes], bool]]:
-    """The chunks of a piece, and whether a chunk is its last.
+def text_words(texts: list[bytes | None]) -> pa.Array:
+    """The words of texts in lower case (A to Z), with a cut in front of each piece and at the end."""
+    pieces = _CUT.join([b"", *[t or b"" for t in texts], b""])
+    split = pc.split_pattern(pa.array([pieces.translate(_LOWER).replace(_CUT, b" \n ")], pa.large_binary()), b" ")
+    words = split.flatten().cast(pa.binary())
+    return words.filter(pc.not_equal(words, b""))
 
-    A chunk ends with a window of ``overlap`` words whose hash is divisible by ``every``, and the next one
-    starts with that window: where a text repeats, its chunks repeat, whatever stands
+
+def joined(words: pa.Array, starts: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """Runs of words as phrases."""
+    ends = np.cumsum(sizes)
+    at = np.repeat(starts - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)
+    lists = pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), words.take(pa.array(at)))
+    return pc.binary_join(lists, b" ")
+
+
+def numbered(words: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The distinct words in the order of their first use, and for each word its place among them."""
+    encoded = words.dictionary_encode()
+    return encoded.dictionary, encoded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def chunk_bounds(hashes: np.ndarray, cut: np.ndarray, overlap: int, every: int) -> tuple[np.ndarray, ...]:
+    """Start and end of each chunk among the words, and whether it is the last of its piece.
+
+    ``hashes`` has a 64-bit hash for each word, ``cut`` says which are no words but end a piece; the last
+    one is. A chunk ends with a window of ``overlap`` words whose hash is divisible by ``every``, and the next
+    one starts with that window: where a text repeats, its chunks repeat, whatever stands
     around it. Each run of up to ``overlap`` + 1 words lies in a chunk whole, and starts in front of
     the closing window of just one, or in the last.
     """
-    start = 0
-    for at in range(1, len(words) - overlap):
-        if zlib.crc32(b" ".join(words[at : at + overlap])) % every == 0:
-            yield words[start : at + overlap], False
-            start = at
-    yield words[start:], True
-
-
-def _counted(counts: dict[str, dict[bytes, int]]) -> pa.RecordBatch:
-    """Counts by language and phrase as an Arrow batch."""
-    langs = [lang for lang, found in counts.items() for _ in found]
-    phrases = [p for found in counts.values() for p in found]
+    n = len(hashes)
+    at = np.arange(n)
+    end = np.minimum.accumulate(np.where(cut, at, n)[::-1])[::-1]
+    first = ~cut & np.concatenate([[True], cut[:-1]])
+    padded, window = np.append(hashes, np.zeros(overlap, np.uint64)), np.zeros(n, np.uint64)
+    for i in range(overlap):
+        window = (window ^ padded[i : i + n]) * np.uint64(0x9E3779B97F4A7C15)
+    window ^= window >> np.uint64(29)
+    inside = ~cut & ~first & (end - at > overlap)
+    starts = np.flatnonzero(first | inside & (window % np.uint64(every) == 0))
+    ends = end[starts]
+    following = np.append(starts, n)[1:]
+    last = following >= ends
+    return starts, np.where(last, ends, following + overlap), last
+
+
+def _sent(lang: str, phrases: pa.Array, n: pa.Array) -> pa.RecordBatch:
+    """Counts of one language's phrases as an Arrow batch."""
     return pa.RecordBatch.from_arrays(
-        [
-            pa.array(langs, pa.string()), pa.array(phrases, pa.binary()).cast(pa.string()),
-            pa.array([n for found in counts.values() for n in found.values()], pa.int64()),
-        ],
-        names=["lang", "phrase", "n"],
+        [pa.repeat(lang, len(phrases)), phrases.cast(pa.string()), n], names=["lang", "phrase", "n"]
     )
 
 
+def _by_lang(batch: pa.RecordBatch) -> Iterator[tuple[str, pa.RecordBatch]]:
+    langs = batch.column("lang")
+    for lang in langs.unique().to_pylist():
+        yield lang, batch.filter(pc.equal(langs, lang))
+
+
 def chunk_dictionary(docs: DataFrame, longest: int = 5, every: int = 16) -> DataFrame:
     """The distinct chunks of all texts by language, with the number of times the parse holds each."""
     overlap = longest - 1
 
     def parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            found: dict[bool, dict] = {False: defaultdict(Counter), True: defaultdict(Counter)}
-            langs = batch.column("lang").to_pylist()
-            for lang, text in zip(langs, batch.column("text").cast(pa.binary()).to_pylist()):
-                for piece in PIECES.split((text or b"").lower()):
-                    words = piece.split()
-                    if words:
-                        for chunk, last in chunk_words(words, overlap, every):
-                            found[last][lang][b" ".join(chunk)] += 1
-            for last, counts in found.items():
-                out = _counted(counts)
-                yield out.append_column("last", pa.array([last] * out.num_rows, pa.bool_()))
+        for batch in slices(batches, TEXTS):
+            for lang, texts in _by_lang(batch):
+                words = text_words(texts.column("text").cast(pa.binary()).to_pylist())
+                names, ids = numbered(words)
+                hashes = np.fromiter(map(xxhash.xxh64_intdigest, names.to_pylist()), np.uint64, len(names))[ids]
+                starts, ends, last = chunk_bounds(hashes, ids == 0, overlap, every)
+                for is_last in (False, True):
+                    which = last == is_last
+                    counts = joined(words, starts[which], (ends - starts)[which]).value_counts()
+                    out = _sent(lang, counts.field("values"), counts.field("counts"))
+                    yield out.append_column("last", pa.repeat(is_last, out.num_rows))
 
     texts = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), "text")
     chunks = texts.mapInArrow(parsed, f"{_COUNTED}, last boolean")
     return chunks.groupBy("lang", "phrase", "last").agg(F.sum("n").alias("n"))
 
 
-Count = Callable[[str, list[bytes], int, int, dict], None]
+class Chunks:
+    """Chunks of one language as numbers: words, and for each place what may start there and how often."""
+
+    def __init__(self, lang: str, batch: pa.RecordBatch, overlap: int):
+        split = pc.split_pattern(batch.column("phrase"), " ")
+        last, weight = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("last", "n"))
+        self.lang, sizes = lang, pc.list_value_length(split).to_numpy(zero_copy_only=False).astype(np.int64)
+        self.names, self.ids = numbered(split.flatten().cast(pa.binary()))
+        place = np.arange(len(self.ids)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        self.left = np.repeat(sizes, sizes) - place
+        self.starts = place < np.repeat(sizes - np.where(last, 0, overlap), sizes)
+        self.weight = np.repeat(weight, sizes)
+
+    def hashes(self) -> np.ndarray:
+        """The 64-bit hash of the language and the word at each place, as Spark's xxhash64 makes it."""
+        seed = xxhash.xxh64_intdigest(self.lang.encode(), 42)
+        made = np.fromiter((xxhash.xxh64_intdigest(w, seed) for w in self.names.to_pylist()), np.uint64, len(self.names))
+        return made[self.ids]
+
+    def groups(self, at: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """For each place the number of its phrase of ``size`` words, two or more, and a place for each number."""
+        code, first = self.ids[at], at
+        for i in range(1, size):
+            code = code * len(self.names) + self.ids[at + i]
+            _, index, code = np.unique(code, return_index=True, return_inverse=True)
+            first = at[index]
+        return code, first
+
+    def counted_words(self) -> pa.RecordBatch:
+        """The distinct words that start a phrase, with their occurrences."""
+        n = np.zeros(len(self.names), np.int64)
+        np.add.at(n, self.ids[self.starts], self.weight[self.starts])
+        held = np.flatnonzero(n)
+        return _sent(self.lang, self.names.take(pa.array(held)), pa.array(n[held]))
+
+    def counted(self, at: np.ndarray, size: int) -> pa.RecordBatch:
+        """The distinct phrases of ``size`` words that start at these places, with their occurrences."""
+        code, first = self.groups(at, size)
+        n = np.zeros(len(first), np.int64)
+        np.add.at(n, code, self.weight[at])
+        words = self.names.take(pa.array(self.ids[first[:, None] + np.arange(size)].ravel()))
+        starts = np.arange(len(first)) * size
+        return _sent(self.lang, joined(words, starts, np.full(len(first), size)), pa.array(n))
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Arrow batches put together, so that a block's chunks share their words."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.num_rows
+        if size >= CHUNKS:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held, size = [], 0
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
+def _each(chunks: DataFrame, overlap: int, count: Callable[[Chunks], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """What a function makes of all chunks, a block of one language at a time."""
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in _blocks(batches):
+            for lang, some in _by_lang(block):
+                yield from count(Chunks(lang, some, overlap))
 
+    return chunks.select("lang", "phrase", "last", "n").mapInArrow(counted, schema)
 
-def _count_in(chunks: DataFrame, overlap: int, new: Callable[[], Count]) -> DataFrame:
-    """Phrases of all chunks, each weighted by its chunk's count; tasks add up before they send.
 
-    A function of ``new`` gets the language, the words, how many of them may start a phrase, the
-    weight and the counts to add to.
-    """
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count, counts, size = new(), defaultdict(dict), 0
-        for batch in slices(batches, 4096):
-            columns = [batch.column(c) for c in ("lang", "phrase", "last", "n")]
-            columns[1] = columns[1].cast(pa.binary())
-            for lang, chunk, last, n in zip(*[c.to_pylist() for c in columns]):
-                words = chunk.split(b" ")
-                count(lang, words, len(words) if last else len(words) - overlap, n, counts[lang])
-            size = sum(map(len, counts.values()))
-            if size > KEPT:
-                yield _counted(counts)
-                counts = defaultdict(dict)
-        yield _counted(counts)
-
-    sent = chunks.select("lang", "phrase", "last", "n").mapInArrow(counted, _COUNTED)
-    return sent.groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
-
-
-def _words() -> Count:
-    def count(lang, words, starts, n, counts):
-        for word in words[:starts]:
-            counts[word] = counts.get(word, 0) + n
-
-    return count
+def _summed(counts: DataFrame, *keys: str) -> DataFrame:
+    return counts.groupBy(*keys).agg(F.sum("n").alias("n"))
 
 
 class Frequent:
-    """Whether a phrase may be frequent: one bit for each hash, set by all that are.
+    """Which hashes may be of something frequent: one bit for each, set by all that are.
 
-    A bit set by another phrase costs work and never changes a count. The number of bits follows the number
-    of phrases (about 64 each) up to a fixed bound, beyond which more phrases pass.
+    A bit set by another hash costs work and never changes a count. The number of bits follows the number
+    of hashes (about 64 each) up to a fixed bound, beyond which more of them pass.
     """
 
-    def __init__(self, phrases: DataFrame, max_bits: int = MAX_FILTER_BITS):
-        spark = phrases.sparkSession
-        self.bits = min(max(phrases.count() * 64, 1 << 18).bit_length(), max_bits)
-        slot = F.pmod(F.xxhash64("lang", "phrase"), F.lit(1 << self.bits)) + 1
-        rows = phrases.groupBy(F.bitmap_bucket_number(slot).alias("bucket")).agg(
+    def __init__(self, hashes: DataFrame, max_bits: int = MAX_FILTER_BITS):
+        self.bits = min(max(hashes.count() * 64, 1 << 18).bit_length(), max_bits)
+        slot = F.pmod("hash", F.lit(1 << self.bits)) + 1
+        rows = hashes.groupBy(F.bitmap_bucket_number(slot).alias("bucket")).agg(
             F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("bits")
         ).collect()
-        marks = np.zeros(1 << (self.bits - 3), np.uint8)
+        marks = np.zeros(max(1 << (self.bits - 3), 4096), np.uint8)
         for row in rows:
             part = np.frombuffer(bytes(row["bits"]), np.uint8)
             marks[(row["bucket"] - 1) * len(part) :][: len(part)] = part
-        self.marks = spark.sparkContext.broadcast(marks.tobytes())
-
-    def tester(self) -> Callable[[str, bytes], bool]:
-        """A function for one task, which keeps what it was asked last."""
-        marks, mask, known, seeds = self.marks.value, (1 << self.bits) - 1, {}, {}
-
-        def test(lang: str, phrase: bytes) -> bool:
-            seen = known.get((lang, phrase))
-            if seen is None:
-                if lang not in seeds:
-                    seeds[lang] = xxhash.xxh64_intdigest(lang.encode(), 42)
-                slot = xxhash.xxh64_intdigest(phrase, seeds[lang]) & mask
-                if len(known) > KEPT:
-                    known.clear()
-                seen = known[lang, phrase] = bool(marks[slot >> 3] >> (slot & 7) & 1)
-            return seen
+        self.marks = hashes.sparkSession.sparkContext.broadcast(marks.tobytes())
 
-        return test
+    def passes(self, hashes: np.ndarray) -> np.ndarray:
+        slots = hashes & np.uint64((1 << self.bits) - 1)
+        marks = np.frombuffer(self.marks.value, np.uint8)
+        return (marks[(slots >> np.uint64(3)).astype(np.int64)] >> (slots & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
 
 
-def _pairs(frequent: Frequent) -> Callable[[], Count]:
-    """Pairs of words that may both be frequent."""
-    def new() -> Count:
-        test = frequent.tester()
+def _pair_hashes(hashes: np.ndarray) -> np.ndarray:
+    """One hash for the word at each place and the word behind it."""
+    behind = np.append(hashes[1:], np.uint64(0))
+    return hashes ^ (behind << np.uint64(1) | behind >> np.uint64(63))
 
-        def count(lang, words, starts, n, counts):
-            ok = [test(lang, w) for w in words]
-            for i in range(min(starts, len(words) - 1)):
-                if ok[i] and ok[i + 1]:
-                    pair = words[i] + b" " + words[i + 1]
-                    counts[pair] = counts.get(pair, 0) + n
 
-        return count
+def _known_pairs(chunks: Chunks, word: Frequent) -> tuple[np.ndarray, np.ndarray]:
+    """Places where two words that may be frequent follow each other, and the hash of the pair at each place."""
+    hashes = chunks.hashes()
+    ok = word.passes(hashes)
+    return (chunks.left >= 2) & ok & np.append(ok[1:], False), _pair_hashes(hashes)
 
-    return new
 
+def _count_pairs(word: Frequent) -> Callable[[Chunks], Iterator[pa.RecordBatch]]:
+    """Hashes of pairs of words that may both be frequent, with the occurrences of each."""
+    def count(chunks: Chunks) -> Iterator[pa.RecordBatch]:
+        known, pairs = _known_pairs(chunks, word)
+        at = known & chunks.starts
+        hashes, place = np.unique(pairs[at], return_inverse=True)
+        n = np.zeros(len(hashes), np.int64)
+        np.add.at(n, place, chunks.weight[at])
+        yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(n)], names=["hash", "n"])
 
-def _longer(word: Frequent, pair: Frequent, longest: int) -> Callable[[], Count]:
-    """Phrases of three words and more, all of whose pairs may be frequent."""
-    def new() -> Count:
-        test_word, test_pair = word.tester(), pair.tester()
+    return count
 
-        def count(lang, words, starts, n, counts):
-            if len(words) < 3:
-                return
-            ok = [test_word(lang, w) for w in words]
-            joint = [
-                ok[i] and ok[i + 1] and test_pair(lang, words[i] + b" " + words[i + 1])
-                for i in range(len(words) - 1)
-            ]
-            for i in range(min(starts, len(words) - 2)):
-                if joint[i]:
-                    for end in range(i + 2, min(i + longest, len(words))):
-                        if not joint[end - 1]:
-                            break
-                        phrase = b" ".join(words[i : end + 1])
-                        counts[phrase] = counts.get(phrase, 0) + n
 
-        return count
+def _count_longer(word: Frequent, pair: Frequent, longest: int) -> Callable[[Chunks], Iterator[pa.RecordBatch]]:
+    """Phrases of two words and more, all of whose pairs may be frequent."""
+    def count(chunks: Chunks) -> Iterator[pa.RecordBatch]:
+        known, pairs = _known_pairs(chunks, word)
+        joint = known & pair.passes(pairs)
+        held = joint
+        for size in range(2, longest + 1):
+            yield chunks.counted(np.flatnonzero(held & chunks.starts), size)
+            held = held & np.append(joint[size - 1 :], np.zeros(min(size - 1, len(joint)), bool))
 
-    return new
+    return count
 
 
 def frequent_phrases(
@@ -200,24 +251,26 @@ def frequent_phrases(
     """All phrases of up to ``longest`` words with at least ``least`` occurrences, and the words of each language.
 
     Returns (lang, phrase, size, a) and (lang, n). Three passes over the chunk dictionary count words, then
-    pairs of frequent words, then longer phrases of frequent pairs; a phrase is
-    never more frequent than its parts, so nothing is lost.
+    hashes of pairs of frequent words, then phrases of pairs whose hash is frequent, as text. A phrase
+    is never more frequent than its parts, and a hash never less than a pair that has it, so nothing is lost.
     """
+    overlap, frequent = longest - 1, F.col("n") >= least
     chunks = saved(chunk_dictionary(docs, longest, every), "chunks")
-    words = saved(_count_in(chunks, longest - 1, _words), "words")
+
+    def one(chunks: Chunks) -> Iterator[pa.RecordBatch]:
+        yield chunks.counted_words()
+
+    words = saved(_summed(_each(chunks, overlap, one, _COUNTED), "lang", "phrase"), "words")
     totals = words.groupBy("lang").agg(F.sum("n").alias("n"))
-    parts = [words.where(F.col("n") >= least).withColumn("size", F.lit(1))]
+    found = words.where(frequent)
     if longest > 1:
-        word = Frequent(parts[0])
-        pairs = _count_in(chunks, longest - 1, _pairs(word)).where(F.col("n") >= least)
-        parts.append(saved(pairs, "pairs").withColumn("size", F.lit(2)))
-    if longest > 2:
-        more = _count_in(chunks, longest - 1, _longer(word, Frequent(parts[1]), longest)).where(F.col("n") >= least)
-        parts.append(saved(more, "phrases").withColumn("size", F.size(F.split("phrase", " "))))
-    every_size = parts[0]
-    for part in parts[1:]:
-        every_size = every_size.unionByName(part)
-    return every_size.select("lang", "phrase", "size", F.col("n").alias("a")), totals
+        word = Frequent(found.select(F.xxhash64("lang", "phrase").alias("hash")))
+        pairs = _summed(_each(chunks, overlap, _count_pairs(word), "hash long, n long"), "hash").where(frequent)
+        pair = Frequent(saved(pairs.select("hash"), "pairs"))
+        more = _summed(_each(chunks, overlap, _count_longer(word, pair, longest), _COUNTED), "lang", "phrase")
+        found = found.unionByName(saved(more.where(frequent), "phrases"))
+    size = F.size(F.split("phrase", " "))
+    return found.select("lang", "phrase", size.alias("size"), F.col("n").alias("a")), totals
 
 
 def collocations(

@@ -6,6 +6,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from hypothesis import given, settings
@@ -149,11 +150,12 @@ def test_collocations_against_brute_force(spark, longest, least, top, cover, eve
 
 def chunked(pieces, overlap, every):
     """The chunks of pieces of words, and whether each is the last of its piece."""
-    words = [b"\xff", *[w for p in pieces for w in [*p, b"\xff"]]]
+    words = pa.array([b"\n", *[w for p in pieces for w in [*p, b"\n"]]], pa.binary())
     names, ids = phrases.numbered(words)
-    hashes = np.array([xxhash.xxh64_intdigest(w) for w in names], np.uint64)[ids]
+    hashes = np.array([xxhash.xxh64_intdigest(w) for w in names.to_pylist()], np.uint64)[ids]
     starts, ends, last = phrases.chunk_bounds(hashes, ids == 0, overlap, every)
-    return [(words[a:b], bool(end)) for a, b, end in zip(starts, ends, last)]
+    texts = phrases.joined(words, starts, ends - starts).to_pylist()
+    return [(text.split(b" "), bool(end)) for text, end in zip(texts, last)]
 
 
 def runs(words, longest, starts=None):
@@ -170,7 +172,7 @@ def test_each_run_of_words_starts_in_one_chunk(overlap, every):
     for piece in pieces:
         want += runs(piece, overlap + 1)
     for chunk, last in chunked(pieces, overlap, every):
-        assert b"\xff" not in chunk
+        assert b"\n" not in chunk
         got += runs(chunk, overlap + 1, len(chunk) if last else len(chunk) - overlap)
     assert got == want
 
