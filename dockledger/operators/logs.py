@@ -13,17 +13,18 @@ from dockledger.functions.text import (
 from dockledger.operators.skew import attach, positions
 
 
-def log_entries(output: DataFrame) -> DataFrame:
+def log_entries(output: DataFrame, *more: str) -> DataFrame:
     """(stream) Log rows from output chunks: level by channel, step prefix, redacted text.
 
     ``output`` has run_id, seq, ts, channel, exit_code, label, text. The producer's
-    time is kept.
+    time is kept, as are columns named in ``more``.
     """
     return output.select(
         "run_id", "seq",
         log_level("channel", "exit_code").alias("level"),
         redact(step_prefix("label", strip("text"))).alias("message"),
         "ts",
+        *more,
     )
 
 
@@ -47,6 +48,46 @@ def log_counts(
     )
 
 
+def _waited(delay: str) -> Column:
+    """Whether a row came more than ``delay`` after its own time; one without a receiver's time did not."""
+    return F.coalesce(F.col("received") > F.col("ts") + F.expr(f"interval {delay}"), F.lit(False))
+
+
+def windowed_counts(
+    logs: DataFrame, term: str = "", span: str = "1 hour", delay: str = "1 hour",
+    keys: Sequence[str] = ("run_id", "level"), message: str = "message",
+) -> DataFrame:
+    """(stream) Totals of each event-time window, final once the window is over, and late rows apart.
+
+    ``logs`` has the producer's ts and the receiver's time, ``received``. A row received within ``delay`` of
+    its ts counts in the window of its ts. Any other is late: it counts in the window of its receipt, in rows
+    with ``late`` set, so no row is lost and no total that was given out changes. In append
+    mode a window is given out and its state dropped when the watermark, ``delay`` behind the newest
+    time seen, has passed its end. If rows come in the order of their receipt, and none
+    claims a ts after it, what a stream gives out equals the same windows of a batch.
+    """
+    counted = F.when(_waited(delay), F.col("received")).otherwise(F.col("ts")).cast("timestamp")
+    hit = contains_ignoring_case(message, term)
+    return (
+        logs.withColumns({"late": _waited(delay), "counted_at": counted})
+        .withWatermark("counted_at", delay)
+        .groupBy(F.window("counted_at", span), "late", *keys)
+        .agg(F.count(F.lit(1)).alias("total"), F.count_if(hit).alias("matching"))
+        .select(F.col("window.start").alias("since"), F.col("window.end").alias("until"), "late", *keys, "total", "matching")
+    )
+
+
+def once(logs: DataFrame, keys: Sequence[str] = ("run_id", "seq"), within: str = "1 hour", at: str = "received") -> DataFrame:
+    """(stream) Rows sent again with the same keys appear once.
+
+    Copies of a row must come within ``within`` of each other by their receiver's time; keys are remembered
+    that long. Which copy stays is open. In batch, copies are dropped however far apart.
+    """
+    if not logs.isStreaming:
+        return logs.dropDuplicates(list(keys))
+    return logs.withColumn(at, F.col(at).cast("timestamp")).withWatermark(at, within).dropDuplicatesWithinWatermark(list(keys))
+
+
 def append_logs(*logs: DataFrame) -> DataFrame:
     """(stream) All logs as one."""
     first, *rest = logs

@@ -9,9 +9,10 @@ from dockledger.functions.decode import decode_output as decoded
 from dockledger.functions.decode import encode_gbk
 from dockledger.functions.text import log_line, percent_text, redact, step_prefix, usage_band
 from dockledger.operators import logs
-from dockledger.plans.registry import query, table
+from dockledger.plans.registry import REGISTRY, query, table
 from dockledger.session import scratch_path
 from dockledger.sources import tables
+from dockledger.streaming import steps as machine
 from dockledger.streaming import tables as streams
 
 TERM = "Value=1"
@@ -27,8 +28,8 @@ _LOG_SQL = """logs as (
       from events)"""
 
 
-def _output(events: DataFrame) -> DataFrame:
-    """Output chunks of the scripts, from events."""
+def _output(events: DataFrame, *more: str) -> DataFrame:
+    """Output chunks of the scripts, from events, with ``more`` of their columns."""
     kind = F.col("event_type")
     channel = (
         F.when(kind.isin("view", "click"), "stdout").when(kind == "error", "stderr")
@@ -47,6 +48,7 @@ def _output(events: DataFrame) -> DataFrame:
         .alias("exit_code"),
         F.when(kind != "view", kind).alias("label"),
         text.alias("text"),
+        *more,
     )
 
 
@@ -396,3 +398,109 @@ def run_status_stream(spark: SparkSession, folder: str) -> DataFrame:
     path = scratch_path(spark, "step-states")
     streams.update_table(_states(_event_stream(spark, folder)), path, ["run_id", "step"]).awaitTermination()
     return logs.run_status(streams.read_updated(spark, path, ["run_id", "step"]))
+
+
+def _machine_rows(spark: SparkSession, folder: str, name: str, events: DataFrame) -> DataFrame:
+    """The newest row of each run after the whole stream."""
+    path = scratch_path(spark, name)
+    with machine.keyed_state(spark):
+        streams.update_table(machine.run_steps(events), path, ["run_id"]).awaitTermination()
+    return streams.read_updated(spark, path, ["run_id"])
+
+
+@query(
+    "T3",
+    """with attempts as (
+      select user_id as run_id, json_extract(props, '$.k')::int as step,
+        arg_max({'enabled': value >= 20, 'failed': event_type = 'error'}, {'a': ts, 'b': event_id}) as last
+      from events group by 1, 2),
+    judged as (
+      select run_id, step, step = 0 or last.enabled as runs, last.failed as failed, step >= 60 as stops from attempts),
+    ends as (select run_id, min(step) filter (where runs and failed and stops) as e from judged group by 1)
+    select run_id, step,
+      case when not runs or step > e then 'idle' when failed and stops then 'error' else 'completed' end as status,
+      runs and failed and (e is null or step <= e) as has_error,
+      not runs and (e is null or step <= e) as skipped
+    from judged join ends using (run_id)""",
+)
+def step_outcomes_stream(spark: SparkSession, folder: str) -> DataFrame:
+    """A step's last attempt counts; low values are disabled, and an error from step 60 on ends the run."""
+    events = _event_stream(spark, folder).withColumn("step", F.get_json_object("props", "$.k").cast("int"))
+    failed, stops = F.col("event_type") == "error", F.col("step") >= 60
+    rows = machine.step_events(
+        events, "user_id", F.col("step"), "ts", "event_id",
+        F.when(failed & stops, "error").otherwise("completed"),
+        enabled=F.col("value") >= 20, failed=failed, stops=stops,
+    )
+    runs = _machine_rows(spark, folder, "step-outcomes", rows)
+    return machine.exploded_steps(runs).drop("changed_at")
+
+
+def _reported(events: DataFrame) -> DataFrame:
+    """Step changes as reported; a sign-up stops its run."""
+    rows = _step_events(events)
+    return machine.step_events(
+        rows, "run_id", F.col("step"), "ts", "seq", F.col("status"), resets=F.col("event_type") == "signup"
+    )
+
+
+@query("T3", REGISTRY["run_reset"].sql)
+def run_reset_stream(spark: SparkSession, folder: str) -> DataFrame:
+    """Stops put earlier steps back to idle while the stream runs."""
+    runs = _machine_rows(spark, folder, "run-reset", _reported(_event_stream(spark, folder)))
+    return machine.exploded_steps(runs).select("run_id", "step", "status")
+
+
+@query("T4", f"""with r as ({REGISTRY["run_reset"].sql})
+    select run_id, count(*) as n_steps, case when bool_or(status = 'error') then 'error'
+      when bool_or(status = 'running') then 'running'
+      when bool_or(status = 'completed') then 'completed' else 'idle' end as run_status
+    from r group by 1""")
+def run_status_live(spark: SparkSession, folder: str) -> DataFrame:
+    """One kept row for each run, written by the machine; reading it reads no history."""
+    runs = _machine_rows(spark, folder, "run-status", _reported(_event_stream(spark, folder)))
+    return runs.select("run_id", "n_steps", "run_status")
+
+
+@query(
+    "T2 A6",
+    f"""with {_LOG_SQL},
+    timed as (
+      select l.*, l.ts + to_minutes(cast(floor(value) as bigint)) as received
+      from logs l join events on event_id = seq),
+    counted as (
+      select *, received > ts + interval 60 minutes as late,
+        case when received > ts + interval 60 minutes then received else ts end as counted_at
+      from timed),
+    spans as (
+      select *, time_bucket(interval 6 hours, counted_at, timestamp '1970-01-01') as since from counted),
+    mark as (select date_trunc('milliseconds', max(counted_at)) - interval 60 minutes as w from counted)
+    select strftime(since, '%Y-%m-%d %H:%M:%S') as since, late, level, count(*) as total,
+      count(*) filter (where contains(lower(message), lower('{TERM}'))) as matching
+    from spans, mark where since + interval 6 hours <= w group by 1, 2, 3""",
+)
+def log_windows_stream(spark: SparkSession, folder: str) -> DataFrame:
+    """Totals of every six hours that are over; what came more than an hour after its time is counted apart."""
+    path = scratch_path(spark, "log-windows")
+    events = _event_stream(spark, folder)
+    received = F.col("ts") + F.make_dt_interval(mins=F.floor("value").cast("int"))
+    entries = _output(events.withColumn("received", received), "received")
+    entries = logs.log_entries(entries, "received")
+    counts = logs.windowed_counts(entries, TERM, "6 hours", "60 minutes", ["level"])
+    streams.append_table(counts, path).awaitTermination()
+    return streams.read_appended(spark, path).select(
+        F.date_format("since", "yyyy-MM-dd HH:mm:ss").alias("since"), "late", "level", "total", "matching"
+    )
+
+
+@query("T1", f"with {_LOG_SQL} select run_id, seq, level, message from logs")
+def log_once_stream(spark: SparkSession, folder: str) -> DataFrame:
+    """Every third chunk comes twice, the second time five minutes later; each appears once."""
+    path = scratch_path(spark, "log-once")
+    events = _event_stream(spark, folder)
+    again = F.when(F.col("event_id") % 3 == 0, F.array(F.lit(0), F.lit(5))).otherwise(F.array(F.lit(0)))
+    sent = events.withColumn("late_by", F.explode(again))
+    received = sent.withColumn("received", F.col("ts") + F.make_dt_interval(mins=F.col("late_by")))
+    entries = logs.log_entries(_output(received, "received"), "received")
+    streams.append_table(logs.once(entries, within="1 hour"), path).awaitTermination()
+    return streams.read_appended(spark, path).select("run_id", "seq", "level", "message")
