@@ -83,6 +83,13 @@ def parse_amount(text: Column | str) -> Column:
     return F.replace(strip(text), F.lit(","), F.lit("")).try_cast(MONEY)
 
 
+def exact_number(text: Column | str) -> Column:
+    """Text as a decimal of :data:`NUMBER`; null when it is no number or has digits that would be lost."""
+    wide = _col(text).try_cast("decimal(38,18)")
+    number = wide.try_cast(NUMBER)
+    return F.when(number == wide, number)
+
+
 def contains_ignoring_case(text: Column | str, term: str) -> Column:
     """Literal search: '%' and '_' mean themselves; an empty term matches all text."""
     return F.contains(F.lower(_col(text)), F.lower(F.lit(term)))

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dockledger.functions.text import (
-    NUMBER, date_stamp, iso_timestamp, money_text, padded_code, parse_amount,
+    NUMBER, date_stamp, exact_number, iso_timestamp, money_text, padded_code, parse_amount,
 )
 from dockledger.operators.skew import attach, collect_parts, lookup
 
@@ -172,12 +172,13 @@ def explode_items(
 
 
 def type_items(lines: DataFrame, price: str = "price") -> DataFrame:
-    """Quantity and price as decimals; a missing price is 0.
+    """Quantity and price as decimals of up to 12 digits before the point and 6 behind; a missing price is 0.
 
-    ``item_error`` names the first field whose text is not a number.
+    ``item_error`` names the first field whose text is not such a number. One with more digits
+    than that is an error too, never rounded.
     """
-    quantity = F.col("quantity").cast("string").try_cast(NUMBER)
-    amount = F.coalesce(F.col(price).cast("string"), F.lit("0")).try_cast(NUMBER)
+    quantity = exact_number(F.col("quantity").cast("string"))
+    amount = exact_number(F.coalesce(F.col(price).cast("string"), F.lit("0")))
     return lines.withColumns(
         {
             "item_error": F.when(quantity.isNull(), "quantity").when(amount.isNull(), price),
@@ -192,7 +193,7 @@ def line_amount(mode: str = "recompute", stated: str = "totalPrice") -> Column:
     if mode == "recompute":
         return F.col("quantity") * F.col("unitPrice")
     if mode == "stated":
-        return F.col(stated).cast("string").try_cast(NUMBER)
+        return exact_number(F.col(stated).cast("string"))
     raise ValueError("mode is 'recompute' or 'stated'")
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -54,3 +55,27 @@ def per_group(
         return fn(rows.sort_values("group_row", ignore_index=True))
 
     return numbered.groupBy(*keys).applyInPandas(call, schema)
+
+
+def per_group_batches(
+    df: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[str],
+    fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]],
+    schema: T.StructType | str,
+) -> DataFrame:
+    """Call the caller's code once per group with its rows in order, as Arrow batches one after the other.
+
+    For groups that do not fit in memory: a task holds one batch, and what ``fn`` keeps. Rows come in
+    ``order``, nulls first; a group's batches are as large as the session's Arrow batches. The
+    rows of a group are still read by one task, sorted on disk, as one call asks for all of them.
+    """
+    laid = df.repartition(*keys).sortWithinPartitions(*keys, *order)
+    return laid.groupBy(*keys).applyInArrow(_batches(fn), schema)
+
+
+def _batches(fn):
+    def call(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from fn(batches)
+
+    return call

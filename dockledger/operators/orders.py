@@ -328,12 +328,14 @@ def write_back(
     requisition and line only: of two suppliers sharing a line number the later name
     wins. ``match_supplier`` matches the row's own supplier instead.
     """
+    # Without a hot requisition none of its lines or groups is hot: one look serves all joins.
+    hot = None if hot_keys(sheet, [requisition]) else {}
     if match_supplier:
         keys = [requisition, supplier]
         table = outcomes.groupBy(*keys).agg(
             F.max(F.struct(F.lit(True).alias("hit"), outcome)).alias("_new")
         )
-        out = attach(sheet, table, keys, "left")
+        out = attach(sheet, table, keys, "left", hot=hot)
     else:
         keys = [requisition, line]
         lines = with_keys(sheet, [requisition, line, supplier]).select(
@@ -341,11 +343,11 @@ def write_back(
         )
         table = (
             attach(lines, outcomes.select(requisition, supplier, outcome),
-                   [requisition, supplier], "inner")
+                   [requisition, supplier], "inner", hot=hot)
             .groupBy(*keys)
             .agg(F.max_by(F.struct("hit", outcome), F.col(supplier)).alias("_new"))
         )
-        out = attach(sheet, table, keys, "left")
+        out = attach(sheet, table, keys, "left", hot=hot)
     return out.withColumn(
         info, F.when(F.col("_new").isNotNull(), F.col("_new")[outcome]).otherwise(F.col(info))
     ).drop("_new")

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from dockledger.session import shared_folder
+from dockledger.session import scratch_path, shared_folder
 
 # Rows of one key that a single task may sort or join on its own; a session may set
 # spark.dockledger.maxGroupRows.
@@ -141,6 +141,35 @@ def _positions_by_range(df, keys, order, position, total):
     return inside.join(right, same).select(*df.columns, *added)
 
 
+def ranged_groups(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], limit: int | None = None, part: str = "_range"
+) -> tuple[DataFrame, bool]:
+    """Rows with the range of their group that they lie in, and whether any group has more than one.
+
+    Range 0 is a whole group. The rows of a hot key are cut into ranges from 1 on, in ``order``; rows
+    equal in keys and order share a range. What a row needs of earlier rows then comes from a window over keys and
+    range, and one row for each range carries what the ranges before it end with.
+    """
+    hot = hot_keys(df, keys, limit)
+    if not hot:
+        return df.withColumn(part, F.lit(0)), False
+    # The table fixes the range of each row; its number is read more than once.
+    path = scratch_path(df.sparkSession, "ranges")
+    ranges = df.where(_is_hot(keys, hot)).repartitionByRange(*keys, *order)
+    ranges.withColumn(part, F.spark_partition_id() + 1).write.parquet(path)
+    laid = df.sparkSession.read.parquet(path)
+    return df.where(~_is_hot(keys, hot)).withColumn(part, F.lit(0)).unionByName(laid), True
+
+
+def joined_to_groups(rows: DataFrame, groups: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """A left join to one row for each of the few ranges of hot groups; null keys meet null keys."""
+    named = groups.select(
+        *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], *[c for c in groups.columns if c not in keys]
+    )
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)])
+    return rows.join(named, same, "left").drop(*[f"_k{i}" for i in range(len(keys))])
+
+
 def attach(
     rows: DataFrame,
     table: DataFrame,

@@ -41,7 +41,7 @@ def everything_is_hot(spark):
         "write_back_by_supplier", "step_progress", "step_outcomes", "unknown_material",
         "supplier_unqualified", "supplier_qualified", "value_report", "file_type_maps", "group_hook",
         "purchase_orders", "order_groups", "doc_header", "doc_required", "json_documents", "unit_lookup",
-        "lines_incomplete", "run_reset",
+        "lines_incomplete", "run_reset", "supplier_valid_on", "decode_cut_output", "write_back_versions",
     ],
 )
 def test_query_agrees_with_sql_on_the_long_way(spark, con, everything_is_hot, name):
