@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -47,10 +48,13 @@ class Template:
         )
 
     def escape(self, text: Column) -> Column:
-        return F.regexp_replace(text, self._places(""), r"\\")
+        """Only text with a mark's first character is searched."""
+        some = reduce(lambda a, b: a | b, [F.contains(text, F.lit(c)) for c in sorted({m[0] for m in self.marks})])
+        return F.when(some, F.regexp_replace(text, self._places(""), r"\\")).otherwise(text)
 
     def unescape(self, text: Column) -> Column:
-        return F.regexp_replace(text, self._places(r"\\"), "")
+        marked = F.contains(text, F.lit("\\"))
+        return F.when(marked, F.regexp_replace(text, self._places(r"\\"), "")).otherwise(text)
 
     def role(self, role: Column) -> Column:
         return self.escape(F.replace(F.replace(role, F.lit("\\"), F.lit("\\\\")), F.lit("\n"), F.lit("\\n")))
