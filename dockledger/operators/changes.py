@@ -69,9 +69,8 @@ def write_digested(df: DataFrame, path: str, keys: Sequence[str], buckets: int =
     rows have equal ones; that different ones do is as likely as two hashes of 64 bits agreeing by chance.
     """
     rows = row_digests(df, keys, buckets, groups)
-    rows.drop("_first", "_second").repartition("_bucket", F.pmod(F.xxhash64(*keys, F.lit(1)), F.lit(8))).write.partitionBy(
-        "_group", "_bucket"
-    ).parquet(f"{path}/rows")
+    placed = rows.drop("_first", "_second").hint("rebalance", F.col("_bucket"))
+    placed.write.partitionBy("_group", "_bucket").parquet(f"{path}/rows")
     spark = df.sparkSession
     saved = row_digests(spark.read.schema(df.schema).parquet(f"{path}/rows"), keys, buckets, groups)
     fine = _summed(saved, ["_group", "_bucket"], F.lit(1), "_first", F.col("_second").cast("decimal(20,0)"))

@@ -15,7 +15,7 @@ import uuid
 from collections.abc import Callable, Sequence
 
 from py4j.protocol import Py4JJavaError
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -122,7 +122,8 @@ class VersionedTable:
         # Each attempt has its own folder, so two writers never mix files; readers follow manifests only.
         at = f"version={number}/attempt={uuid.uuid4().hex}"
         columns = [f.name for f in self.schema.fields]
-        spread = rows.select(*columns).repartition(*self.partitions, *self._spread(rows))
+        # Adaptive execution gives a partition as many tasks as its size asks for.
+        spread = rows.select(*columns).hint("rebalance", *[F.col(c) for c in self.partitions])
         spread.write.partitionBy(*self.partitions).parquet(f"{self.path}/rows/{at}")
         entries, root = dict(kept), self._folder(f"rows/{at}")
         listing, above = self._files.listFiles(root, True), self._files.makeQualified(root).toString()
@@ -131,6 +132,9 @@ class VersionedTable:
             name = status.getPath().getName()
             if name.endswith(".parquet"):
                 folder = status.getPath().getParent().toString().removeprefix(f"{above}/")
+                if folder in kept:
+                    self._files.delete(root, True)
+                    raise ValueError(f"rows for {folder}, which is not replaced")
                 entries.setdefault(folder, {"at": at, "files": {}})["files"][name] = status.getLen()
         claim = self._folder(f"versions/_{uuid.uuid4().hex}")
         out = self._files.create(claim, False)
@@ -146,14 +150,6 @@ class VersionedTable:
             raise
         return number
 
-    def _spread(self, rows: DataFrame) -> list[Column]:
-        """Rows of one partition go to up to 16 tasks: a partition may hold a third of all."""
-        plain = [
-            f.name for f in rows.schema.fields
-            if f.name not in self.partitions and isinstance(f.dataType, (T.AtomicType, T.NumericType, T.StringType))
-        ]
-        return [F.pmod(F.xxhash64(*plain), F.lit(16))] if plain else []
-
     def _rename(self, source, target) -> None:
         """Move a file to a name that no other file may have."""
         context = self._hadoop.FileContext.getFileContext(target.toUri(), self.spark._jsc.hadoopConfiguration())

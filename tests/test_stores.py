@@ -60,6 +60,14 @@ def test_null_partitions_and_partitions_that_end(spark, sheet):
     assert table.update(changed, df.where("part = 'none'").select("part")) == 1
 
 
+def test_rows_that_leave_their_partition_are_refused(spark, sheet):
+    table, df = sheet
+    held = rows_of(table.read())
+    with pytest.raises(ValueError):
+        table.update(lambda rows: rows.withColumn("part", F.lit("p3")), df.where("part = 'p1'").select("part"))
+    assert table.version() == 0 and rows_of(table.read()) == held
+
+
 def test_two_writers_of_one_version_one_fails_cleanly(spark, sheet):
     table, df = sheet
     other = VersionedTable(spark, table.path, table.schema, ["part"])
