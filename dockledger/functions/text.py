@@ -85,9 +85,10 @@ def parse_amount(text: Column | str) -> Column:
 
 def exact_number(text: Column | str) -> Column:
     """Text as a decimal of :data:`NUMBER`; null when it is no number or has digits that would be lost."""
-    wide = _col(text).try_cast("decimal(38,18)")
-    number = wide.try_cast(NUMBER)
-    return F.when(number == wide, number)
+    text = _col(text)
+    number, point = text.try_cast(NUMBER), F.instr(text, F.lit("."))
+    short = ((point == 0) | (F.length(text) - point <= 6)) & ~F.contains(F.lower(text), F.lit("e"))
+    return F.when(short, number).when(text.try_cast("decimal(38,18)") == number, number)
 
 
 def contains_ignoring_case(text: Column | str, term: str) -> Column:

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from dockledger import schemas
+from dockledger.functions import text
 from dockledger.operators import documents as docs
 from dockledger.sources import sinks, tables
 
@@ -193,3 +194,13 @@ def test_capacity(spark):
     lines = spark.createDataFrame([("a", 3), ("a", 4), ("b", 9)], "place string, q int")
     room = spark.createDataFrame([("a", 6), ("b", 9)], "place string, capacity int")
     assert [(r.place, r.excess) for r in docs.over_capacity(lines, room, ["place"], F.col("q")).collect()] == [("a", 1)]
+
+
+def test_numbers_lose_no_digits(spark):
+    cases = {
+        "1.5": "1.500000", " 12 ": "12.000000", "0.123456": "0.123456", "0.1234567": None, "0.12345600": "0.123456",
+        "999999999999.999999": "999999999999.999999", "1234567890123": None, "1E-7": None, "1e-6": "0.000001",
+        "2E3": "2000.000000", "x": None, "": None, ".5": "0.500000", "-0.0000001": None, "+3": "3.000000",
+    }
+    df = spark.createDataFrame([(c,) for c in cases], "t string").select("t", text.exact_number("t").cast("string").alias("n"))
+    assert {r["t"]: r["n"] for r in df.collect()} == cases
