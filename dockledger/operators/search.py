@@ -33,7 +33,8 @@ def write_indexed(df: DataFrame, path: str, text: str, order: Sequence[str], blo
     spark = df.sparkSession
     laid = df.repartitionByRange(blocks, *order).withColumn("_block", F.spark_partition_id())
     laid.write.partitionBy("_block").parquet(f"{path}/rows")
-    saved = spark.read.parquet(f"{path}/rows").select(F.col("_block").cast("long") + 1, F.explode(trigrams(F.col(text))).alias("gram")).toDF("block", "gram")
+    rows = spark.read.parquet(f"{path}/rows")
+    saved = rows.select(F.col("_block").cast("long") + 1, F.explode(F.array_distinct(trigrams(F.col(text))))).toDF("block", "gram")
     index = saved.groupBy("gram", F.bitmap_bucket_number("block").alias("bucket")).agg(
         F.bitmap_construct_agg(F.bitmap_bit_position("block")).alias("blocks")
     )

@@ -11,9 +11,10 @@ from dockledger.functions.text import MONEY, money_text, parse_amount, whole_num
 from dockledger.operators import changes, hooks, orders
 from dockledger.operators.skew import attach, hot_keys, lookup, positions
 from dockledger.plans.registry import query, table
+from dockledger.plans.workbook_files import to_workbooks
 from dockledger.session import scratch_path
 from dockledger.sources import sinks, tables
-from dockledger.sources.workbooks import sheet_columns, to_workbooks, workbook_rows
+from dockledger.sources.workbooks import sheet_columns, workbook_rows
 
 ROW_ID = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
 # Sheet rows of one order and material, in a total order of their prices.

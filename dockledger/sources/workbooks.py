@@ -11,7 +11,6 @@ import io
 import zipfile
 from collections.abc import Iterator
 from xml.etree import ElementTree
-from xml.sax.saxutils import escape
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -20,20 +19,29 @@ from pyspark.sql import types as T
 
 from dockledger.schemas import WORKBOOK_ROW
 
-_MAIN = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
-_DOC_REL = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
+MAIN = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
+DOC_REL = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
 _BATCH = 5_000
 
 
 def _text(node) -> str:
     """Text of a string item: its own, or its runs'; phonetic runs are no part of it."""
-    runs = node.iterfind(f"{_MAIN}r/{_MAIN}t")
-    return "".join(t.text or "" for t in [*node.iterfind(f"{_MAIN}t"), *runs])
+    runs = node.iterfind(f"{MAIN}r/{MAIN}t")
+    return "".join(t.text or "" for t in [*node.iterfind(f"{MAIN}t"), *runs])
+
+
+def column_name(index: int) -> str:
+    name = ""
+    index += 1
+    while index:
+        index, rest = divmod(index - 1, 26)
+        name = chr(65 + rest) + name
+    return name
 
 
 def _first_sheet(book: zipfile.ZipFile) -> tuple[str, str]:
-    sheet = ElementTree.fromstring(book.read("xl/workbook.xml")).find(f"{_MAIN}sheets")[0]
-    wanted = sheet.get(f"{_DOC_REL}id")
+    sheet = ElementTree.fromstring(book.read("xl/workbook.xml")).find(f"{MAIN}sheets")[0]
+    wanted = sheet.get(f"{DOC_REL}id")
     for relation in ElementTree.fromstring(book.read("xl/_rels/workbook.xml.rels")):
         if relation.get("Id") == wanted:
             target = relation.get("Target").lstrip("/")
@@ -51,14 +59,14 @@ def _sheet_rows(content: bytes) -> Iterator[tuple[str, dict[str, str | None]]]:
         header: dict[str, str] | None = None
         with book.open(part) as stream:
             for _, node in ElementTree.iterparse(stream):
-                if node.tag != f"{_MAIN}row":
+                if node.tag != f"{MAIN}row":
                     continue
                 cells: dict[str, str | None] = {}
                 for at, cell in enumerate(node):
-                    value = cell.find(f"{_MAIN}v")
+                    value = cell.find(f"{MAIN}v")
                     kind = cell.get("t")
                     if kind == "inlineStr":
-                        found = "".join(_text(s) for s in cell.iterfind(f"{_MAIN}is"))
+                        found = "".join(_text(s) for s in cell.iterfind(f"{MAIN}is"))
                     elif value is None:
                         found = None
                     elif kind == "s":
@@ -66,7 +74,7 @@ def _sheet_rows(content: bytes) -> Iterator[tuple[str, dict[str, str | None]]]:
                     else:
                         found = value.text
                     place = cell.get("r")
-                    cells[place.rstrip("0123456789") if place else _column_name(at)] = found
+                    cells[place.rstrip("0123456789") if place else column_name(at)] = found
                 node.clear()
                 if header is None:
                     header = {k: v for k, v in cells.items() if v is not None}
@@ -109,86 +117,3 @@ def read_workbooks(spark: SparkSession, path: str, schema: T.StructType) -> Data
     """All workbooks at ``path`` (a file, folder or pattern) as one table."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.xlsx").load(path)
     return sheet_columns(workbook_rows(files), schema)
-
-
-# --- writing -------------------------------------------------------------
-
-_TYPES = (
-    '<?xml version="1.0" encoding="UTF-8"?><Types xmlns='
-    '"http://schemas.openxmlformats.org/package/2006/content-types">'
-    '<Default Extension="rels" ContentType='
-    '"application/vnd.openxmlformats-package.relationships+xml"/>'
-    '<Override PartName="/xl/workbook.xml" ContentType='
-    '"application/vnd.openxmlformats-officedocument.spreadsheetml.sheet.main+xml"/>'
-    '<Override PartName="/xl/worksheets/sheet1.xml" ContentType='
-    '"application/vnd.openxmlformats-officedocument.spreadsheetml.worksheet+xml"/></Types>'
-)
-_RELS = (
-    '<?xml version="1.0" encoding="UTF-8"?><Relationships xmlns='
-    '"http://schemas.openxmlformats.org/package/2006/relationships">'
-    '<Relationship Id="rId1" Type="http://schemas.openxmlformats.org/officeDocument/2006/'
-    'relationships/{kind}" Target="{target}"/></Relationships>'
-)
-
-
-def _column_name(index: int) -> str:
-    name = ""
-    index += 1
-    while index:
-        index, rest = divmod(index - 1, 26)
-        name = chr(65 + rest) + name
-    return name
-
-
-def _workbook_bytes(table: pd.DataFrame) -> bytes:
-    names = [_column_name(i) for i in range(len(table.columns))]
-    rows = []
-    for number, values in enumerate([tuple(table.columns), *table.itertuples(index=False)], 1):
-        cells = [
-            f'<c r="{column}{number}" t="inlineStr"><is><t xml:space="preserve">{escape(value)}'
-            "</t></is></c>"
-            for column, value in zip(names, values)
-            if isinstance(value, str)
-        ]
-        rows.append(f'<row r="{number}">{"".join(cells)}</row>')
-    sheet = f'<worksheet xmlns="{_MAIN[1:-1]}"><sheetData>{"".join(rows)}</sheetData></worksheet>'
-    out = io.BytesIO()
-    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as book:
-        book.writestr("[Content_Types].xml", _TYPES)
-        book.writestr("_rels/.rels", _RELS.format(kind="officeDocument", target="xl/workbook.xml"))
-        book.writestr(
-            "xl/workbook.xml",
-            f'<workbook xmlns="{_MAIN[1:-1]}" xmlns:r="{_DOC_REL[1:-1]}"><sheets>'
-            '<sheet name="Sheet1" sheetId="1" r:id="rId1"/></sheets></workbook>',
-        )
-        book.writestr(
-            "xl/_rels/workbook.xml.rels",
-            _RELS.format(kind="worksheet", target="worksheets/sheet1.xml"),
-        )
-        book.writestr("xl/worksheets/sheet1.xml", sheet.encode())
-    return out.getvalue()
-
-
-def to_workbooks(df: DataFrame, tasks: int | None = None) -> DataFrame:
-    """A table as workbook files: (path, content), one per Arrow batch of rows.
-
-    ``tasks`` spreads the rows before the Python work; leave it out when the input
-    already has enough partitions.
-
-    Values are written as text. A batch is bounded by
-    ``spark.sql.execution.arrow.maxRecordsPerBatch``, far below the row limit of a
-    sheet. There is no index column.
-    """
-    spread = df if tasks is None else df.repartition(tasks)
-    texts = spread.select([F.col(c).cast("string").alias(c) for c in df.columns])
-
-    def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from pyspark import TaskContext
-
-        task = TaskContext.get().partitionId()
-        for number, table in enumerate(batches):
-            yield pd.DataFrame(
-                {"path": [f"part-{task:05d}-{number:05d}.xlsx"], "content": [_workbook_bytes(table)]}
-            )
-
-    return texts.mapInPandas(build, "path string, content binary")

@@ -12,8 +12,9 @@ from dockledger.operators import documents as docs
 from dockledger.operators import hooks
 from dockledger.operators.skew import positions
 from dockledger.session import scratch_path
+from dockledger.plans.workbook_files import to_workbooks
 from dockledger.sources import sinks, tables
-from dockledger.sources.workbooks import read_workbooks, sheet_columns, to_workbooks, workbook_rows
+from dockledger.sources.workbooks import read_workbooks, sheet_columns, workbook_rows
 
 
 def test_tables_by_suffix(spark):
