@@ -8,6 +8,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -179,8 +180,8 @@ def close_links(homes: np.ndarray, visits: np.ndarray, radius: int) -> list[tupl
 # chance of J ** ROWS: at a similarity of 0.8 all bands miss three pairs in a million.
 BANDS = 32
 ROWS = 5
-# Members of a bucket that are compared with so many others in one task.
-BLOCK = 4_096
+# Shingles of a bucket's members that a task holds, with as many of those that it compares them with.
+BLOCK_SHINGLES = 1 << 20
 _KEY = ["n", "k1", "k2"]
 _SIGNS = np.random.default_rng(11).integers(1, 2**63, (2, BANDS * ROWS), dtype=np.uint64)
 _FLIPS, _TIMES = _SIGNS[0], _SIGNS[1] | np.uint64(1)
@@ -247,35 +248,60 @@ def alike(docs: DataFrame, pairs: DataFrame, shingle: int, threshold: float) ->
     return pairs.where(shared / (F.size("of_a") + F.size("of_b") - shared) >= threshold).select("a", "b")
 
 
-def _crowded_pairs(members: DataFrame, buckets: DataFrame, roots: DataFrame, threshold: float) -> DataFrame:
-    """Pairs (a, b) of a bucket of three and more that no link joins yet and that were not compared with its first.
-
-    All members outside the bucket's largest component meet all others, in blocks of BLOCK by BLOCK.
+def _links_between(left: pa.Table, right: pa.Table, threshold: float) -> pa.Table:
+    """Pairs of a left and a right document of different components that are similar, by their shingle sets."""
+    sides = [left, right]
+    sets = [t.column("shingles").combine_chunks() for t in sides]
+    node, root = ([t.column(c).to_numpy() for t in sides] for c in ("node", "root"))
+    sizes = [pc.list_value_length(x).to_numpy(zero_copy_only=False).astype(np.int64) for x in sets]
+    names, place = np.unique(np.concatenate([x.flatten().to_numpy() for x in sets]), return_inverse=True)
+    mine, theirs = np.split(place, [int(sizes[0].sum())])
+    starts, held = np.cumsum(sizes[0]) - sizes[0], np.zeros(len(names), np.int64)
+    bounds = np.append(0, np.cumsum(sizes[1]))
+    found = []
+    for i, (start, size) in enumerate(zip(starts.tolist(), sizes[0].tolist())):
+        held[mine[start : start + size]] = 1
+        sums = np.append(0, np.cumsum(held[theirs]))
+        shared = sums[bounds[1:]] - sums[bounds[:-1]]
+        held[mine[start : start + size]] = 0
+        similar = (shared / (sizes[1] + size - shared) >= threshold) & (root[1] != root[0][i])
+        found += [(int(node[0][i]), int(node[1][j])) for j in np.flatnonzero(similar).tolist()]
+    pairs = [(min(p), max(p)) for p in found]
+    return pa.table({"a": pa.array([p[0] for p in pairs], pa.int64()), "b": pa.array([p[1] for p in pairs], pa.int64())})
+
+
+def _crowded_links(
+    docs: DataFrame, members: DataFrame, buckets: DataFrame, roots: DataFrame, shingle: int, threshold: float
+) -> DataFrame:
+    """Similar pairs (a, b) of a bucket of three and more that no link joins yet and that were not compared with its first.
+
+    All members outside the bucket's largest component meet all others on their shingle sets, in blocks
+    of about BLOCK_SHINGLES by BLOCK_SHINGLES; a block gives out similar pairs only.
     """
     crowded = attach(members, buckets.where("m > 2").select("h", "first"), ["h"], "inner")
     crowded = crowded.where("node <> first")
     crowded = saved(
         attach(crowded, roots, ["node"]).select("h", "node", "n", F.coalesce("root", "node").alias("root")), "crowded"
     )
-    counts = crowded.groupBy("h", "root").agg(F.count(F.lit(1)).alias("m"))
+    counts = crowded.groupBy("h", "root").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("n"))
     mixed = counts.groupBy("h").agg(
-        F.max(F.struct("m", "root"))["root"].alias("main"), F.sum("m").alias("m"), F.count(F.lit(1)).alias("roots")
+        F.max(F.struct("m", "root"))["root"].alias("main"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("roots")
     ).where("roots > 1")
-    parts = F.ceil(F.col("m") / BLOCK)
-    mixed = attach(crowded, mixed.select("h", "main", parts.alias("parts")), ["h"], "inner")
+    parts = F.ceil(F.col("n") / BLOCK_SHINGLES)
+    mixed = attach(crowded.drop("n"), mixed.select("h", "main", parts.alias("parts")), ["h"], "inner")
     mixed = saved(mixed.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts"))), "mixed")
+    wanted = saved(mixed.select(F.col("node").alias("doc_id")).distinct(), "wanted")
+    if wanted.count() <= BROADCAST_IDS:
+        wanted = F.broadcast(wanted)
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, "doc_id", "left_semi")
+    sets = saved(_shingle_sets(texts.dropDuplicates(), shingle).withColumnRenamed("doc_id", "node"), "sets")
+    full = attach(mixed, sets, ["node"], "inner")
     every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))
-    left = mixed.where("root <> main").select(
-        "h", F.col("part").alias("i"), every.alias("j"),
-        F.col("node").alias("p"), F.col("n").alias("pn"), F.col("root").alias("pr"),
-    )
-    right = mixed.select(
-        "h", every.alias("i"), F.col("part").alias("j"),
-        F.col("node").alias("q"), F.col("n").alias("qn"), F.col("root").alias("qr"),
-    )
-    fits = (F.col("pr") != F.col("qr")) & (F.least("pn", "qn") / F.greatest("pn", "qn") >= threshold)
-    met = left.join(right, ["h", "i", "j"]).where(fits)
-    return met.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct()
+    left = full.where("root <> main").select("h", F.col("part").alias("i"), every.alias("j"), "node", "root", "shingles")
+    same = {c: F.col(c).alias(c) for c in ("h", "node", "root", "shingles")}
+    right = full.select(same["h"], every.alias("i"), F.col("part").alias("j"), same["node"], same["root"], same["shingles"])
+    met = left.groupBy("h", "i", "j").cogroup(right.groupBy("h", "i", "j"))
+    return met.applyInArrow(lambda a, b: _links_between(a, b, threshold), "a long, b long").distinct()
 
 
 def later_copies(docs: DataFrame, shingle: int = 5, threshold: float = 0.8) -> DataFrame:
@@ -299,9 +325,9 @@ def later_copies(docs: DataFrame, shingle: int = 5, threshold: float = 0.8) -> D
     stars = saved(stars.select(F.col("first").alias("a"), F.col("node").alias("b")).distinct(), "stars")
     links = saved(alike(docs, stars, shingle, threshold), "links")
     roots = connected(links)
-    crowd = saved(_crowded_pairs(members, buckets, roots, threshold), "pairs")
+    crowd = saved(_crowded_links(docs, members, buckets, roots, shingle, threshold), "crowd")
     if not crowd.isEmpty():
-        roots = connected(links.union(alike(docs, crowd, shingle, threshold)))
+        roots = connected(links.union(crowd))
     rooted = nodes.join(roots, "node", "left").select(*_KEY, F.coalesce("root", "node").alias("root"))
     return attach(rows.select("doc_id", *_KEY), rooted, _KEY).where("doc_id <> root").select("doc_id").distinct()
 
