@@ -200,23 +200,23 @@ def bands(hashes: np.ndarray) -> np.ndarray:
 
 
 def _sketches(docs: DataFrame, shingle: int) -> DataFrame:
-    """doc_id, n (distinct shingles), k1 and k2 (128 bits of their set) and the bands, none without shingles."""
+    """doc_id, n (distinct shingles), k1 and k2 (128 bits of their set), its fingerprint and the bands, none without shingles."""
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            keys, found = [], []
+            keys, fps, found = [], [], []
             for text in batch.column(1).to_pylist():
                 hashes = np.unique(shingle_hashes(text or "", shingle))
                 key = xxhash.xxh3_128_digest(hashes.tobytes(), SEED)
                 keys.append((len(hashes), *np.frombuffer(key, dtype=np.int64).tolist()))
+                fps.append(fingerprint(hashes))
                 found.append(bands(hashes).view(np.int64) if len(hashes) else [])
             columns = [pa.array([k[i] for k in keys], pa.int64()) for i in range(3)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), *columns, pa.array(found, pa.list_(pa.int64()))], names=["doc_id", *_KEY, "bands"]
-            )
+            columns += [pa.array(np.array(fps, dtype=np.uint64).view(np.int64)), pa.array(found, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["doc_id", *_KEY, "fp", "bands"])
 
     known = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return known.mapInArrow(made, "doc_id long, n long, k1 long, k2 long, bands array<long>")
+    return known.mapInArrow(made, "doc_id long, n long, k1 long, k2 long, fp long, bands array<long>")
 
 
 def _shingle_sets(docs: DataFrame, shingle: int) -> DataFrame:
@@ -304,26 +304,57 @@ def _crowded_links(
     return met.applyInArrow(lambda a, b: _links_between(a, b, threshold), "a long, b long").distinct()
 
 
-def later_copies(docs: DataFrame, shingle: int = 5, threshold: float = 0.8) -> DataFrame:
+def fingerprint_pairs(nodes: DataFrame, radius: int = 2) -> DataFrame:
+    """Pairs (a, b) of nodes that link fingerprints at most ``radius`` bits apart, found by the tree.
+
+    ``nodes`` is a saved table with node and fp. Each fingerprint stands by its smallest node: the others
+    are paired with it, and it with those of close fingerprints, as :func:`close_edges` links them. So the pairs
+    are no more than the nodes and the links of the leaves, however many copies there are.
+    """
+    first = saved(nodes.groupBy("fp").agg(F.min("node").alias("first")), "prints")
+    same = attach(nodes.select("fp", "node"), first, ["fp"], "inner").where("node <> first").select("first", "node")
+    apart = close_edges(first, radius)
+    for side in ("a", "b"):
+        apart = apart.join(first.select(F.col("fp").alias(side), F.col("first").alias(f"of_{side}")), side)
+    return same.toDF("a", "b").union(apart.select(F.least("of_a", "of_b"), F.greatest("of_a", "of_b"))).distinct()
+
+
+def _not_joined(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose ends are in different components."""
+    for side in ("a", "b"):
+        own = roots.select(F.col("node").alias(side), F.col("root").alias(f"of_{side}"))
+        pairs = attach(pairs, own, [side])
+    return pairs.where(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).select("a", "b")
+
+
+def later_copies(docs: DataFrame, shingle: int = 5, threshold: float = 0.8, radius: int = 2) -> DataFrame:
     """doc_id of every document that a group of similar documents does not keep.
 
     Two documents are similar if the sets of their shingles have a Jaccard similarity of ``threshold``
     at least. Groups are connected by such pairs and keep their smallest doc_id. Documents with equal sets
     are compared once.
 
-    Min-hashing proposes pairs: those that share a band. Each is checked on its shingles, so no
-    other document is linked. First all members of a bucket are compared with its smallest id, then
-    those with each other that no link joins yet.
+    SimHash fingerprints at most ``radius`` bits apart, found by the vantage-point tree, propose the first pairs.
+    Similar documents may be further apart than a tree can tell (about ten of 64 bits at 0.8), so min-hashing
+    proposes the rest: documents that share a band and that the tree's links do not join. Every pair is checked
+    on its shingles, so no other document is linked. Of a bucket of min-hashes, all members are compared with
+    its smallest id first, then those with each other that no link joins yet.
     """
     rows = saved(_sketches(docs, shingle), "sketches")
-    nodes = saved(rows.groupBy(*_KEY).agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands")), "nodes")
+    nodes = rows.groupBy(*_KEY).agg(
+        F.min("doc_id").alias("node"), F.first("fp").alias("fp"), F.first("bands").alias("bands")
+    )
+    nodes = saved(nodes, "nodes")
+    near = saved(fingerprint_pairs(nodes.where("n > 0"), radius), "near")
+    near = saved(alike(docs, near, shingle, threshold), "close")
     members = nodes.select(F.explode("bands").alias("h"), "node", "n")
     buckets = members.groupBy("h").agg(F.min("node").alias("first"), F.count(F.lit(1)).alias("m")).where("m > 1")
     buckets = saved(buckets, "buckets")
     members = saved(attach(members, buckets.select("h"), ["h"], "left_semi"), "members")
     stars = attach(members, buckets.select("h", "first"), ["h"], "inner").where("node <> first")
-    stars = saved(stars.select(F.col("first").alias("a"), F.col("node").alias("b")).distinct(), "stars")
-    links = saved(alike(docs, stars, shingle, threshold), "links")
+    stars = stars.select(F.col("first").alias("a"), F.col("node").alias("b")).distinct()
+    stars = saved(_not_joined(stars, connected(near)), "stars")
+    links = saved(near.union(alike(docs, stars, shingle, threshold)), "links")
     roots = connected(links)
     crowd = saved(_crowded_links(docs, members, buckets, roots, shingle, threshold), "crowd")
     if not crowd.isEmpty():

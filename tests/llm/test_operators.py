@@ -387,6 +387,30 @@ def test_similar_documents_are_those_of_exact_jaccard(spark, monkeypatch, block)
     assert kept == {d for d, r in exact_groups(sets).items() if d == r}
 
 
+def test_similar_documents_are_first_linked_by_close_fingerprints(spark, monkeypatch):
+    rng = random.Random(29)
+    rows = []
+    for _ in range(30):  # copies with their last word changed, and one with a tenth of its words changed
+        words = prose(rng, 400).split()
+        rows += [" ".join(words)] + [" ".join([*words[:-1], f"end{k}"]) for k in range(3)]
+        rows.append(" ".join(w if rng.random() > 0.1 else prose(rng, 1) for w in words))
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(rows)], SCHEMA)
+    hashes = [np.unique(simhash.shingle_hashes(t, 5)) for t in rows]
+    fps = [simhash.fingerprint(h) for h in hashes]
+    close = {(a, b) for b in range(len(rows)) for a in range(b) if (fps[a] ^ fps[b]).bit_count() <= 2}
+    assert len(close) >= 60
+    nodes = spark.createDataFrame([(i, int(np.uint64(f).view(np.int64))) for i, f in enumerate(fps)], "node long, fp long")
+    got = {tuple(r) for r in simhash.fingerprint_pairs(nodes).collect()}
+    assert got <= close
+    joined = dict(components.connected(spark.createDataFrame(sorted(got), "a long, b long")).collect())
+    assert all(joined[a] == joined[b] for a, b in close)
+
+    # Without a min-hash bucket the tree's links alone take the close copies away, and no other document.
+    monkeypatch.setattr(simhash, "bands", lambda hashes: np.empty(0, np.uint64))
+    kept = {r["doc_id"] for r in simhash.without_near_copies(docs).collect()}
+    assert kept == {i for i in range(len(rows)) if joined.get(i, i) == i}
+
+
 def luhn(number):
     ds = [int(c) for c in number][::-1]
     return sum(d if i % 2 == 0 else 2 * d - 9 * (2 * d > 9) for i, d in enumerate(ds)) % 10 == 0
