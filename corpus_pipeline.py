@@ -38,7 +38,7 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Workers keep fewer words than the operator alone would: the stages share their memory.
     """
-    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), cached_words=100_000)
+    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), cached_words=400_000)
 
 
 STAGES = [

@@ -3,38 +3,78 @@
 from __future__ import annotations
 
 import heapq
+import re
 import unicodedata
 import zlib
 from collections.abc import Iterator, Mapping
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from dockledger.llm.ranges import PART, laid_out, saved, slices
+from dockledger.llm.ranges import PART, laid_out, saved, sized
 
 CAPACITY = 2048
 END_ID = 1
-# Words whose ids a Python worker keeps between tasks, in each of two generations. A word takes about
-# 220 bytes. More words save time where a worker does little else; they change no id.
-CACHED_WORDS = 400_000
-_kept: dict[str, tuple[object, list[dict[str, bytes]]]] = {}
+# Words whose ids a Python worker keeps between tasks, besides those of the last block. A word takes about
+# 50 bytes. More words save time where a worker does little else; they change no id.
+CACHED_WORDS = 1_000_000
+# Bytes of text encoded in one go.
+BLOCK_BYTES = 8 << 20
+# By tokenizer: itself, the words and their ids.
+_kept: dict[str, tuple[object, list[pa.Array]]] = {}
 
 
-def _parted(word: str) -> bool:
-    """Whether the tokenizer surely parts letters from the comma or stop after them.
+_SYMBOLS = r"([!-&(-/:-@\[-`{-~]*)"
+_WORD = re.compile(rf"([^\W\d_]+){_SYMBOLS}")
+_ASCII_WORD = rf"^(?P<letters>[A-Za-z]+){_SYMBOLS.replace('(', '(?P<symbols>', 1)}$"
 
-    It normalises first, and then a mark at the letters' end would be one piece with the stop. Alphabets up to
-    U+052F are told, others not: newer letters depend on the version of Unicode.
+
+def _parts(word: str) -> tuple[str, str]:
+    """Letters as the tokenizer normalises them, and ASCII symbols after them that it surely parts from them.
+
+    Other words come back whole. It normalises first, and then a mark at the letters' end would be one piece with the
+    symbols. Alphabets up to U+052F are told, others not: newer letters depend on the version of Unicode. An apostrophe
+    may begin a piece with letters, and a capital sigma is lower-cased by its place.
     """
-    if word[-1] not in ",." or not (letters := word[:-1]).isalpha():
-        return False
+    found = _WORD.fullmatch(word)
+    if not found:
+        return word, ""
+    letters, symbols = found.groups()
     if letters.isascii():
-        return True
-    plain = unicodedata.normalize("NFC", letters).lower()
-    return plain.isalpha() and max(plain) < "\u0530"
+        return letters.lower(), symbols
+    composed = unicodedata.normalize("NFC", letters)
+    plain = composed.lower()
+    if not letters.isalpha() or not plain.isalpha() or max(plain) >= "\u0530":
+        return word, ""
+    if "\u03a3" in composed or not unicodedata.is_normalized("NFC", plain):
+        return letters, symbols
+    return plain, symbols
+
+
+def _all_parts(words: pa.Array) -> tuple[pa.Array, pa.Array]:
+    """:func:`_parts` of each word."""
+    found = pc.extract_regex(words, _ASCII_WORD)
+    letters, symbols = pc.struct_field(found, "letters"), pc.struct_field(found, "symbols")
+    base = pc.if_else(found.is_valid(), pc.ascii_lower(letters), words)
+    symbols = pc.if_else(found.is_valid(), symbols, pa.scalar("", words.type))
+    other = pc.invert(pc.string_is_ascii(words))
+    parts = [_parts(w) for w in words.filter(other).to_pylist()]
+    return tuple(
+        pc.replace_with_mask(some, other, pa.array([p[i] for p in parts], words.type))
+        for i, some in enumerate((base, symbols))
+    )
+
+
+def _found(words: pa.Array, known: pa.Array) -> tuple[pa.Array, pa.Array]:
+    """Where each word is among the known ones followed by the unknown, and the unknown."""
+    at = pc.index_in(words, value_set=known).to_numpy(zero_copy_only=False)
+    unknown = np.isnan(at) if at.dtype.kind == "f" else np.zeros(len(at), bool)
+    at = np.where(unknown, len(known) + np.cumsum(unknown) - 1, at).astype(np.int64)
+    return pa.array(at), words.filter(pa.array(unknown))
 
 
 class WordEncoder:
@@ -50,48 +90,66 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         if path not in _kept:
-            _kept[path] = (Tokenizer.from_file(path), [{"": b""}, {}])
-        self.tokenizer, self.generations = _kept[path]
-        self.words, self.cached = self.generations[0], cached
+            _kept[path] = (Tokenizer.from_file(path), [pa.array([], pa.large_string()), pa.array([], pa.large_binary())])
+        self.tokenizer, self.known = _kept[path]
+        self.cached = cached
         (self.mark,) = self._ids(self.MARK)
 
     def _ids(self, text: str) -> list[int]:
         return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
 
-    def _learn(self, new: list[str]) -> None:
-        plain = [w for w in new if self.MARK not in w]
-        for i in range(0, len(plain), 2000):
-            some = plain[i : i + 2000]
-            ids = np.array(self._ids(f" {self.MARK} ".join(some)), dtype="<u4")
-            raw, at = ids.tobytes(), 0
-            for word, end in zip(some, [*(np.flatnonzero(ids == self.mark) * 4).tolist(), len(raw)]):
-                self.words[word] = raw[at:end]
-                at = end + 4
-        for word in new:
-            if self.MARK in word:
-                self.words[word] = np.array(self._ids(word), dtype="<u4").tobytes()
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text."""
-        if len(self.words) > self.cached:
-            self.generations[:] = [{"": b""}, self.words]
-        words, older = self.generations
-        self.words = words
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        new = {w for ws in split for w in ws if w not in words}
-        known = new.intersection(older)
-        words.update((w, older[w]) for w in known)
-        new -= known
-        # A word of letters with one comma or stop after it is mostly two pieces to the tokenizer,
-        # and it ignores the case of ASCII letters.
-        parted = {w for w in new if _parted(w)}
-        base = {w: w[:-1] if w in parted else w for w in new}
-        base = {w: b.lower() if b.isascii() and b.isalpha() else b for w, b in base.items()}
-        self._learn(list({b for b in [*base.values(), ".", ","] if b not in words}))
-        for w, b in base.items():
-            if w not in words:
-                words[w] = words[b] + (words[w[-1]] if w in parted else b"")
-        return [b"".join([words[w] for w in ws]) for ws in split]
+    def _learned(self, new: pa.Array) -> pa.Array:
+        """Ids of words that are not kept yet."""
+        marked = pc.match_substring(new, self.MARK)
+        if pc.any(marked).as_py():
+            order = pa.array(np.argsort(np.argsort(marked.to_numpy(zero_copy_only=False), kind="stable")))
+            alone = [np.array(self._ids(w), "<u4").tobytes() for w in new.filter(marked).to_pylist()]
+            plain = self._learned(new.filter(pc.invert(marked)))
+            return pa.concat_arrays([plain, pa.array(alone, pa.large_binary())]).take(order)
+        ids, ends, words = [], [np.zeros(1, np.int64)], new.to_pylist()
+        for i in range(0, len(words), 2000):
+            some = np.array(self._ids(f" {self.MARK} ".join(words[i : i + 2000])), dtype="<u4")
+            marks = np.flatnonzero(some == self.mark)
+            ids.append(some[some != self.mark])
+            ends.append(ends[-1][-1] + np.append(marks - np.arange(len(marks)), len(ids[-1])))
+        raw = np.concatenate([np.empty(0, "<u4"), *ids])
+        buffers = [None, pa.py_buffer(4 * np.concatenate(ends)), pa.py_buffer(raw)]
+        return pa.Array.from_buffers(pa.large_binary(), len(words), buffers)
+
+    def _of_words(self, words: pa.Array) -> pa.Array:
+        """Ids of distinct words."""
+        known, ids = self.known
+        at, new = _found(words, known)
+        if len(new):
+            base, symbols = _all_parts(new)
+            pieces = pc.unique(pa.concat_arrays([base, symbols]))
+            piece_at, unknown = _found(pieces, known)
+            learned = self._learned(unknown)
+            of_pieces = pa.concat_arrays([ids, learned]).take(piece_at)
+            both = [of_pieces.take(pc.index_in(p, value_set=pieces)) for p in (base, symbols)]
+            made = pc.binary_join_element_wise(*both, pa.scalar(b"", pa.large_binary()))
+            whole = pc.invert(pc.is_in(new, value_set=pieces))
+            out = pa.concat_arrays([ids, made]).take(at)
+            self.known[:] = [
+                pa.concat_arrays([known, unknown, new.filter(whole)]), pa.concat_arrays([ids, learned, made.filter(whole)])
+            ]
+        else:
+            out = ids.take(at)
+        if len(self.known[0]) > self.cached:
+            self.known[:] = [words, out]
+        return out
+
+    def encode(self, texts: pa.Array | list[str]) -> list[bytes]:
+        """Little-endian unsigned 32-bit ids of each text; null texts are empty."""
+        texts = texts.cast(pa.large_string()) if isinstance(texts, pa.Array) else pa.array(texts, pa.large_string())
+        split = pc.split_pattern(pc.replace_substring(texts.fill_null(""), "\n", " "), " ")
+        coded = split.flatten().dictionary_encode()
+        ids = self._of_words(coded.dictionary).take(coded.indices)
+        _, ends, raw = ids.buffers()
+        if raw is None:
+            return [b""] * len(texts)
+        bounds = np.frombuffer(ends, np.int64)[split.offsets.to_numpy()].tolist()
+        return [raw[a:b].to_pybytes() for a, b in zip(bounds, bounds[1:])]
 
 
 def token_pieces(
@@ -116,8 +174,8 @@ def token_pieces(
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = WordEncoder(tokenizer, cached_words)
-        for batch in slices(batches):
-            ids = [x + end for x in encoder.encode([t or "" for t in batch.column(1).to_pylist()])]
+        for batch in sized(batches, 1, BLOCK_BYTES):
+            ids = [x + end for x in encoder.encode(batch.column(1))]
             of, rows = [], []
             for k, raw in enumerate(ids):
                 for at in range(0, len(raw), 4 * capacity):

@@ -411,6 +411,23 @@ def test_similar_documents_are_first_linked_by_close_fingerprints(spark, monkeyp
     assert kept == {i for i in range(len(rows)) if joined.get(i, i) == i}
 
 
+def test_words_with_symbols_behind_known_letters_are_not_encoded_again(monkeypatch):
+    from tokenizers import Tokenizer
+
+    tokenizer, encoder = Tokenizer.from_file(TOKENIZER), packing.WordEncoder(TOKENIZER, 50)
+    monkeypatch.setattr(encoder, "known", [k.slice(0, 0) for k in encoder.known])
+    texts = ["alpha beta école $$$ !?", "Alpha$$$ BETA!? alpha École$$$ alpha", "", None, "it's \x01 x\x01 1a ALİ, ΟΔΟΣ."]
+    learned, learn = [], encoder._learned
+    monkeypatch.setattr(encoder, "_learned", lambda new: (learned.extend(new.to_pylist()), learn(new))[1])
+    encoder.encode(texts[:1])
+    learned.clear()
+    encoder.encode(texts[1:2])
+    assert [w for w in learned if w] == []
+    want = [np.array(tokenizer.encode(t or "", add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    assert encoder.encode(texts) == want and encoder.encode(texts * 30) == want * 30
+    assert encoder.encode([]) == []
+
+
 def luhn(number):
     ds = [int(c) for c in number][::-1]
     return sum(d if i % 2 == 0 else 2 * d - 9 * (2 * d > 9) for i, d in enumerate(ds)) % 10 == 0
