@@ -17,17 +17,14 @@ _BLOCKS = 32_768
 
 def trigrams(text: Column) -> Column:
     """The three-character strings of a text in lower case, repeats included; null and short texts have none."""
-    letters = F.split(F.lower(F.coalesce(text, F.lit(""))), "")
-    two = F.zip_with(letters, F.slice(letters, 2, 1 << 30), lambda a, b: F.concat(a, b))
-    three = F.zip_with(two, F.slice(letters, 3, 1 << 30), lambda a, b: F.concat(a, b))
-    return F.filter(three, lambda t: t.isNotNull())
+    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("(?s)(?=(.{3}))."), 1)
 
 
 def write_indexed(df: DataFrame, path: str, text: str, order: Sequence[str], blocks: int) -> None:
     """Save rows in ``blocks`` blocks by ``order``, and for each trigram a bitmap of the blocks that hold it.
 
-    One aggregate builds the index: a task adds its texts' trigrams to bitmaps before it sends them, so what
-    is shuffled is bounded by trigrams and blocks, not by text. Choose the number of blocks so that a block is
+    A task sends each trigram once for a block, and bitmaps are made where the blocks of a trigram have come
+    together, so what is shuffled is bounded by trigrams and blocks, not by text. Choose the number of blocks so that a block is
     a file worth reading: its bitmaps take an eighth of a byte a block for each trigram.
     """
     spark = df.sparkSession
@@ -35,11 +32,12 @@ def write_indexed(df: DataFrame, path: str, text: str, order: Sequence[str], blo
     laid.write.partitionBy("_block").parquet(f"{path}/rows")
     rows = spark.read.parquet(f"{path}/rows")
     saved = rows.select(F.col("_block").cast("long") + 1, F.explode(F.array_distinct(trigrams(F.col(text))))).toDF("block", "gram")
-    index = saved.groupBy("gram", F.bitmap_bucket_number("block").alias("bucket")).agg(
+    tasks = max(1, math.ceil(blocks / 64))
+    together = saved.distinct().repartitionByRange(tasks, "gram")
+    index = together.groupBy("gram", F.bitmap_bucket_number("block").alias("bucket")).agg(
         F.bitmap_construct_agg(F.bitmap_bit_position("block")).alias("blocks")
     )
-    tasks = max(1, math.ceil(blocks / 64))
-    index.repartitionByRange(tasks, "gram").sortWithinPartitions("gram").write.parquet(f"{path}/index")
+    index.sortWithinPartitions("gram").write.parquet(f"{path}/index")
 
 
 def blocks_with(spark: SparkSession, path: str, term: str) -> list[int] | None:

@@ -332,3 +332,12 @@ def test_a_group_comes_in_order_in_many_batches(spark, size):
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert sorted((str(r["k"]), r["n"], r["ok"]) for r in got) == [("None", 5, True), ("cold", 7, True), ("hot", 300, True)]
     assert max(r["largest"] for r in got) <= max(size, 1)
+
+
+def test_trigrams_of_odd_texts_without_a_function_for_each_character(spark):
+    texts = ["abcd", "a\nb\r\n", "x𝒳y𝒴z", "éÉ ÀÇ", "aa", "", None, "脚本输出"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, t string")
+    grams = df.select("id", search.trigrams(F.col("t")).alias("grams"))
+    low = [(t or "").lower() for t in texts]
+    assert dict(grams.collect()) == {i: [t[k : k + 3] for k in range(len(t) - 2)] for i, t in enumerate(low)}
+    assert "lambda" not in grams._jdf.queryExecution().toString()
