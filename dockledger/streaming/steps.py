@@ -16,13 +16,17 @@ _STEP = T.StructType([
     T.StructField("has_error", T.BooleanType()), T.StructField("skipped", T.BooleanType()),
     T.StructField("changed_at", T.LongType()),
 ])
-# What is kept of a step, times in microseconds; a batch writes only the steps that it changes.
+# What is kept of a run, times in microseconds: one value, read and written in one call, as each call of a
+# state leaves the Python worker.
 _KEPT = T.StructType([
-    T.StructField("ts", T.LongType()), T.StructField("seq", T.LongType()), T.StructField("status", T.StringType()),
-    T.StructField("runs", T.BooleanType()), T.StructField("failed", T.BooleanType()),
-    T.StructField("stops", T.BooleanType()),
+    T.StructField("step", T.IntegerType()), T.StructField("ts", T.LongType()), T.StructField("seq", T.LongType()),
+    T.StructField("status", T.StringType()), T.StructField("runs", T.BooleanType()),
+    T.StructField("failed", T.BooleanType()), T.StructField("stops", T.BooleanType()),
+])
+_RUN = T.StructType([
+    T.StructField("reset_at", T.LongType()), T.StructField("last_at", T.LongType()),
+    T.StructField("steps", T.ArrayType(_KEPT)),
 ])
-_RUN = T.StructType([T.StructField("reset_at", T.LongType()), T.StructField("last_at", T.LongType())])
 
 
 def step_events(
@@ -98,11 +102,9 @@ class StepMachine(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.run = handle.getValueState("run", _RUN)
-        self.steps = handle.getMapState("steps", T.StructType([T.StructField("step", T.IntegerType())]), _KEPT)
 
     def handleInputRows(self, key, rows, timerValues):
-        kept = self.run.get() if self.run.exists() else (None, None)
-        reset_at, last_at = kept[0], kept[1]
+        reset_at, last_at, before = self.run.get() or (None, None, [])
         new: dict[int, tuple] = {}
         for row in rows:
             at = row.at
@@ -113,12 +115,11 @@ class StepMachine(StatefulProcessor):
                 event = (at, row.seq, row.status, row.runs, row.failed, row.stops)
                 if row.step not in new or _later(event, new[row.step]):
                     new[row.step] = event
-        steps = {k[0]: tuple(v) for k, v in self.steps.iterator()}
+        steps = {k[0]: tuple(k[1:]) for k in before}
         for number, event in new.items():
             if number not in steps or _later(event, steps[number]):
                 steps[number] = event
-                self.steps.updateValue((number,), event)
-        self.run.update((reset_at, last_at))
+        self.run.update((reset_at, last_at, [(number, *event) for number, event in steps.items()]))
         settled = settle(steps, reset_at)
         status = overall([s[1] for s in settled])
         self._expire(last_at, status)
@@ -126,7 +127,6 @@ class StepMachine(StatefulProcessor):
         yield Row(run_id=key[0], run_status=status, n_steps=len(shown), last_at=last_at, steps=shown)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        self.steps.clear()
         self.run.clear()
         return iter([])
 

@@ -199,3 +199,34 @@ def test_chunks_sent_twice_appear_once(spark):
 @pytest.mark.parametrize("statuses, want", [([], "idle"), (["idle", "completed"], "completed"), (["running", "completed"], "running"), (["error", "running"], "error")])
 def test_overall_status(statuses, want):
     assert machine.overall(statuses) == want
+
+
+def test_a_run_costs_one_read_and_one_write_of_state_however_many_steps(monkeypatch):
+    calls = []
+
+    class State:
+        def __init__(self):
+            self.value = None
+
+        def get(self):
+            calls.append("get")
+            return self.value
+
+        def update(self, value):
+            calls.append("update")
+            self.value = value
+
+    class Handle:
+        def getValueState(self, name, schema):
+            return State()
+
+    made = machine.StepMachine(None)
+    made.init(Handle())
+    row = lambda step, at, status: machine.Row(
+        step=step, at=at, seq=at, status=status, runs=True, failed=False, stops=False, resets=False
+    )
+    (first,) = made.handleInputRows(("r",), iter([row(k, k, "running") for k in range(100)]), None)
+    (second,) = made.handleInputRows(("r",), iter([row(k, 200, "completed") for k in range(0, 100, 2)]), None)
+    assert calls == ["get", "update"] * 2
+    assert first.n_steps == second.n_steps == 100 and second.run_status == "running"
+    assert [s.status for s in second.steps] == ["completed", "running"] * 50
