@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Callable
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -11,6 +13,8 @@ from dockledger.operators.skew import joined_to_groups, ranged_groups
 
 # Sessions with this flag encode and decode GBK in the JVM.
 CHARSETS = "spark.sql.legacy.javaCharsets"
+# Values that are Python objects at a time.
+_FEW = 64
 
 
 def _native() -> bool:
@@ -18,13 +22,22 @@ def _native() -> bool:
     return session is not None and session.conf.get(CHARSETS, "false").lower() == "true"
 
 
+def _converted(values: pa.Array, convert: Callable, to: pa.DataType) -> pa.Array:
+    """Each value converted, a few at a time; nulls stay."""
+    parts = [
+        pa.array([None if v is None else convert(v) for v in values.slice(i, _FEW).to_pylist()], to)
+        for i in range(0, len(values), _FEW)
+    ]
+    return pa.concat_arrays(parts) if parts else pa.array([], to)
+
+
 def encode_gbk(text: Column) -> Column:
     if _native():
         return F.encode(text, "GBK")
 
-    @F.pandas_udf("binary")
-    def encode(text: pd.Series) -> pd.Series:
-        return text.map(lambda s: None if s is None else s.encode("gbk", errors="replace"))
+    @F.arrow_udf("binary")
+    def encode(text: pa.Array) -> pa.Array:
+        return _converted(text, lambda s: s.encode("gbk", errors="replace"), pa.binary())
 
     return encode(text)
 
@@ -38,9 +51,9 @@ def decode_output(raw: Column, is_windows: Column) -> Column:
     if _native():
         return F.when(is_windows, F.decode(raw, "GBK")).otherwise(F.decode(raw, "UTF-8"))
 
-    @F.pandas_udf("string")
-    def decode(raw: pd.Series) -> pd.Series:
-        return raw.map(lambda b: None if b is None else bytes(b).decode("gbk", errors="replace"))
+    @F.arrow_udf("string")
+    def decode(raw: pa.Array) -> pa.Array:
+        return _converted(raw, lambda b: b.decode("gbk", errors="replace"), pa.string())
 
     return F.when(is_windows, decode(F.when(is_windows, raw))).otherwise(F.decode(raw, "UTF-8"))
 

@@ -1,9 +1,11 @@
 """Column functions on the values that go wrong easily."""
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from dockledger.functions import text, versions
+from dockledger.functions import decode
 from dockledger.functions.decode import decode_output, encode_gbk
 
 
@@ -139,3 +141,31 @@ def test_versions(spark, name, raw, major, status):
     got = df.select(versions.major_version(F.col("name"), F.col("raw")),
                     versions.version_grade(F.col("name"), F.col("raw"))).first()
     assert tuple(got) == (major, status)
+
+
+def test_few_values_are_python_objects_at_a_time():
+    most, alive = 0, []
+
+    def convert(text):
+        nonlocal most
+        alive.append(text)
+        return text.encode("gbk")
+
+    class Counted:
+        def __init__(self, values):
+            self.values = values
+
+        def __len__(self):
+            return len(self.values)
+
+        def slice(self, start, length):
+            nonlocal most
+            part = self.values.slice(start, length)
+            most = max(most, len(part))
+            return part
+
+    values = pa.array(["变", None, "", "a"] * 500)
+    got = decode._converted(Counted(values), convert, pa.binary())
+    assert got.to_pylist() == [None if v is None else v.encode("gbk") for v in values.to_pylist()]
+    assert most == decode._FEW and len(alive) == 1500
+    assert decode._converted(values.slice(0, 0), convert, pa.binary()).to_pylist() == []
