@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -194,15 +194,18 @@ def line_completeness(
     return group_totals(offered_lines(per_line, available_keys), required_keys)
 
 
-def offered_lines(per_line: DataFrame, available_keys: Sequence[str], line: str = "_line") -> DataFrame:
+def offered_lines(
+    per_line: DataFrame, available_keys: Sequence[str], line: str = "_line", hot: Mapping[int, int] | None = None
+) -> DataFrame:
     """Rows (keys, line, _need, _have) with what the requisition offers of the line, ``_of_line``, and at all, ``_of_all``.
 
     The rows are counts already. If a requisition has too many different ones for one task, its
-    total is joined to them with salt.
+    total is joined to them with salt. ``hot`` are the hot requisitions, if the caller has looked for
+    them in the rows that were counted.
     """
     of_line = F.sum("_have").over(Window.partitionBy(*available_keys, line))
     out = per_line.withColumn("_of_line", of_line)
-    hot = hot_keys(per_line, available_keys)
+    hot = hot_keys(per_line, available_keys) if hot is None else hot
     if not hot:
         return out.withColumn("_of_all", F.sum("_have").over(Window.partitionBy(*available_keys)))
     totals = per_line.groupBy(*available_keys).agg(F.sum("_have").alias("_of_all"))

@@ -29,6 +29,10 @@ MAX_BROADCAST_ROWS = 200_000
 MAX_BROADCAST_BYTES = 64 << 20
 # Fewest tasks that share the rows of a hot key in a join.
 SALTS = 8
+# Rows that one task of a stage with many sorts should get; spark.dockledger.maxTaskRows. Below
+# the second number a task is not worth its start.
+MAX_TASK_ROWS = 250_000
+MIN_TASK_ROWS = 50_000
 
 
 def _setting(df: DataFrame, name: str, given: int | None, default: int) -> int:
@@ -56,6 +60,19 @@ def hot_keys(df: DataFrame, keys: Sequence[str], limit: int | None = None) -> di
     return {row["key"]: math.ceil(row["count"] / fraction / limit) for row in found}
 
 
+def tasks_for(df: DataFrame, limit: int | None = None) -> int:
+    """In how many tasks the rows lie if none gets many more than ``limit``.
+
+    For ``repartition`` before a stage that sorts its rows several times. Without a number, adaptive execution
+    merges partitions by their compressed bytes, and 64 MB may be three million narrow rows, held once
+    for each sort. A given number is never merged. Small tables get the session's partitions at most.
+    """
+    limit = _setting(df, "maxTaskRows", limit, MAX_TASK_ROWS)
+    rows = df.count()
+    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(1, math.ceil(rows / limit), min(partitions, math.ceil(rows / MIN_TASK_ROWS)))
+
+
 def _is_hot(keys: Sequence[str], hot: Collection[int]) -> Column:
     return F.xxhash64(*keys).isin(list(hot))
 
@@ -234,18 +251,21 @@ def lookup(
     max_rows: int | None = None,
     limit: int | None = None,
     counted: DataFrame | None = None,
+    probed: DataFrame | None = None,
 ) -> DataFrame:
     """:func:`attach` that broadcasts the table after finding that it is small.
 
     ``counted`` is the table to measure instead: one with at least as many rows that
-    needs no work to read. A semi or anti join takes a table with repeated keys.
+    needs no work to read. ``probed`` are likewise the rows to look for hot keys in. A semi or
+    anti join takes a table with repeated keys.
     """
     only_keys = how in ("left_semi", "left_anti")
     if only_keys:
         table = table.select(*keys)
     if is_small(table if counted is None else counted, max_rows):
         return rows.join(F.broadcast(table), list(keys), how)
-    return attach(rows, table.distinct() if only_keys else table, keys, how, limit)
+    hot = None if probed is None else hot_keys(probed, keys, limit)
+    return attach(rows, table.distinct() if only_keys else table, keys, how, limit, hot)
 
 
 def repeat_rows(df: DataFrame, times: str, chunk: int = 10_000) -> DataFrame:

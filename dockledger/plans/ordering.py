@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 
 from dockledger.functions.text import MONEY, money_text, parse_amount, whole_number_text
 from dockledger.operators import changes, hooks, orders
-from dockledger.operators.skew import attach, hot_keys, lookup, positions
+from dockledger.operators.skew import attach, hot_keys, lookup, positions, tasks_for
 from dockledger.plans.registry import query, table
 from dockledger.plans.workbook_files import to_workbooks
 from dockledger.session import scratch_path
@@ -300,34 +300,36 @@ def purchase_orders(spark: SparkSession, folder: str) -> DataFrame:
     Returned lines are not on offer; what is on offer counts for the whole requisition. Orders of the taxed type
     exceed their budget, every seventh has a faulty voucher, the others a question that goes on.
 
-    The lines are counted once per (order, supplier, line); everything up to the winning outcome of a
-    line works on these counts, which lie together by order.
+    The lines are counted once per (order, supplier, line); everything up to the outcomes of the groups
+    works on these counts, which lie together by order. Outcomes and rows then meet by order and line. Both
+    stages sort their rows more than once, so the number of their tasks follows the number of rows.
     """
-    group = ["l_orderkey", "l_suppkey"]
+    group, order_line = ["l_orderkey", "l_suppkey"], ["l_orderkey", "l_linenumber"]
     rows = table(spark, folder, "lineitem").select(*ROW_ID, "l_returnflag")
     types = table(spark, folder, "part").select(F.col("p_partkey").alias("l_partkey"), "p_type")
     suppliers = table(spark, folder, "supplier")
+    # Without a hot order none of its lines is hot, nor any of its counts.
+    hot = hot_keys(rows, ["l_orderkey"])
+    tasks = tasks_for(rows)
     line = whole_number_text(F.concat(F.col("l_linenumber").cast("string"), F.lit(".0")))
     first = F.min_by("p_type", F.struct("l_linenumber", "l_partkey"))
     order = F.min(F.struct("l_linenumber", "l_partkey"))
     typed = lookup(rows, types, ["l_partkey"], "inner")
-    if not hot_keys(rows, ["l_orderkey"]):
-        typed = typed.repartition("l_orderkey")
+    if not hot:
+        typed = typed.repartition(tasks, "l_orderkey")
     counted = typed.groupBy(*group, "l_linenumber").agg(
         F.count(F.lit(1)).alias("_need"), F.count_if(F.col("l_returnflag") != "R").alias("_have"),
         first.alias("_type"), order.alias("_order"),
     ).withColumn("_line", line)
     lines = orders.with_group_totals(
-        orders.offered_lines(counted, ["l_orderkey"]), group, p_type=F.min_by("_type", "_order")
-    )
-    named = lookup(
-        lines, suppliers.select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_name").alias("supplier_name")),
-        ["l_suppkey"], "inner",
+        orders.offered_lines(counted, ["l_orderkey"], hot=hot), group, p_type=F.min_by("_type", "_order")
     )
+    named = suppliers.select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_name").alias("supplier_name"))
     codes = suppliers.where("s_acctbal >= 0").select(
         F.col("s_name").alias("supplier_name"), F.concat(F.lit("SP"), "s_suppkey").alias("supplier_code")
     )
-    coded = orders.supplier_code(named, codes)
+    code_of = orders.supplier_code(named, codes).select("l_suppkey", "supplier_code")
+    coded = lookup(lines, code_of, ["l_suppkey"], "inner", counted=named, probed=rows)
     popup = F.when(F.col("p_type") == TAXED_TYPE, F.lit("项目超出预算"))
     question = F.when(F.col("l_orderkey") % 7 == 0, F.lit("凭证仍有错，是否保留")).otherwise("系统消息已发出")
     status = F.concat(F.lit("订单 "), (F.col("l_orderkey") + 4500000000).cast("string"))
@@ -336,8 +338,11 @@ def purchase_orders(spark: SparkSession, folder: str) -> DataFrame:
         popup, question, status,
     )
     judged = coded.select(*group, "l_linenumber", outcome["message"].alias("outcome"))
-    winners = judged.groupBy("l_orderkey", "l_linenumber").agg(F.max_by("outcome", "l_suppkey").alias("info"))
-    return attach(rows.select(*ROW_ID), winners, ["l_orderkey", "l_linenumber"], "inner").select(*ROW_ID, "info")
+    sheet = rows.select(*ROW_ID)
+    if not hot:
+        judged, sheet = judged.repartition(tasks, *order_line), sheet.repartition(tasks, *order_line)
+    winners = judged.groupBy(*order_line).agg(F.max_by("outcome", "l_suppkey").alias("info"))
+    return attach(sheet, winners, order_line, "inner", hot=None if hot else {}).select(*ROW_ID, "info")
 
 
 @query(

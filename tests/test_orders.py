@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from dockledger import schemas
 from dockledger.operators import changes, orders
+from dockledger.plans import REGISTRY
 
 
 @pytest.fixture(scope="module")
@@ -156,6 +157,20 @@ def test_changes(spark):
         (2, "update", "b", None), (3, "delete", "c", 1), (5, "insert", "e", 1)]
 
 
+def test_order_flow_has_tasks_for_its_rows(spark):
+    """Merged by their bytes, the partitions of narrow rows hold millions, sorted several times in one task."""
+    spark.conf.set("spark.dockledger.maxTaskRows", "250")
+    try:
+        df = REGISTRY["purchase_orders"].build(spark, "/root/testdata/sf0.001")
+        sizes = [r["count"] for r in df.groupBy(F.spark_partition_id()).count().collect()]
+        plan = df._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.dockledger.maxTaskRows")
+    assert sum(sizes) == 6000 and max(sizes) < 500
+    by_order = [x for x in plan.splitlines() if "Exchange hashpartitioning(l_orderkey" in x]
+    assert len(by_order) >= 3 and all("24), REPARTITION_BY_NUM" in x for x in by_order), plan
+
+
 def test_sheet_schema_has_the_columns_the_operators_use():
     assert {"requisition_no", "requisition_line", "supplier_name", "info"} <= set(
         schemas.REQUISITION_SHEET.names)

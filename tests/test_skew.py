@@ -6,7 +6,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from dockledger.operators import hooks, logs, orders
-from dockledger.operators.skew import attach, collect_parts, hot_keys, is_small, lookup, positions, repeat_rows
+from dockledger.operators.skew import (
+    attach, collect_parts, hot_keys, is_small, lookup, positions, repeat_rows, tasks_for,
+)
 
 LIMIT = 50
 
@@ -138,6 +140,20 @@ def test_small_tables_are_told_without_gathering_rows(spark):
     assert is_small(table) and not is_small(table, max_rows=999) and not is_small(table, max_bytes=1_000_000)
 
 
+def test_tasks_follow_the_rows(spark):
+    many = spark.range(1_100_000)
+    assert [tasks_for(many), tasks_for(many, 10_000), tasks_for(spark.range(60_000)), tasks_for(spark.range(0))] == [5, 110, 2, 1]
+
+
+def test_lookup_looks_for_hot_keys_where_it_is_told(rows):
+    table = rows.where("key is not null").groupBy("key").agg(F.count("*").alias("n"))
+    plan = [
+        lookup(rows, table, ["key"], max_rows=3, limit=LIMIT, probed=probed)._jdf.queryExecution().toString()
+        for probed in (None, rows.where("key > 7"))
+    ]
+    assert ["_salt" in p for p in plan] == [True, False]
+
+
 def test_chunks_of_many_keys_are_spread(spark):
     df = spark.range(1000).select(F.col("id").alias("k"), F.lit(1050).alias("n"))
     spark.conf.set("spark.sql.shuffle.partitions", "8")
