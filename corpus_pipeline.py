@@ -8,6 +8,20 @@ from pyspark.sql import DataFrame, SparkSession
 from dockledger.llm import decontaminate, lines, packing, quality, simhash
 from dockledger.llm.ranges import saved
 
+# Rows that a task hands to Python at once. An executor's tasks hold such a batch in the JVM, outside its heap, and in
+# their workers, on the way there and back.
+BATCH_ROWS = 1_000
+
+
+def _in_small_batches(spark: SparkSession) -> None:
+    """At most BATCH_ROWS rows a batch from here on in the session; a smaller setting of the caller stays.
+
+    What a stage returns is read later, so the setting is not taken back.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, BATCH_ROWS)
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -15,30 +29,36 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the compression classifier predicts to be good."""
+    _in_small_batches(spark)
     return quality.keep_good(docs, _table(spark, sf_dir, "labels"))
 
 
 def new_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines that an earlier one holds; n_chars counts what is left."""
+    _in_small_batches(spark)
     return lines.without_repeated_lines(docs)
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: five words, similarity 0.8."""
+    _in_small_batches(spark)
     return simhash.without_near_copies(docs, shingle=5, threshold=0.8)
 
 
 def clean_of_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
+    _in_small_batches(spark)
     return decontaminate.without_leaks(docs, _table(spark, sf_dir, "benchmark"))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents in sequences of at most 2048 tokens.
 
-    Workers keep fewer words than the operator alone would: the stages share their memory.
+    Workers keep fewer words and code smaller blocks than the operator alone would: the stages share their memory.
     """
-    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), cached_words=400_000)
+    _in_small_batches(spark)
+    tokenizer = public_tokenizers.path("word_bpe_49k.json")
+    return packing.pack_documents(docs, tokenizer, cached_words=150_000, block_bytes=2 << 20)
 
 
 STAGES = [

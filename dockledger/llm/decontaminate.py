@@ -23,14 +23,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from dockledger.llm.ranges import fresh, slices
+from dockledger.llm.ranges import fresh, sized
 
 # Word edits allowed, as a share of an item's words.
 EDITS = 0.2
 # Items that a task searches at once; a larger benchmark takes several passes.
 ITEMS = 20_000
+# Bytes of text searched in one go, and words whose hashes a Python worker keeps between them.
+BLOCK_BYTES = 1 << 20
 _WORD = re.compile(r"\w+")
-_CACHED = 250_000
+_CACHED = 50_000
 _hashes: dict[str, int] = {}
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 
@@ -186,7 +188,7 @@ def find_leaks(
             kind = pa.list_(pa.struct([
                 ("item_id", pa.int64()), ("at", pa.int64()), ("n", pa.int64()), ("edits", pa.int32())
             ]))
-            for batch in slices(batches, 2048):
+            for batch in sized(batches, at, BLOCK_BYTES):
                 texts = [word_hashes(t or "") for t in batch.column(at).to_pylist()]
                 rows = [
                     [dict(zip(("item_id", "at", "n", "edits"), m)) for m in found] for found in table.search(texts)

@@ -155,12 +155,14 @@ class WordEncoder:
 def token_pieces(
     docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID,
     doc_id: str = "doc_id", text: str = "text", with_ids: bool = False, cached_words: int = CACHED_WORDS,
+    block_bytes: int = BLOCK_BYTES,
 ) -> DataFrame:
     """One row per piece of at most ``capacity`` ids: each document's ids and an end id.
 
     A document is cut into full pieces and a rest. A null or empty text is its end id alone.
     ``tokenizer`` is the path of a tokenizers file that every executor can read. ``with_ids``
-    adds the ids themselves; else a piece carries their checksum only.
+    adds the ids themselves; else a piece carries their checksum only. ``cached_words`` and ``block_bytes`` bound
+    a worker's memory and change no row.
     """
     end = np.array([end_id], dtype="<u4").tobytes()
     id_type = docs.schema[doc_id].dataType
@@ -174,7 +176,7 @@ def token_pieces(
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = WordEncoder(tokenizer, cached_words)
-        for batch in sized(batches, 1, BLOCK_BYTES):
+        for batch in sized(batches, 1, block_bytes):
             ids = [x + end for x in encoder.encode(batch.column(1))]
             of, rows = [], []
             for k, raw in enumerate(ids):
@@ -291,8 +293,9 @@ def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
 
 def pack_documents(
-    docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, cached_words: int = CACHED_WORDS
+    docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, cached_words: int = CACHED_WORDS,
+    block_bytes: int = BLOCK_BYTES,
 ) -> DataFrame:
     """Tokenise whole documents once, cut them and pack the pieces."""
-    pieces = token_pieces(docs, tokenizer, capacity, cached_words=cached_words)
+    pieces = token_pieces(docs, tokenizer, capacity, cached_words=cached_words, block_bytes=block_bytes)
     return pack_pieces(saved(pieces, "pieces"), capacity)

@@ -3,11 +3,12 @@
 from types import SimpleNamespace
 
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from dockledger.llm import decontaminate, lines, quality
+from dockledger.llm import decontaminate, lines, packing, quality
 from dockledger.llm.queries import QUERIES, SQL
 from tests.parity import compare, duck
 
@@ -89,3 +90,34 @@ def test_pipeline_stages_against_brute_force(spark):
         d: len(tokenizer.encode(r["text"] or "", add_special_tokens=False).ids) + 1 for d, r in clean.items()
     }
     assert corpus_pipeline.run(spark, FOLDER).count() == docs.count()
+
+
+def test_stages_hand_small_batches_to_python(spark):
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], names=["rows"])
+
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    try:
+        for name, stage in corpus_pipeline.STAGES:
+            if name in ("decontamination", "packing"):
+                spark.conf.set(key, 10_000)
+                stage(spark, docs, FOLDER)
+                rows = spark.range(3_500, numPartitions=1).mapInArrow(sizes, "rows long").collect()
+                assert sum(r["rows"] for r in rows) == 3_500
+                assert max(r["rows"] for r in rows) <= 1_000
+        spark.conf.set(key, 7)
+        corpus_pipeline.clean_of_benchmarks(spark, docs, FOLDER)
+        assert spark.conf.get(key) == "7"
+    finally:
+        spark.conf.set(key, before)
+
+
+def test_block_size_changes_no_packed_piece(spark):
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    tokenizer = public_tokenizers.path("word_bpe_49k.json")
+    whole = packing.pack_documents(docs, tokenizer).collect()
+    small = packing.pack_documents(docs, tokenizer, cached_words=100, block_bytes=2_000).collect()
+    assert sorted(map(tuple, small)) == sorted(map(tuple, whole))
